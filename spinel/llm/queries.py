@@ -7,13 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing
+from . import compression, lines, mixing, quality, toxicity
+from .sample import fold
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _held_out(modulus: int, held: int):
+    return F.coalesce(fold(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(_docs(spark, sf_dir), _labels(spark, sf_dir))
+    return scored.select("doc_id", _held_out(4, 2), "score", "predicted", "offending")
+
+
+def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.judge_documents(_docs(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(_docs(spark, sf_dir).select("doc_id", "text"), _labels(spark, sf_dir))
+    return scored.select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
 
@@ -24,6 +47,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_compression_bands": op2_compression_bands,
+    "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
 }
