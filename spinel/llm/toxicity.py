@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,7 @@ def features(lower: str) -> set[str]:
     return own
 
 
-def _screen(bags: list[set[str]], y: np.ndarray, size: int) -> list[str]:
+def _screen(bags: Iterable[set[str]], y: np.ndarray, size: int) -> list[str]:
     pos, neg = Counter(), Counter()
     for bag, label in zip(bags, y, strict=True):
         (pos if label else neg).update(bag)
@@ -60,7 +60,7 @@ def fit(texts: list[str], y: np.ndarray, vocabulary: int = VOCABULARY, steps: in
     if len(y) == 0 or y.min() == y.max():
         return {"b": -20.0, "w": {}}
     lower = [t.lower() for t in texts]
-    words = _screen([features(t) for t in lower], y, vocabulary)
+    words = _screen((features(t) for t in lower), y, vocabulary)
     index = {w: i for i, w in enumerate(words)}
     feat, sent_of, doc_of = [], [], []
     n_sent = 0
