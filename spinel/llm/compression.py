@@ -18,6 +18,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 #: (length in bytes below which the band holds, least ratio, largest ratio).
 BANDS = ((256, 0.0, 3.2), (512, 1.1, 3.4), (1024, 1.25, 3.6), (4096, 1.38, 4.0), (16384, 1.4, 4.5), (float("inf"), 1.4, 5.5))
 CHUNK, CHUNK_BAND, CHUNK_SHARE, LEVEL = 2048, (1.25, 4.0), 0.2, 3
@@ -62,6 +64,7 @@ def in_bands(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, i
 
 def judge_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept, and the ratio and chunk counts behind the verdict."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdCompressor(level=LEVEL)

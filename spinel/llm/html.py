@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .staging import staged
 
 TOKEN = re.compile(
@@ -303,6 +304,7 @@ def host_of(url: Column) -> Column:
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
     """(host, tree, region, template): one wrapper for each host."""
+    ship(pages.sparkSession)
     keyed = pages.select(host_of(F.col("url")).alias("host"), "page_id", "html").filter("host IS NOT NULL AND html IS NOT NULL")
     chosen = keyed.groupBy("host").agg(F.min_by("page_id", F.xxhash64("page_id")).alias("page_id"))
     first = keyed.join(chosen, ["host", "page_id"], "left_semi").groupBy("host").agg(F.min("html").alias("html"))
@@ -348,6 +350,7 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, and whether a wrapper of its host was used."""
+    ship(pages.sparkSession)
     wrappers = induce_wrappers(pages)
     keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
 

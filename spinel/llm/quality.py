@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from .sample import labelled_sample
 
 PER_CLASS = 2000
@@ -138,6 +139,7 @@ def logits(texts: list[str | None], model: dict) -> np.ndarray:
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score and predicted beside its own columns, from the whole text."""
+    ship(docs.sparkSession)
     model = fit(*labelled_sample(docs, labels, label, modulus, held, PER_CLASS, MAX_CHARS))
     own = [c for c in docs.columns if c not in ("score", "predicted")]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, html, lines, mixing, pieces, quality, toxicity
+from . import anisotropic, compression, html, lines, mixing, pieces, quality, toxicity
 from .sample import fold
 
 
@@ -50,6 +50,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_docs(spark, sf_dir))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
+    "op7_nearest": op7_nearest,
     "op10_sentencepiece": op10_sentencepiece,
 }
 

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from .sample import labelled_sample
 
 PER_CLASS = 3000
@@ -112,6 +113,7 @@ def score_text(text: str | None, model: dict) -> tuple[float, list[tuple[int, in
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, score, predicted and the offending sentences (start, end, p; p >= threshold), from the whole text."""
+    ship(docs.sparkSession)
     model = fit(*labelled_sample(docs, labels, label, modulus, held, PER_CLASS, MAX_CHARS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
