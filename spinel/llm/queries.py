@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, compression, html, lines, mixing, pieces, quality, toxicity
+from . import anisotropic, compression, forest, html, lines, mixing, pieces, quality, toxicity
 from .sample import fold
 
 
@@ -54,6 +54,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anisotropic.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.join_documents(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_docs(spark, sf_dir))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
     "op7_nearest": op7_nearest,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
