@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, compression, forest, html, lines, mixing, pieces, quality, toxicity
+from . import anisotropic, compression, forest, html, lines, mixing, pieces, quality, suffixes, toxicity
 from .sample import fold
 
 
@@ -58,6 +58,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.join_documents(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_docs(spark, sf_dir).select("doc_id", "text")).drop("kept")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_docs(spark, sf_dir))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_nearest": op7_nearest,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
