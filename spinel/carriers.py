@@ -47,7 +47,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(predictor, name, k, local): local errors of residues, null where the residue is absent."""
     li = table(spark, sf_dir, "lineitem")
     by = li.groupBy((F.col("l_linenumber") % 3).alias("predictor"), F.concat(F.lit("m"), F.col("l_suppkey")).alias("name"), (F.col("l_partkey") % 50).cast("int").alias("k"))
-    return by.agg(F.when(F.bool_and(F.col("l_returnflag") == "N"), F.lit(None)).otherwise(F.round(F.avg("l_quantity") / 6, 6)).alias("local"))
+    return by.agg(F.when(F.bool_and(F.col("l_returnflag") == "N"), F.lit(None)).otherwise(F.avg("l_quantity") / 6).alias("local"))
 
 
 def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +126,9 @@ def chain_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same tables in DuckDB's SQL, as common table expressions.
 SQL = {
     "points": "points AS (SELECT chain, idx, idx + chain AS resnum, x, y, z FROM (SELECT label AS chain, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS idx, 120 * embedding[1]::DOUBLE AS x, 120 * embedding[2]::DOUBLE AS y, 120 * embedding[3]::DOUBLE AS z FROM embeddings))",
-    "logits": "logits AS (SELECT vec_id AS pair, ((vec_id // 40) % 40 + 1)::INT AS i, (vec_id % 40 + 1)::INT AS j, list_transform(embedding, x -> x::DOUBLE * 20) AS logits FROM embeddings)",
-    "predictions": "predictions AS (SELECT predictor, r1, r2, dst, prob, list_transform(range(10), k -> CASE WHEN k = bin THEN prob WHEN k = 9 THEN 1 - prob ELSE 0.0::DOUBLE END) AS p FROM (SELECT l_linenumber % 3 AS predictor, (l_suppkey + 1)::INT AS r1, (l_suppkey + 2 + l_partkey % 40)::INT AS r2, round(avg(l_quantity), 6) AS dst, round(avg(l_discount * 10), 6) AS prob, trunc(min(l_quantity))::INT % 9 AS bin FROM lineitem GROUP BY ALL))",
-    "quality": "quality AS (SELECT l_linenumber % 3 AS predictor, 'm' || l_suppkey AS name, (l_partkey % 50)::INT AS k, CASE WHEN bool_and(l_returnflag = 'N') THEN NULL ELSE round(avg(l_quantity) / 6, 6) END AS local FROM lineitem GROUP BY ALL)",
+    "logits": "logits AS (SELECT vec_id AS pair, ((vec_id // 40) % 40 + 1)::INT AS i, (vec_id % 40 + 1)::INT AS j, list_transform(embedding, lambda x: x::DOUBLE * 20) AS logits FROM embeddings)",
+    "predictions": "predictions AS (SELECT predictor, r1, r2, dst, prob, list_transform(range(10), lambda k: CASE WHEN k = bin THEN prob WHEN k = 9 THEN 1 - prob ELSE 0.0::DOUBLE END) AS p FROM (SELECT l_linenumber % 3 AS predictor, (l_suppkey + 1)::INT AS r1, (l_suppkey + 2 + l_partkey % 40)::INT AS r2, round(avg(l_quantity), 6) AS dst, round(avg(l_discount * 10), 6) AS prob, trunc(min(l_quantity))::INT % 9 AS bin FROM lineitem GROUP BY ALL))",
+    "quality": "quality AS (SELECT l_linenumber % 3 AS predictor, 'm' || l_suppkey AS name, (l_partkey % 50)::INT AS k, CASE WHEN bool_and(l_returnflag = 'N') THEN NULL ELSE avg(l_quantity) / 6 END AS local FROM lineitem GROUP BY ALL)",
     "energy": "energy AS (SELECT 'm' || l_suppkey AS name, (l_partkey % 50)::INT AS k, [round(avg(l_quantity) * 1.5 / 25, 6), round(avg(l_discount) * -15, 6), round(avg(l_tax) * 15, 6)] AS terms FROM lineitem GROUP BY l_suppkey, l_partkey % 50)",
     "truth": "truth AS (SELECT target, name, row_number() OVER (PARTITION BY target ORDER BY s_acctbal DESC, name) AS gt_rank FROM (SELECT 't' || (s_nationkey % 5) AS target, 'm' || s_suppkey AS name, s_acctbal FROM supplier))",
     "alignment": "alignment AS (SELECT lang AS grp, doc_id AS name, rpad(upper(regexp_replace(substring(text, 1, 60), '[^A-Za-z]', '-', 'g')), 60, '-') AS aln FROM documents), cols AS (SELECT grp, name, col::INT AS col, aln[col:col] AS res FROM alignment, range(1, 61) r(col))",
