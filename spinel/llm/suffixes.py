@@ -78,6 +78,14 @@ def chosen(raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def stretches(x: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the stretches of equal values."""
+    if not len(x):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist()
+    return list(zip(first, [*first[1:], len(x)], strict=True))
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of equal length, byte plane by byte plane, compressed."""
     n = len(columns[0])
@@ -266,8 +274,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         chunk = m % np.uint32(chunks) if chunks < 1 << 32 else m
         order = np.lexsort((p, m, chunk))
         m, p, chunk = m[order], p[order], chunk[order]
-        starts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.zeros(0, np.int64)
-        rows = [(int(chunk[a]), pack(m[a:b], p[a:b])) for a, b in zip(starts, np.append(starts[1:], len(chunk)), strict=True)]
+        rows = [(int(chunk[a]), pack(m[a:b], p[a:b])) for a, b in stretches(chunk)]
         return pd.DataFrame(rows, columns=["chunk", "places"])
 
     places = runs.groupBy("range").applyInPandas(survivors, "chunk int, places binary")
@@ -309,8 +316,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         order = np.lexsort((*(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), part))
         out = []
         rows, part = rows[order], part[order]
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
+        for a, b in stretches(part):
             own = order[a:b]
             fresh = np.concatenate([[True], (rows[a + 1 : b] != rows[a : b - 1]).any(1)])
             lcp, rest = front_code(rows[a:b][fresh])
@@ -353,8 +359,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         ordinal, start, end = ordinal[seq][hit], (place + start[hit]).astype(np.uint32), (place + end[hit]).astype(np.uint32)
         order = np.lexsort((start, ordinal, chunk))
         chunk, ordinal, start, end = chunk[order], ordinal[order], start[order], end[order]
-        cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.zeros(0, np.int64)
-        rows = [(int(chunk[a]), pack(ordinal[a:b], start[a:b], end[a:b])) for a, b in zip(cuts, np.append(cuts[1:], len(chunk)), strict=True)]
+        rows = [(int(chunk[a]), pack(ordinal[a:b], start[a:b], end[a:b])) for a, b in stretches(chunk)]
         return pd.DataFrame(rows, columns=["chunk", "spans"])
 
     spans = sorted_runs.groupBy("part").applyInPandas(combine, "chunk int, spans binary")
