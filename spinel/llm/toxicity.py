@@ -56,7 +56,7 @@ def _screen(bags: Iterable[set[str]], y: np.ndarray, size: int) -> list[str]:
     return sorted(known, key=lambda w: (-score(w), w))[:size]
 
 
-def fit(texts: list[str], y: np.ndarray, vocabulary: int = VOCABULARY, steps: int = 400, l1: float = 2e-4) -> dict:
+def fit(texts: list[str], y: np.ndarray, vocabulary: int = VOCABULARY, steps: int = 400, l1: float = 1e-3) -> dict:
     """Weights by word and the bias, from whole documents and their labels."""
     if len(y) == 0 or y.min() == y.max():
         return {"b": -20.0, "w": {}}
