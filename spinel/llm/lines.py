@@ -22,7 +22,7 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id") -> Dat
     """``docs`` with the cleaned text and, beside its own columns, n_lines and n_removed (both count lines of the input)."""
     lines = F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(WHITE)).alias("l")))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), F.filter(lines, lambda x: x["l"].rlike(HAS_WORD)).alias("nb"))
-    rows = rows.filter(F.size("nb") >= window).distinct()
+    rows = rows.filter(F.size("nb") >= window)
 
     def at(j):
         parts = [F.element_at("nb", (j + k).cast("int")) for k in range(window)]
