@@ -38,8 +38,9 @@ from ..session import ship
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM  # offsets at which a string may hold a chosen gram
 WIDTH = 8 * -(-(LENGTH + SPAN) // 8)
-#: Chosen grams and suffixes a task combines, and bytes of text in a chunk, on average.
-GRAMS_EACH, SUFFIXES_EACH, CHUNK = 1_000_000, 250_000, 8 << 20
+#: Chosen grams and suffixes a task combines, and bytes of text in a chunk, on average; bytes of text in a run of grams.
+GRAMS_EACH, SUFFIXES_EACH, CHUNK = 400_000, 250_000, 4 << 20
+RUN = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -122,10 +123,10 @@ def front_decode(lcp: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray:
     return rows[source, np.arange(width)[None, :]]
 
 
-def merge_runs(runs: list[tuple[list[list[int]], list[int]]]) -> tuple[list[int], list[int]]:
+def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[int]]:
     """The order in which items of sorted runs come (run numbers) and each item's common prefix with the one before, in bytes.
 
-    A run is its items, as lists of big-endian 8-byte words, and their common prefixes with the item before in the run.
+    A run is its items, byte strings of one length, and their common prefixes with the item before in the run.
     """
     k = 1
     while k < len(runs):
@@ -133,8 +134,7 @@ def merge_runs(runs: list[tuple[list[list[int]], list[int]]]) -> tuple[list[int]
     words, prefixes = [r[0] for r in runs] + [[]] * (k - len(runs)), [r[1] for r in runs] + [[]] * (k - len(runs))
     size, at = [len(w) for w in words], [0] * k
     head = [w[0] if w else None for w in words]
-    width = len(next((w[0] for w in words if w), []))
-    full = 8 * width
+    full = len(next((w[0] for w in words if w), b""))
     loser, common = [0] * k, [0] * k
 
     def play(a: int, la: int, b: int, lb: int) -> tuple[int, int, int, int]:
@@ -146,13 +146,14 @@ def merge_runs(runs: list[tuple[list[list[int]], list[int]]]) -> tuple[list[int]
             return a, la, b, lb
         if lb > la:
             return b, lb, a, la
-        i = la >> 3
-        while i < width and x[i] == y[i]:
-            i += 1
-        if i == width:
+        i = la
+        while i < full and x[i : i + 8] == y[i : i + 8]:
+            i += 8
+        if i >= full:
             return a, la, b, full
-        same = 8 * i + 8 - (((x[i] ^ y[i]).bit_length() + 7) >> 3)
-        return (a, la, b, same) if x[i] < y[i] else (b, la, a, same)
+        p, q = x[i : i + 8], y[i : i + 8]
+        same = i + len(p) - (((int.from_bytes(p) ^ int.from_bytes(q)).bit_length() + 7) >> 3)
+        return (a, la, b, same) if p < q else (b, la, a, same)
 
     winners = [(r, 0) for r in range(k)]
     level = k
@@ -224,41 +225,47 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     keyed = docs.select(own_id.alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), mark.alias("mark"), (mark % chunks).cast("int").alias("chunk"))
 
+    def one_run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        hs, marks, places = [], [], []
+        group: list[bytes] = []
+        own: list[int] = []
+
+        def flush() -> None:
+            ends = np.cumsum([len(g) for g in group])
+            at, h = chosen(b"".join(group), ends)
+            d = np.searchsorted(ends, at, side="right")
+            hs.append(h >> np.uint64(16))
+            marks.append(np.array(own, dtype=np.uint32)[d])
+            places.append((at - (ends[d] - np.array([len(g) for g in group])[d])).astype(np.uint32))
+            group.clear()
+            own.clear()
+
+        total = 0
+        for raw, m in zip(batch.column("raw").to_pylist(), batch.column("mark").to_pylist(), strict=True):
+            if len(raw) >= LENGTH:
+                if group and total + len(raw) > 1 << 19:
+                    flush()
+                    total = 0
+                group.append(raw)
+                own.append(m)
+                total += len(raw)
+        if group:
+            flush()
+        if not hs:
+            return
+        h, m, p = np.concatenate(hs), np.concatenate(marks), np.concatenate(places)
+        order = np.argsort(h, kind="stable")
+        h, m, p = h[order], m[order], p[order]
+        cut = np.searchsorted(h, [-(-(r << 48) // ranges) for r in range(1, ranges)])
+        out = [(r, pack(np.diff(h[a:b], prepend=np.uint64(0)), m[a:b], p[a:b])) for r, (a, b) in enumerate(zip([0, *cut], [*cut, len(h)], strict=True)) if b > a]
+        yield pa.RecordBatch.from_pydict({"range": pa.array([r for r, _ in out], pa.int32()), "run": pa.array([x for _, x in out], pa.binary())})
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, marks, places = [], [], []
-            group: list[bytes] = []
-            own: list[int] = []
-
-            def flush() -> None:
-                ends = np.cumsum([len(g) for g in group])
-                at, h = chosen(b"".join(group), ends)
-                d = np.searchsorted(ends, at, side="right")
-                hs.append(h >> np.uint64(16))
-                marks.append(np.array(own, dtype=np.uint32)[d])
-                places.append((at - (ends[d] - np.array([len(g) for g in group])[d])).astype(np.uint32))
-                group.clear()
-                own.clear()
-
-            total = 0
-            for raw, m in zip(batch.column("raw").to_pylist(), batch.column("mark").to_pylist(), strict=True):
-                if len(raw) >= LENGTH:
-                    if group and total + len(raw) > 1 << 19:
-                        flush()
-                        total = 0
-                    group.append(raw)
-                    own.append(m)
-                    total += len(raw)
-            if group:
-                flush()
-            if not hs:
-                continue
-            h, m, p = np.concatenate(hs), np.concatenate(marks), np.concatenate(places)
-            order = np.argsort(h, kind="stable")
-            h, m, p = h[order], m[order], p[order]
-            cut = np.searchsorted(h, [-(-(r << 48) // ranges) for r in range(1, ranges)])
-            out = [(r, pack(np.diff(h[a:b], prepend=np.uint64(0)), m[a:b], p[a:b])) for r, (a, b) in enumerate(zip([0, *cut], [*cut, len(h)], strict=True)) if b > a]
-            yield pa.RecordBatch.from_pydict({"range": pa.array([r for r, _ in out], pa.int32()), "run": pa.array([x for _, x in out], pa.binary())})
+            size = batch.column("raw").nbytes
+            step = max(1, len(batch) * RUN // max(size, RUN))
+            for at in range(0, len(batch), step):
+                yield from one_run(batch.slice(at, step))
 
     runs = keyed.select("raw", "mark").mapInArrow(grams, "range int, run binary")
 
@@ -334,7 +341,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             lcp = np.frombuffer(body, np.uint8, n, 8)
             rows = front_decode(lcp, np.frombuffer(body, np.uint8, offset=8 + n), WIDTH)
             items.append(rows)
-            heads.append((rows.view(">u8").astype(np.uint64).tolist(), lcp.tolist()))
+            whole = rows.tobytes()
+            heads.append(([whole[k : k + WIDTH] for k in range(0, len(whole), WIDTH)], lcp.tolist()))
             members.append(unpack(blob, "u4", "u4", "u4", "i8", "u1", "u1"))
         order, lcps = merge_runs(heads)
         run_of, lcp = np.array(order), np.array(lcps)
