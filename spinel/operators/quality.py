@@ -22,8 +22,9 @@ def local_error(cells: DataFrame, keys: list[str], prb: float = 0.0, dst: float
 
 def global_score(local: DataFrame, keys: list[str]) -> DataFrame:
     """1 - mean(local) / 8 within [0, 1]; 0 without any local error."""
-    g = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.avg("local") / 8))
-    return local.groupBy(*keys).agg(F.coalesce(g, F.lit(0.0)).alias("global"))
+    mean = F.avg("local")  # greatest and least skip nulls, so an empty mean is asked for first
+    g = F.when(mean.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean / 8)))
+    return local.groupBy(*keys).agg(g.alias("global"))
 
 
 def energy_sum(en: DataFrame, indexes: list[int]) -> DataFrame:

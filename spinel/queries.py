@@ -367,7 +367,7 @@ def a05_ensemble_local(spark, sf):
     return ensemble.ensemble_quality(C.quality(spark, sf)).withColumn("local", r6("local"))
 
 
-GLOB = "coalesce(greatest(0, least(1, 1 - avg(local) / 8)), 0)"
+GLOB = "CASE WHEN avg(local) IS NULL THEN 0.0::DOUBLE ELSE greatest(0, least(1, 1 - avg(local) / 8)) END"
 
 
 @query(f"SELECT predictor, name, round({GLOB}, 6) AS global FROM quality GROUP BY predictor, name", "quality")

@@ -99,7 +99,7 @@ def profile(rows: DataFrame, scale: float = 10000.0, width: int = 59) -> DataFra
     f = F.when(F.col("k") == 1, F.slice(fields(), 3, F.size(fields()))).otherwise(fields())
     nums = F.transform(f, lambda x: (x.try_cast("double") / scale).cast("float"))
     dropped = F.when(F.col("k") == 3, F.filter(nums, lambda x, i: ~i.isin(4, 6))).when(F.col("k") == 6, F.filter(nums, lambda x, i: i != 1)).otherwise(nums)
-    one = marked.withColumn("k", k).select("file", "g", "k", fields()[1].alias("res"), dropped.alias("v"))
+    one = marked.withColumn("k", k).select("file", "g", "k", F.get(fields(), 1).alias("res"), dropped.alias("v"))
     by = one.groupBy("file", F.col("g").cast("int").alias("pos")).agg(F.max(F.when(F.col("k") == 1, F.col("res"))).alias("res"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])).alias("attrs"))
     attrs = F.when(F.size("attrs") == width, F.col("attrs")).otherwise(F.raise_error(F.concat(F.lit("values at position "), F.col("pos").cast("string"), F.lit(": "), F.size("attrs").cast("string"))).cast("array<float>"))
     return by.select("file", "pos", "res", attrs.alias("attrs"))
