@@ -6,7 +6,7 @@ and a softmax layer gives the label. Embedding and layer are trained by numpy st
 (``PER_CLASS`` documents of each label, ``MAX_CHARS`` characters at most each); every whole text is scored.
 
 All hashing is vectorised over the code points of many texts at once. As mean and layer are linear, scoring needs one number per
-hash bucket, so what tasks receive is a fixed 2 MB. Texts are worked on in pieces of at most ``PIECE`` characters, cut at white
+hash bucket, so what tasks receive is a fixed 1 MB. Texts are worked on in pieces of at most ``PIECE`` characters, cut at white
 space where there is any, so very long texts need no more memory.
 
 Defined cases: null, empty and blank texts have no features and score by the layer's bias alone; without labels of both kinds every
@@ -29,7 +29,7 @@ MAX_CHARS = 20_000
 BUCKETS = 1 << 18
 DIM = 8
 NGRAMS = (3, 4, 5)
-PIECE = 1 << 20
+PIECE = 1 << 18
 THRESHOLD = 0.3
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)

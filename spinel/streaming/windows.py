@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Event time with its watermark; timestamps without a zone count in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) of tumbling windows; rows later than the watermark are dropped."""
-    by = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type")
+    by = _timed(events, late).groupBy(F.window("ts", window).alias("w"), "event_type")
     return by.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user_id, start, end, n): a user's events closer together than the gap."""
-    by = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w"))
+    by = _timed(events, late).groupBy("user_id", F.session_window("ts", gap).alias("w"))
     return by.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
