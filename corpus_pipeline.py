@@ -36,8 +36,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and N best scores of each row."""
-    return pieces.encode_documents(docs)
+    """Ids and scores of the N best segmentations of each row."""
+    return pieces.encode_documents(docs, variants=True)
 
 
 STAGES = [

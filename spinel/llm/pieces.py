@@ -282,17 +282,17 @@ class Lattice:
                 self.table[part] = got
         return got
 
-    def encode(self, text: str | None, variants: bool = False) -> tuple[np.ndarray, list[float], list[list[int]]]:
+    def encode(self, text: str | None, variants: bool = False) -> tuple[np.ndarray, list[float], list[np.ndarray]]:
         """Ids of the best segmentation, scores of the N best, and with ``variants`` the ids of the others."""
         if not text:
             return np.zeros(0, np.int32), [0.0], []
         parts = split(text)
         table, own = self.table, self.part
         got = [table.get(p) or own(p) for p in parts]
-        ids = np.frombuffer(b"".join([g[1] for g in got]), dtype="<i4")
+        raw = [g[1] for g in got]
         total = float(sum([g[0] for g in got]))
         if self.nbest == 1:
-            return ids, [total], []
+            return np.frombuffer(b"".join(raw), dtype="<i4"), [total], []
         # a solution among the N best changes only parts that are among the N - 1 cheapest to change
         cost = np.array([g[2] for g in got])
         few = self.nbest - 1
@@ -301,13 +301,17 @@ class Lattice:
         for k in sorted(int(k) for k in cheap if cost[k] < np.inf):
             some = self.cuts(parts[k])
             options = [(x[0], x[1]) for x in self.search(parts[k], self.nbest)] if len(parts[k]) <= LONG or len(some) == 1 else self._chain([self.search(x, self.nbest) for x in some])
+            # of equal scores the table may hold another than the search's first, which then would come twice
+            raw[k] = np.array(options[0][1], dtype="<i4").tobytes()
             choices.append((k, options))
+        ids = np.frombuffer(b"".join(raw), dtype="<i4")
         best = self._chain([o for _, o in choices], keep=True)
         others = []
         if variants:
             for _, chosen in best[1:]:
-                new = {k: options[j][1] for (k, options), j in zip(choices, chosen, strict=True)}
-                others.append([i for k, g in enumerate(got) for i in (new[k] if k in new else np.frombuffer(g[1], dtype="<i4").tolist())])
+                for (k, options), j in zip(choices, chosen, strict=True):
+                    raw[k] = np.array(options[j][1], dtype="<i4").tobytes()
+                others.append(np.frombuffer(b"".join(raw), dtype="<i4"))
         return ids, [total - c for c, _ in best], others
 
     def _chain(self, lists: list[list[tuple[float, tuple[int, ...]]]], keep: bool = False) -> list:
@@ -358,8 +362,8 @@ def lattice(model_file: str, nbest: int) -> Lattice:
 def encode_documents(docs: DataFrame, model_file: str = MODEL, nbest: int = 4, variants: bool = False) -> DataFrame:
     """One row per document: doc_id, n_pieces, ids (best), scores (N best), round_trip (decoding gives the text again).
 
-    ``variants`` adds the ids of the other segmentations. U+2581 in a text decodes to a space, so such a text's round trip is
-    checked against that.
+    ``variants`` adds the ids of the other segmentations, which then have to give the text again too. U+2581 in a text decodes to a
+    space, so such a text's round trip is checked against that.
     """
     ship(docs.sparkSession)
 
@@ -372,7 +376,8 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL, nbest: int = 4, v
             ids.append(i)
             scores.append(s)
             other.append(o)
-            ok.append(lat.decode_bytes(i) == (text or "").replace(SPACE, " ").encode("utf-8", "surrogatepass"))
+            plain = (text or "").replace(SPACE, " ").encode("utf-8", "surrogatepass")
+            ok.append(all(lat.decode_bytes(x) == plain for x in (i, *o)))
         cols = {
             "doc_id": batch.column("doc_id"),
             "n_pieces": pa.array([len(i) for i in ids], pa.int64()),
@@ -381,7 +386,9 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL, nbest: int = 4, v
             "round_trip": pa.array(ok, pa.bool_()),
         }
         if variants:
-            cols["variants"] = pa.array(other, pa.list_(pa.list_(pa.int32())))
+            each = [x for o in other for x in o]
+            inner = pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)], dtype=np.int32), pa.array(np.concatenate([np.zeros(0, np.int32), *each]), pa.int32()))
+            cols["variants"] = pa.ListArray.from_arrays(np.cumsum([0, *map(len, other)], dtype=np.int32), inner)
         return pa.RecordBatch.from_pydict(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,7 +63,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(_docs(spark, sf_dir))
+    return pieces.encode_documents(_docs(spark, sf_dir), variants=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -189,6 +189,21 @@ def test_nbest_against_all_segmentations(lattice, text):
     assert {tuple(ids), *map(tuple, others)} <= known and all(lattice.decode(np.array(i)) == text for i in [ids, *others])
 
 
+def test_registered_encoding_returns_all_segmentations(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got, text = queries.op10_sentencepiece(spark, "/root/testdata/sf0.001").collect(), {r.doc_id: r.text for r in docs.collect()}
+    lat = pieces.Lattice(pieces.MODEL, 4)
+    some = collections.defaultdict(list)
+    for r in got:
+        every = [r.ids, *r.variants]
+        assert r.round_trip and len(every) == len(r.scores) == len({tuple(x) for x in every})
+        some[len(r.scores)].append(r)
+    assert len(some[4]) > 0.9 * len(got)
+    for r in some[4][:40]:
+        for ids in [r.ids, *r.variants]:
+            assert lat.decode(np.array(ids)) == text[r.doc_id].replace(pieces.SPACE, " ")
+
+
 def test_learned_parts_equal_single_ones(lattice):
     words = {pieces.SPACE + "".join(random.Random(k).choices("abcdeß字é,", k=1 + k % 20)) for k in range(400)}
     lattice.table.clear()
