@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction.
 
 The pages of one host are aligned, each with the host's reference page (the one whose id has the smallest hash), by simple tree
-matching: equal root labels match, and the children are aligned in order so that the number of matched nodes is largest. Before
-that, siblings in a row with the same label become one node, so lists and paragraphs cost one comparison whatever their number.
+matching: equal root labels match, and the children are aligned in order so that the number of matched nodes is largest. Siblings
+are aligned one by one; equal subtrees at both ends and those that stand once on each side are paired first, so a notice among
+paragraphs meets its like. Matched nodes depend on the labels below two nodes alone, so a long list costs one comparison.
 Per reference node the pages that match it, those that repeat its text, and the length of varying text are summed over all pages of
 the host. Nodes that repeat their text are template; the content region is the lowest node that holds most of the varying text.
 Extraction aligns a page again and takes what lies in the region without template nodes.
@@ -22,9 +23,12 @@ import html as entities
 import json
 import re
 import zlib
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import attrgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +57,9 @@ BAD_WORDS = frozenset(
     "related share sharing social footer header masthead breadcrumb breadcrumbs newsletter subscribe signup login popup modal overlay pagination pager widget toolbar skip".split()
 )
 ARTICLE = frozenset(("article", "main"))
-DEEPEST, MANY = 150, 200
+DEEPEST = 150
+#: Cells of a matching table kept at once.
+CELLS = 1_000_000
 
 
 class Node:
@@ -145,78 +151,213 @@ def parse(text: str) -> Node:
 
 
 class Shape:
-    """A node of the collapsed tree: siblings in a row with one label are one shape."""
+    """An element for matching. form: hash of the labels of its subtree; whole: of labels and texts."""
 
-    __slots__ = ("label", "kids", "text", "size", "bad", "inside", "index")
+    __slots__ = ("label", "kids", "text", "size", "bad", "inside", "index", "up", "count", "form", "whole")
 
-    def __init__(self, label: str, bad: bool, inside: bool, index: int):
-        self.label, self.bad, self.inside, self.index = label, bad, inside, index
+    def __init__(self, label: str, bad: bool, inside: bool, index: int, up: int = -1):
+        self.label, self.bad, self.inside, self.index, self.up = label, bad, inside, index, up
         self.kids: list[Shape] = []
-        self.text, self.size = 0, 0
+        self.text, self.size, self.count, self.form, self.whole = 0, 0, 1, 0, 0
 
 
-def collapse(root: Node) -> list[Shape]:
+def sign(shapes: list[Shape]) -> list[Shape]:
+    """Sets count, form and whole; hashes of whole numbers are the same in every process."""
+    for s in reversed(shapes):
+        own = zlib.crc32(s.label.encode("utf-8", "surrogatepass"))
+        s.count = 1 + sum([k.count for k in s.kids])
+        s.form = hash((own, *[k.form for k in s.kids]))
+        s.whole = hash((own, s.text, *[k.whole for k in s.kids]))
+    return shapes
+
+
+def flatten(root: Node) -> list[Shape]:
     """Shapes in document order, the root first; marks each node with its shape."""
     shapes: list[Shape] = []
-
-    def build(label: str, nodes: list[Node]) -> Shape:
-        own = Shape(label, nodes[0].bad, nodes[0].inside, len(shapes))
+    stack: list[tuple[Node, int]] = [(root, -1)]
+    while stack:
+        n, up = stack.pop()
+        own = Shape(n.label, n.bad, n.inside, len(shapes), up)
+        n.mark = own.index
+        if up >= 0:
+            shapes[up].kids.append(own)
         shapes.append(own)
-        kids: list[Node] = []
-        for n in nodes:
-            n.mark = own.index
-            for k in n.kids:
-                if isinstance(k, str):
-                    t = k.strip()
-                    if t:
-                        own.text = zlib.crc32(t.encode("utf-8", "surrogatepass"), own.text)
-                        own.size += len(t)
-                else:
-                    kids.append(k)
-        runs: list[tuple[tuple[str, bool], list[Node]]] = []
-        for k in kids:
-            key = (k.label, k.bad)
-            if runs and runs[-1][0] == key:
-                runs[-1][1].append(k)
+        kids = []
+        for k in n.kids:
+            if isinstance(k, str):
+                t = k.strip()
+                if t:
+                    own.text = zlib.crc32(t.encode("utf-8", "surrogatepass"), own.text)
+                    own.size += len(t)
             else:
-                runs.append((key, [k]))
-        for by in (lambda key: key, lambda key: (key[0].split(".")[0], key[1])):
-            if len(runs) > MANY:
-                merged: dict = defaultdict(list)
-                for key, own_nodes in runs:
-                    merged[by(key)].extend(own_nodes)
-                runs = list(merged.items())
-        own.kids = [build(key[0], own_nodes) for key, own_nodes in runs]
-        return own
-
-    build(root.label, [root])
-    return shapes
+                kids.append((k, own.index))
+        stack.extend(reversed(kids))
+    return sign(shapes)
+
+
+def _ends(a: list[Shape], b: list[Shape], key) -> tuple[int, int]:
+    """How many siblings agree in ``key`` at the start, and behind these at the end."""
+    least, i, j = min(len(a), len(b)), 0, 0
+    while i < least and key(a[i]) == key(b[i]):
+        i += 1
+    while j < least - i and key(a[-1 - j]) == key(b[-1 - j]):
+        j += 1
+    return i, j
 
 
-def match(a: Shape, b: Shape, pairs: list[tuple[int, int]] | None = None) -> int:
-    """Simple tree matching: the number of matched nodes; with ``pairs``, the matched indexes are added there."""
-    if a.label != b.label:
+FORM, WHOLE = attrgetter("form"), attrgetter("whole")
+#: Weights of pairs of forms, for one worker process.
+_WEIGHTS: dict[tuple[int, int], int] = {}
+
+
+def _known(x: Shape, y: Shape) -> int | None:
+    """Matched nodes of two subtrees as far as no table is needed."""
+    if x.label != y.label:
         return 0
-    if pairs is not None:
-        pairs.append((a.index, b.index))
-    if not a.kids or not b.kids:
+    if x.form == y.form:
+        return x.count
+    if not x.kids or not y.kids:
         return 1
-    w = [[match(x, y) for y in b.kids] for x in a.kids]
-    m = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
-    for i in range(1, len(a.kids) + 1):
-        for j in range(1, len(b.kids) + 1):
-            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + w[i - 1][j - 1])
-    if pairs is not None:
-        i, j = len(a.kids), len(b.kids)
-        while i and j:
-            if w[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
-                match(a.kids[i - 1], b.kids[j - 1], pairs)
-                i, j = i - 1, j - 1
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    return 1 + m[-1][-1]
+    return _WEIGHTS.get((x.form, y.form))
+
+
+def _weigh(x: Shape, y: Shape) -> int:
+    """Simple tree matching: the largest number of matched nodes. It depends on the forms alone."""
+    if len(_WEIGHTS) > 300_000:
+        _WEIGHTS.clear()
+    stack = [(x, y)]
+    while stack:
+        a, b = stack[-1]
+        if _known(a, b) is not None:
+            stack.pop()
+            continue
+        i, j = _ends(a.kids, b.kids, FORM)
+        p, q = a.kids[i : len(a.kids) - j], b.kids[i : len(b.kids) - j]
+        kinds = [(m, n) for m in {k.form: k for k in p}.values() for n in {k.form: k for k in q}.values()]
+        if need := [(m, n) for m, n in kinds if _known(m, n) is None]:
+            stack.extend(need)
+            continue
+        kept = sum([k.count for k in a.kids[:i]]) + sum([k.count for k in a.kids[len(a.kids) - j :]])
+        _WEIGHTS[a.form, b.form] = 1 + kept + (int(_scores(p, q)[-1]) if p and q else 0)
+        stack.pop()
+    return _known(x, y)
+
+
+def _lines(a: list[Shape], b: list[Shape]) -> Iterator[np.ndarray]:
+    """For each of ``a`` its weights with all of ``b``."""
+    own: dict[int, np.ndarray] = {}
+    kinds = {k.form: k for k in b}
+    at = {f: i for i, f in enumerate(kinds)}
+    place = np.array([at[k.form] for k in b])
+    for x in a:
+        if x.form not in own:
+            got = [_known(x, y) for y in kinds.values()]
+            own[x.form] = np.array([_weigh(x, y) if w is None else w for w, y in zip(got, kinds.values(), strict=True)], dtype=np.int64)[place]
+        yield own[x.form]
+
+
+def _next(row: np.ndarray, w: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(row)
+    np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w), out=out[1:])
+    return out
+
+
+def _scores(a: list[Shape], b: list[Shape]) -> np.ndarray:
+    """Best sums of ``a`` with each start of ``b``."""
+    row = np.zeros(len(b) + 1, dtype=np.int64)
+    for w in _lines(a, b):
+        row = _next(row, w)
+    return row
+
+
+def _table(a: list[Shape], b: list[Shape]) -> list[tuple[Shape, Shape]]:
+    """The pairs of siblings whose matched nodes are most; a large table is halved until its parts are small, which stays exact."""
+    out, todo = [], [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if not a or not b:
+            continue
+        if len(a) == len(b) == 1:
+            if a[0].label == b[0].label:
+                out.append((a[0], b[0]))
+        elif len(a) > 1 and len(a) * len(b) > CELLS:
+            mid = len(a) // 2
+            cut = int(np.argmax(_scores(a[:mid], b) + _backward(a[mid:], b)))
+            todo += [(a[:mid], b[:cut]), (a[mid:], b[cut:])]
+        else:
+            lines = list(_lines(a, b))
+            rows = [np.zeros(len(b) + 1, dtype=np.int64)]
+            for w in lines:
+                rows.append(_next(rows[-1], w))
+            i, j = len(a), len(b)
+            while i and j:
+                w = lines[i - 1][j - 1]
+                if w and rows[i][j] == rows[i - 1][j - 1] + w:
+                    i, j = i - 1, j - 1
+                    out.append((a[i], b[j]))
+                elif rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+    return out
+
+
+def _backward(a: list[Shape], b: list[Shape]) -> np.ndarray:
+    """Best sums of ``a`` with each end of ``b``."""
+    row = np.zeros(len(b) + 1, dtype=np.int64)
+    for w in reversed(list(_lines(a, b))):
+        row = _next(row, w[::-1])
+    return row[::-1]
+
+
+def _anchors(a: list[Shape], b: list[Shape]) -> list[tuple[int, int]]:
+    """Places of subtrees that each side has once and both have, the longest row of them in one order."""
+    one, two = Counter(map(WHOLE, a)), Counter(map(WHOLE, b))
+    at = {k.whole: j for j, k in enumerate(b) if two[k.whole] == 1}
+    found = [(i, at[k.whole]) for i, k in enumerate(a) if one[k.whole] == 1 and k.whole in at]
+    tails: list[int] = []
+    ends: list[int] = []
+    back: list[int] = []
+    for n, (_, j) in enumerate(found):
+        k = bisect_left(tails, j)
+        back.append(ends[k - 1] if k else -1)
+        tails[k : k + 1], ends[k : k + 1] = [j], [n]
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(found[n])
+        n = back[n]
+    return out[::-1]
+
+
+def match(a: Shape, b: Shape) -> list[tuple[int, int]]:
+    """Indexes of the matched nodes. Siblings are aligned one by one: equal subtrees at both ends and those found once on each side
+    first, then equal forms at the ends of each gap, and by simple tree matching what is left."""
+    pairs: list[tuple[int, int]] = []
+    todo = [(a, b)] if a.label == b.label else []
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x.index, y.index))
+        if x.form == y.form and (x.whole == y.whole or x.count == 1):
+            pairs.extend(zip(range(x.index + 1, x.index + x.count), range(y.index + 1, y.index + y.count), strict=True))
+            continue
+        p, q = x.kids, y.kids
+        i, j = _ends(p, q, WHOLE)
+        todo.extend(zip(p[:i], q[:i], strict=True))
+        todo.extend(zip(p[len(p) - j :], q[len(q) - j :], strict=True))
+        p, q = p[i : len(p) - j], q[i : len(q) - j]
+        if not p or not q:
+            continue
+        m = n = 0
+        for k, o in [*_anchors(p, q), (len(p), len(q))]:
+            u, v = p[m:k], q[n:o]
+            i, j = _ends(u, v, FORM)
+            todo.extend(zip(u[:i], v[:i], strict=True))
+            todo.extend(zip(u[len(u) - j :], v[len(v) - j :], strict=True))
+            todo.extend(_table(u[i : len(u) - j], v[i : len(v) - j]))
+            if k < len(p):
+                todo.append((p[k], q[o]))
+            m, n = k + 1, o + 1
+    return pairs
 
 
 def dump(shapes: list[Shape]) -> str:
@@ -228,7 +369,7 @@ def load(text: str) -> list[Shape]:
     shapes = [Shape(label, bad, inside, i) for i, (label, _, _, bad, inside) in enumerate(raw)]
     for s, (_, kids, crc, _, _) in zip(shapes, raw, strict=True):
         s.kids, s.text = [shapes[k] for k in kids], crc
-    return shapes
+    return sign(shapes)
 
 
 def induce(shapes: list[Shape], pages: int, sums: dict[int, tuple[int, int, int]]) -> tuple[int, list[int]]:
@@ -258,13 +399,11 @@ def extract(text: str | None, wrapper: tuple[list[Shape], int, frozenset[int]] |
     if not text:
         return ""
     root = parse(text)
-    shapes = collapse(root)
+    shapes = flatten(root)
     region, dropped = -1, set()
     if wrapper:
         ref, at, template = wrapper
-        pairs: list[tuple[int, int]] = []
-        match(ref[0], shapes[0], pairs)
-        for r, p in pairs:
+        for r, p in match(ref[0], shapes[0]):
             if r == at:
                 region = p
             if r in template and ref[r].text == shapes[p].text:
@@ -273,25 +412,21 @@ def extract(text: str | None, wrapper: tuple[list[Shape], int, frozenset[int]] |
 
     def read(keep_template: bool) -> str:
         out: list[str] = []
-
-        def walk(n: Node, inside: bool) -> None:
+        stack: list = [(root, False)]
+        while stack:
+            top = stack.pop()
+            if isinstance(top, str):
+                out.append(top)
+                continue
+            n, inside = top
             if n.bad:
-                return
+                continue
             inside = inside or n.mark == region or (region < 0 and (n.tag in ARTICLE or not has_article)) or (n.tag in ARTICLE)
-            block = n.tag not in INLINE
-            if block:
+            if n.tag not in INLINE:
                 out.append("\n")
-            skip = not keep_template and n.mark in dropped
-            for k in n.kids:
-                if isinstance(k, str):
-                    if inside and not skip:
-                        out.append(k)
-                else:
-                    walk(k, inside)
-            if block:
-                out.append("\n")
-
-        walk(root, False)
+                stack.append("\n")
+            shown = inside and (keep_template or n.mark not in dropped)
+            stack.extend([k if isinstance(k, str) else (k, inside) for k in reversed(n.kids) if shown or not isinstance(k, str)])
         joined = "".join(out)
         return SPACES.sub(" ", entities.unescape(joined) if "&" in joined else joined).strip()
 
@@ -311,7 +446,7 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
 
     def shapes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"host": pdf["host"], "tree": [dump(collapse(parse(h))) for h in pdf["html"]]})
+            yield pd.DataFrame({"host": pdf["host"], "tree": [dump(flatten(parse(h))) for h in pdf["html"]]})
 
     trees = staged(first.mapInPandas(shapes_of, "host string, tree string"), "html-trees")
 
@@ -321,15 +456,20 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
             known: dict[str, list[Shape]] = {}
             for host, tree, text in zip(pdf["host"], pdf["tree"], pdf["html"], strict=True):
                 ref = known.get(host) or known.setdefault(host, load(tree))
-                shapes = collapse(parse(text))
-                pairs: list[tuple[int, int]] = []
-                match(ref[0], shapes[0], pairs)
+                shapes = flatten(parse(text))
                 sums[host, -1][0] += 1
-                for r, p in pairs:
+                owner = [-1] * len(shapes)
+                for r, p in match(ref[0], shapes[0]):
                     got, same = sums[host, r], ref[r].text == shapes[p].text
                     got[0] += 1
                     got[1] += same
                     got[2] += 0 if same else shapes[p].size
+                    owner[p] = r
+                for s in shapes:  # text without a partner varies in the next element above that has one
+                    if owner[s.index] < 0:
+                        owner[s.index] = owner[s.up]
+                        if s.size and not s.bad:
+                            sums[host, owner[s.index]][2] += s.size
             yield pd.DataFrame([(h, n, *v) for (h, n), v in sums.items()], columns=["host", "node", "matched", "same", "varying"])
 
     seen = keyed.select("host", "html").join(trees, "host").mapInPandas(count, "host string, node int, matched long, same long, varying long")

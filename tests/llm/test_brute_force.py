@@ -239,6 +239,42 @@ def test_html_without_semantic_elements(spark):
         assert r.text == " ".join(f"body{r.page_id}word{i}" for i in range(40)) + f" second {r.page_id}"
 
 
+def test_html_unlabelled_siblings(spark):
+    def body(k):
+        return [f"page{k} paragraph{i} " + "word " * 8 for i in range(3 + k % 4)]
+
+    def page(k):
+        return f"<body><div>Home About</div><div>{' '.join(body(k))}</div><div>All rights reserved</div></body>"
+
+    def noted(k):
+        ps = [f"<p>{x}</p>" for x in body(k)]
+        return f"<body><div><p>{k} title</p>{''.join(ps[:2])}<p>Read our notice</p>{''.join(ps[2:])}</div></body>"
+
+    rows = [(k, "http://a.org/x", page(k)) for k in range(12)] + [(100 + k, "http://b.org/x", noted(k)) for k in range(12)]
+    for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        k = r.page_id % 100
+        assert r.text == (f"{k} title " if r.page_id >= 100 else "") + " ".join(" ".join(body(k)).split())
+
+
+def test_html_matching_is_largest():
+    def tree(rnd, depth):
+        return "".join(f"<{t}>{tree(rnd, depth - 1) if depth else ''}</{t}>" for t in rnd.choices(["div", "section", "ul"], k=rnd.randrange(4)))
+
+    def most(a, b):
+        if a.label != b.label:
+            return 0
+        m = collections.defaultdict(int)
+        for i, x in enumerate(a.kids, 1):
+            for j, y in enumerate(b.kids, 1):
+                m[i, j] = max(m[i - 1, j], m[i, j - 1], m[i - 1, j - 1] + most(x, y))
+        return 1 + m[len(a.kids), len(b.kids)]
+
+    rnd = random.Random(1)
+    for _ in range(300):
+        a, b = (html.flatten(html.parse(tree(rnd, 3)))[0] for _ in range(2))
+        assert html._weigh(a, b) == most(a, b) >= len(html.match(a, b))
+
+
 def test_html_article_rules():
     text = "<body><header>Site</header><nav>menu</nav><article><header><h1>T</h1></header><p>One<script>x='</p>'</script> <b>two</b><p>three &eacute;<ul><li>a<li>b</ul><div class='comments'>no</div><form>no</form><!-- no --></article><aside>no</aside>"
     assert html.extract(text) == "T One two three é a b"
