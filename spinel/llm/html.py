@@ -57,7 +57,6 @@ BAD_WORDS = frozenset(
     "related share sharing social footer header masthead breadcrumb breadcrumbs newsletter subscribe signup login popup modal overlay pagination pager widget toolbar skip".split()
 )
 ARTICLE = frozenset(("article", "main"))
-DEEPEST = 150
 #: Cells of a matching table kept at once.
 CELLS = 1_000_000
 
@@ -100,6 +99,12 @@ def parse(text: str) -> Node:
     """The DOM of a page; text of raw elements is left out, open elements end where HTML implies it."""
     root = Node("#root", "#root", False, False)
     stack, at, size = [root], 0, len(text)
+    still: Counter[str] = Counter()  # open elements by tag
+
+    def close(k: int) -> None:
+        still.subtract([n.tag for n in stack[k:]])
+        del stack[k:]
+
     while at < size:
         m = TOKEN.search(text, at)
         start = m.start() if m else size
@@ -113,9 +118,9 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if still[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break
@@ -124,17 +129,17 @@ def parse(text: str) -> Node:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(text, at)
             at = end.end() if end else size
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and still["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
-        if tag in SAME:
+        if tag in SAME and any([still[t] for t in SAME[tag]]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in SAME[tag]:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPE[tag]:
                     break
@@ -145,8 +150,8 @@ def parse(text: str) -> Node:
         node = _node(tag, attrs, stack[-1])
         stack[-1].kids.append(node)
         if not attrs.endswith("/"):
-            if len(stack) < DEEPEST:
-                stack.append(node)
+            stack.append(node)
+            still[tag] += 1
     return root
 
 

@@ -275,6 +275,16 @@ def test_html_matching_is_largest():
         assert html._weigh(a, b) == most(a, b) >= len(html.match(a, b))
 
 
+@pytest.mark.parametrize("depth", [10, 160, 3000])
+def test_html_deep_elements(depth):
+    def page(k):
+        return f"<body><div id=page><article>{'<div>' * depth}head {k}<nav>menu</nav><div class=ad>buy</div>{'</div>' * depth}<p>tail {k}</p></article></div>"
+
+    assert html.extract(page(1)) == "head 1 tail 1"
+    ref, other = html.flatten(html.parse(page(1))), html.flatten(html.parse(page(2) + "<div>" * depth))
+    assert len(html.match(html.load(html.dump(ref))[0], other[0])) == len(ref)
+
+
 def test_html_article_rules():
     text = "<body><header>Site</header><nav>menu</nav><article><header><h1>T</h1></header><p>One<script>x='</p>'</script> <b>two</b><p>three &eacute;<ul><li>a<li>b</ul><div class='comments'>no</div><form>no</form><!-- no --></article><aside>no</aside>"
     assert html.extract(text) == "T One two three é a b"
