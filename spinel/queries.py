@@ -210,6 +210,11 @@ def j03_symmetrize(spark, sf):
     return pairs.symmetrize(C.predictions(spark, sf).filter("r2 % 2 = 0").select("predictor", "r1", "r2", "dst"), "r1", "r2")
 
 
+@query("SELECT predictor, r1, r2, dst FROM predictions UNION ALL SELECT predictor, r2, r1, dst FROM predictions", "predictions")
+def j03_symmetrize_all(spark, sf):
+    return pairs.symmetrize(C.predictions(spark, sf).select("predictor", "r1", "r2", "dst"), "r1", "r2")
+
+
 @query("SELECT 't' || o_custkey % 7 AS name, i0::INT AS i0, j0::INT AS j0 FROM (SELECT DISTINCT o_custkey % 7 AS o_custkey, 100 + 61 * (o_custkey % 7) AS length FROM orders), LATERAL (SELECT DISTINCT least(k * 32, greatest(length - 128, 0)) AS i0 FROM range(0, 40) r(k)) a, LATERAL (SELECT DISTINCT least(k * 32, greatest(length - 128, 0)) AS j0 FROM range(0, 40) r(k)) b")
 def w08_tiles(spark, sf):
     k = F.col("o_custkey") % 7
@@ -689,6 +694,11 @@ def t01_sort_pairs(spark, sf):
     return runs.sort_pairs(C.predictions(spark, sf).filter("r1 <= 5")).select("predictor", "r1", "r2")
 
 
+@query("SELECT predictor, r1, r2 FROM predictions", "predictions")
+def t01_sort_pairs_all(spark, sf):
+    return runs.sort_pairs(C.predictions(spark, sf)).select("predictor", "r1", "r2")
+
+
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20")
 def t05_t06_sort_desc(spark, sf):
     return runs.sort_desc(table(spark, sf, "events").select("event_id", "value"), "value", "event_id").limit(20)
