@@ -4,31 +4,37 @@ A byte goes if some string of ``LENGTH`` bytes over it also starts in a document
 length choose the same position inside them, the one with the least hash of its next ``GRAM`` bytes, so only suffixes at such positions
 (about one in eighteen) need to be compared.
 
-1. Each task sends the hashes of its chosen grams as sorted, delta-coded runs; the gram ranges' tasks tell which grams occur in more
-   than one document. Only those suffixes go on.
-2. Documents meet their surviving positions. Each chunk of documents sorts its suffixes (``LENGTH`` bytes from the position, then the
-   bytes before it, backwards) and sends them as front-coded runs: common prefix with the one before, and the rest.
+1. Documents are dealt into chunks of a few MB. Each chunk sends, for each gram it chose, its hash, smallest and largest document and
+   count, as sorted delta-coded runs by hash range. A range says which grams lie in more than one document, and which are hot.
+2. Each chunk sorts its suffixes at shared grams (``LENGTH`` bytes from the position, then the bytes before it, backwards). Suffixes
+   with the same bytes are one item with its smallest and largest document. Items go out as front-coded runs: common prefix with the
+   one before, and the rest.
 3. Runs are combined by a loser tree that keeps, for each loser, its common prefix with the winner it lost to; two heads are compared
    only where these are equal, and only behind them. The order and the common prefixes show which strings around a position are
-   equal, and the smallest document of each decides what goes. No pairs are formed: a passage that all documents share costs one
-   sort of its occurrences.
-4. Documents meet their intervals, which are merged and cut out.
+   equal. Each run hears, per item, the smallest document that repeats it. No pairs are formed.
+4. Chunks apply these answers to the members of their items, and the covered bytes are cut out.
 
-The text is shuffled once, for steps 2 and 4 together; the plan is one lazy job, so lost executors repeat only their part.
+Skew: a passage that a third of all documents hold costs a range or a merge one row for each chunk, not one for each document. A gram
+with more than ``HOT`` occurrences may still stand in many different surroundings; its strings are then dealt by ``LENGTH - NARROW``
+of their bytes instead of ``GRAM``: each position is entered ``FAMILIES`` times, every ``NARROW + 1`` bytes further to the left, and each
+entry stands for the strings that start up to ``NARROW`` bytes before it.
+
+The text is shuffled once, for all steps; the plan is one lazy job, so lost executors repeat only their part. A task holds a chunk of
+text, or a range of grams, or a part of all suffixes; ``CHUNK``, ``GRAMS_EACH`` and ``SUFFIXES_EACH`` bound these and may grow with
+the executors.
 
 Defined cases: null text is empty; texts shorter than ``LENGTH`` keep everything; a null id counts as larger than any other
-(as the largest long, which no id may be); rows
-that share an id never remove from one another; extra columns are ignored.
+(as the largest long, which no id may be); rows that share an id never remove from one another, and repeated rows give repeated
+results; very long texts are one document of their chunk, whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +43,14 @@ from ..session import ship
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM  # offsets at which a string may hold a chosen gram
-WIDTH = 8 * -(-(LENGTH + SPAN) // 8)
-#: Chosen grams and suffixes a task combines, and bytes of text in a chunk, on average; bytes of text in a run of grams.
-GRAMS_EACH, SUFFIXES_EACH, CHUNK = 400_000, 250_000, 4 << 20
-RUN = 8 << 20
+#: Offsets that one entry of a hot gram stands for, less one, and entries of such a position.
+NARROW = 6
+FAMILIES = -(-(SPAN + 1) // (NARROW + 1))
+#: Row of a suffix: bytes from the position, bytes before it backwards, then how many there are of both and the offsets it stands for.
+BEFORE, AFTER, REACH = LENGTH + SPAN, LENGTH + SPAN + 1, LENGTH + SPAN + 2
+WIDTH = 8 * -(-(REACH + 1) // 8)
+#: Chosen grams and suffixes a task combines, and bytes of text in a chunk, on average; occurrences beyond which a gram is hot.
+GRAMS_EACH, SUFFIXES_EACH, CHUNK, HOT = 400_000, 150_000, 4 << 20, 20_000
 NO_ID = np.iinfo(np.int64).max
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -123,18 +133,24 @@ def front_decode(lcp: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray:
     return rows[source, np.arange(width)[None, :]]
 
 
-def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[int]]:
+def slices(whole: bytes, width: int) -> Iterator[bytes]:
+    return (whole[k : k + width] for k in range(0, len(whole), width))
+
+
+def merge_runs(runs: list[tuple[Iterable[bytes], Iterable[int]]]) -> tuple[list[int], list[int]]:
     """The order in which items of sorted runs come (run numbers) and each item's common prefix with the one before, in bytes.
 
-    A run is its items, byte strings of one length, and their common prefixes with the item before in the run.
+    A run is its items, byte strings of one length, and their common prefixes with the item before in the run; one item of each run is
+    held at a time.
     """
     k = 1
     while k < len(runs):
         k *= 2
-    words, prefixes = [r[0] for r in runs] + [[]] * (k - len(runs)), [r[1] for r in runs] + [[]] * (k - len(runs))
-    size, at = [len(w) for w in words], [0] * k
-    head = [w[0] if w else None for w in words]
-    full = len(next((w[0] for w in words if w), b""))
+    words, prefixes = ([iter(r[c]) for r in runs] + [iter(())] * (k - len(runs)) for c in (0, 1))
+    head = [next(w, None) for w in words]
+    for p in prefixes:
+        next(p, None)
+    full = max((len(h) for h in head if h is not None), default=0)
     loser, common = [0] * k, [0] * k
 
     def play(a: int, la: int, b: int, lb: int) -> tuple[int, int, int, int]:
@@ -166,15 +182,13 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
             nxt.append((w, lw))
         winners, level = nxt, level // 2
     w, lw = winners[0]
-    order, lcps = [], []
-    for _ in range(sum(size)):
+    order: list[int] = []
+    lcps: list[int] = []
+    while head[w] is not None:
         order.append(w)
         lcps.append(lw)
-        i = at[w] = at[w] + 1
-        if i < size[w]:
-            head[w], lw = words[w][i], prefixes[w][i]
-        else:
-            head[w], lw = None, 0
+        head[w] = next(words[w], None)
+        lw = next(prefixes[w], 0)
         node = (k + w) >> 1
         while node:
             lo, ll = loser[node], common[node]
@@ -187,203 +201,234 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
     return order, lcps
 
 
-def covered(rows: np.ndarray, lcp: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes in order, with their bytes, common prefixes, documents and the bytes there are before and from the position:
-    the first and last byte, relative to the position, of what smaller documents repeat (equal if nothing)."""
+def smaller(rows: np.ndarray, lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For items in order, with their common prefixes and their smallest and largest document: (item, first offset, last offset,
+    smallest document that holds the strings at these offsets), where that is smaller than the item's largest."""
     n = len(rows)
-    start, end = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    left = np.zeros(n, dtype=np.uint64)
-    for o in range(SPAN + 1):
-        if o:
-            left = left * _A + rows[:, LENGTH + o - 1] + np.uint64(1)
-        block = np.cumsum(lcp < LENGTH - o)
-        fits = (before >= o) & (after >= LENGTH - o)
-        many = fits & (np.bincount(block)[block] > 1)
-        own = np.flatnonzero(many)
-        if len(own) < 2:
-            continue
-        key = block[own].astype(np.uint64) * _B ^ _mix(left[own])
-        order = np.argsort(key, kind="stable")
-        key, own = key[order], own[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        least = np.repeat(np.minimum.reduceat(doc[own], first), np.diff(np.append(first, len(own))))
-        gone = own[doc[own] > least]
-        start[gone] = -o
-        end[gone] = np.where(end[gone] == 0, LENGTH - o, end[gone])
-    return start, end
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
+    before, after, reach = rows[:, BEFORE], rows[:, AFTER], rows[:, REACH]
+    # the order of what lies before the positions, and common prefixes there
+    back = np.ascontiguousarray(rows[:, LENGTH:BEFORE])
+    by_back = np.argsort(back.view(f"S{SPAN}").ravel(), kind="stable")
+    back = back[by_back]
+    differ = back[1:] != back[:-1]
+    back_lcp = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), SPAN)])
+    del back, differ
+    kind = np.empty(n, dtype=np.int64)
+    on, value, since = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    found: list[tuple[np.ndarray, ...]] = []
+    for o in range(SPAN + 2):
+        hit, least = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+        own = np.zeros(0, dtype=np.int64)
+        if o <= SPAN:
+            block = np.cumsum(lcp < LENGTH - o)
+            own = np.flatnonzero((before >= o) & (after >= LENGTH - o) & (reach >= o) & ((np.bincount(block)[block] > 1) | (high > low)))
+        if len(own):
+            kind[by_back] = np.cumsum(back_lcp < o)
+            key = block[own] * np.int64(n + 1) + kind[own]
+            order = np.argsort(key, kind="stable")
+            key, own = key[order], own[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            group_least = np.repeat(np.minimum.reduceat(low[own], first), np.diff(np.append(first, len(own))))
+            gone = high[own] > group_least
+            hit[own[gone]], least[own[gone]] = True, group_least[gone]
+        end = np.flatnonzero(on & (~hit | (least != value)))
+        found.append((end, since[end], np.full(len(end), o - 1), value[end]))
+        since[hit & (~on | (least != value))] = o
+        on, value = hit, least
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(4))
+
+
+class Chunk:
+    """The documents of one chunk, by id and text, and the grams they chose."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        pdf = pdf.sort_values(["id", "raw"], kind="stable")
+        self.raws, self.ids = list(pdf["raw"]), pdf["id"].to_numpy(dtype=np.int64)
+        self.chunk = int(pdf["chunk"].iat[0])
+        hs, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in self.groups():
+            ends = np.cumsum([len(r) for r in self.raws[a:b]])
+            at, h = chosen(b"".join(self.raws[a:b]), ends)
+            d = np.searchsorted(ends, at, side="right")
+            hs.append(h >> np.uint64(16))
+            owners.append(d + a)
+            places.append(at - np.concatenate([[0], ends[:-1]])[d])
+        h, owner, place = np.concatenate(hs), np.concatenate(owners), np.concatenate(places)
+        order = np.argsort(h, kind="stable")
+        h, self.owner, self.place = h[order], owner[order], place[order]
+        self.first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        self.grams, self.count = h[self.first], np.diff(np.append(self.first, len(h)))
+
+    def groups(self, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+        """Ranges of documents of about ``most`` bytes."""
+        a = size = 0
+        for k, raw in enumerate(self.raws):
+            if size and size + len(raw) > most:
+                yield a, k
+                a, size = k, 0
+            size += len(raw)
+        if a < len(self.raws):
+            yield a, len(self.raws)
+
+    def runs(self, ranges: int) -> list[tuple[int, int, bytes]]:
+        """(range, chunk, run): grams in order with their smallest and largest document and count."""
+        if not len(self.first):
+            return []
+        ids = self.ids[self.owner]
+        low, high = np.minimum.reduceat(ids, self.first), np.maximum.reduceat(ids, self.first)
+        cut = np.searchsorted(self.grams, np.array([-(-(r << 48) // ranges) for r in range(1, ranges)], dtype=np.uint64))
+        ends = zip([0, *cut], [*cut, len(self.grams)], strict=True)
+        return [(r, self.chunk, pack(np.diff(self.grams[a:b], prepend=np.uint64(0)), low[a:b], high[a:b] - low[a:b], self.count[a:b].astype(np.uint32))) for r, (a, b) in enumerate(ends) if b > a]
+
+    def items(self, flags: list[bytes], parts: int) -> None:
+        """Sets rows (the distinct ones in order, by part), part, start (of each item's members), ordinal and at (members)."""
+        flag = np.repeat(np.concatenate([unpack(f, "u1")[0] for f in flags]), self.count)
+        own = np.flatnonzero(flag)
+        own = own[np.lexsort((self.place[own], self.owner[own]))]
+        owner, place, hot = self.owner[own], self.place[own], flag[own] > 1
+        wide = np.flatnonzero(hot)
+        step = np.tile(np.arange(FAMILIES) * (NARROW + 1), len(wide))
+        wide = np.repeat(wide, FAMILIES)
+        owner, place, hot = np.concatenate([owner[~hot], owner[wide]]), np.concatenate([place[~hot], place[wide] - step]), np.concatenate([hot[~hot], np.ones(len(wide), bool)])
+        inside = place >= 0
+        owner, place, hot = owner[inside], place[inside], hot[inside]
+        order = np.argsort(owner, kind="stable")
+        owner, place, hot = owner[order], place[order], hot[order]
+        rows = np.zeros((len(owner), WIDTH), dtype=np.uint8)
+        lens = np.array([len(r) for r in self.raws], dtype=np.int64)
+        gap = bytes(LENGTH)
+        for a, b in self.groups():
+            x, y = np.searchsorted(owner, [a, b])
+            if x == y:
+                continue
+            flat = np.frombuffer(gap + gap.join(self.raws[a:b]) + gap, dtype=np.uint8)
+            base = np.cumsum(lens[a:b] + LENGTH) - lens[a:b]
+            at = base[owner[x:y] - a] + place[x:y]
+            rows[x:y, :LENGTH] = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[at]
+            rows[x:y, LENGTH:BEFORE] = np.lib.stride_tricks.sliding_window_view(flat, SPAN)[at - SPAN][:, ::-1]
+        reach = np.where(hot, NARROW, SPAN)
+        rows[:, LENGTH:BEFORE][np.arange(SPAN)[None, :] >= reach[:, None]] = 0
+        rows[:, BEFORE], rows[:, AFTER], rows[:, REACH] = np.minimum(place, reach), np.minimum(lens[owner] - place, LENGTH), reach
+        some = rows[:, AFTER] >= LENGTH - reach  # else no whole string
+        rows, owner, place, hot = rows[some], owner[some], place[some], hot[some]
+        words = rows.view(">u8")
+        h = _mix(words[:, 0].astype(np.uint64) * _A ^ _mix(words[:, 1].astype(np.uint64) + _B))
+        for k in range(2, (LENGTH - NARROW) // 8):
+            h[hot] = _mix(h[hot] * _A ^ words[hot, k].astype(np.uint64))
+        part = (h % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(rows.view(f"S{WIDTH}").ravel(), kind="stable")
+        order = order[np.argsort(part[order], kind="stable")]
+        rows, part, self.ordinal, self.at = rows[order], part[order], owner[order], place[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])) if len(rows) else np.zeros(0, np.int64)
+        self.rows, self.part, self.start = rows[fresh], part[fresh], np.append(fresh, len(rows))
+
+
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, kept (the bytes left), n_bytes, n_removed, n_spans, kept_sha256."""
     ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-size // (18 * GRAMS_EACH)))
-    parts = max(1, -(-size // (18 * SUFFIXES_EACH)))
-    chunks = max(1, -(-size // CHUNK))
-    mark = F.xxhash64("doc_id", "text").bitwiseAND(0xFFFFFFFF)
+    ranges, parts, chunks = (max(1, -(-size // each)) for each in (18 * GRAMS_EACH, 18 * SUFFIXES_EACH, CHUNK))
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    keyed = docs.select(own_id.alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), mark.alias("mark"), (mark % chunks).cast("int").alias("chunk"))
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+    keyed = docs.select(own_id.alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), chunk.alias("chunk"))
 
-    def one_run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        hs, marks, places = [], [], []
-        group: list[bytes] = []
-        own: list[int] = []
+    def grams(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(Chunk(pdf).runs(ranges), columns=["range", "chunk", "run"])
 
-        def flush() -> None:
-            ends = np.cumsum([len(g) for g in group])
-            at, h = chosen(b"".join(group), ends)
-            d = np.searchsorted(ends, at, side="right")
-            hs.append(h >> np.uint64(16))
-            marks.append(np.array(own, dtype=np.uint32)[d])
-            places.append((at - (ends[d] - np.array([len(g) for g in group])[d])).astype(np.uint32))
-            group.clear()
-            own.clear()
-
-        total = 0
-        for raw, m in zip(batch.column("raw").to_pylist(), batch.column("mark").to_pylist(), strict=True):
-            if len(raw) >= LENGTH:
-                if group and total + len(raw) > 1 << 19:
-                    flush()
-                    total = 0
-                group.append(raw)
-                own.append(m)
-                total += len(raw)
-        if group:
-            flush()
-        if not hs:
-            return
-        h, m, p = np.concatenate(hs), np.concatenate(marks), np.concatenate(places)
-        order = np.argsort(h, kind="stable")
-        h, m, p = h[order], m[order], p[order]
-        cut = np.searchsorted(h, [-(-(r << 48) // ranges) for r in range(1, ranges)])
-        out = [(r, pack(np.diff(h[a:b], prepend=np.uint64(0)), m[a:b], p[a:b])) for r, (a, b) in enumerate(zip([0, *cut], [*cut, len(h)], strict=True)) if b > a]
-        yield pa.RecordBatch.from_pydict({"range": pa.array([r for r, _ in out], pa.int32()), "run": pa.array([x for _, x in out], pa.binary())})
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = batch.column("raw").nbytes
-            step = max(1, len(batch) * RUN // max(size, RUN))
-            for at in range(0, len(batch), step):
-                yield from one_run(batch.slice(at, step))
-
-    runs = keyed.select("raw", "mark").mapInArrow(grams, "range int, run binary")
-
-    def survivors(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [unpack(x, "u8", "u4", "u4") for x in pdf["run"]]
-        h, m, p = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got]), np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])
+    runs = keyed.groupBy("chunk").applyInPandas(grams, "range int, chunk int, run binary")
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = [unpack(x, "u8", "i8", "i8", "u4") for x in pdf["run"]]
+        h = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got])
+        low, high, count = (np.concatenate([x[k] for x in got]) for k in (1, 2, 3))
+        ends = np.cumsum([len(x[0]) for x in got])
+        del got
+        high += low
         order = np.argsort(h, kind="stable")
-        h, m, p = h[order], m[order], p[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        count = np.diff(np.append(first, len(h)))
-        shared = np.repeat(np.minimum.reduceat(m, first) != np.maximum.reduceat(m, first), count)
-        m, p = m[shared], p[shared]
-        chunk = m % np.uint32(chunks) if chunks < 1 << 32 else m
-        order = np.lexsort((p, m, chunk))
-        m, p, chunk = m[order], p[order], chunk[order]
-        rows = [(int(chunk[a]), pack(m[a:b], p[a:b])) for a, b in stretches(chunk)]
-        return pd.DataFrame(rows, columns=["chunk", "places"])
-
-    places = runs.groupBy("range").applyInPandas(survivors, "chunk int, places binary")
-
-    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["id", "raw"], kind="stable").reset_index(drop=True)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+        shared = np.minimum.reduceat(low[order], first) != np.maximum.reduceat(high[order], first)
+        flag = (shared + (shared & (np.add.reduceat(count[order].astype(np.int64), first) > hot))).astype(np.uint8)
+        by_run = np.empty(len(h), dtype=np.uint8)
+        by_run[order] = np.repeat(flag, np.diff(np.append(first, len(h))))
+        return pd.DataFrame({"chunk": pdf["chunk"], "part": np.full(len(pdf), -1), "place": pdf["range"], "found": [pack(by_run[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
+
+    answer = "chunk int, part int, place int, found binary"
+    flags = runs.groupBy("range").applyInPandas(judge, answer)
 
     def suffixes(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        columns = ["part", "chunk", "run", "members"]
-        if not len(pdf) or not len(found):
-            return pd.DataFrame([], columns=columns)
-        pdf = in_order(pdf)
-        got = [unpack(x, "u4", "u4") for x in found["places"]]
-        m, p = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
-        order = np.lexsort((p, m))
-        m, p = m[order], p[order]
-        matrix, ordinal, place, doc, before, after = [], [], [], [], [], []
-        for k, (raw, own, i) in enumerate(zip(pdf["raw"], pdf["mark"], pdf["id"], strict=True)):
-            a, b = np.searchsorted(m, [own, own + 1])
-            at = p[a:b].astype(np.int64)
-            at = at[at + GRAM <= len(raw)]
-            if not len(at):
-                continue
-            padded = np.frombuffer(b"\0" * SPAN + raw + b"\0" * LENGTH, dtype=np.uint8)
-            rows = np.zeros((len(at), WIDTH), dtype=np.uint8)
-            rows[:, :LENGTH] = padded[(at + SPAN)[:, None] + np.arange(LENGTH)[None, :]]
-            rows[:, LENGTH : LENGTH + SPAN] = padded[(at + SPAN)[:, None] - 1 - np.arange(SPAN)[None, :]]
-            matrix.append(rows)
-            ordinal.append(np.full(len(at), k, np.uint32))
-            place.append(at.astype(np.uint32))
-            doc.append(np.full(len(at), i, np.int64))
-            before.append(np.minimum(at, 255).astype(np.uint8))
-            after.append(np.minimum(len(raw) - at, 255).astype(np.uint8))
-        if not matrix:
-            return pd.DataFrame([], columns=columns)
-        rows, ordinal, place, doc, before, after = (np.concatenate(x) for x in (matrix, ordinal, place, doc, before, after))
-        words = rows.view(">u8").astype(np.uint64)
-        part = (_mix(words[:, 0] * _A ^ _mix(words[:, 1] + _B)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((*(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), part))
         out = []
-        rows, part = rows[order], part[order]
-        for a, b in stretches(part):
-            own = order[a:b]
-            fresh = np.concatenate([[True], (rows[a + 1 : b] != rows[a : b - 1]).any(1)])
-            lcp, rest = front_code(rows[a:b][fresh])
-            run = zstandard.ZstdCompressor(level=1).compress(len(lcp).to_bytes(8, "little") + lcp.tobytes() + rest)
-            out.append((int(part[a]), int(pdf["chunk"].iat[0]), run, pack((np.cumsum(fresh) - 1).astype(np.uint32), ordinal[own], place[own], doc[own], before[own], after[own])))
-        return pd.DataFrame(out, columns=columns)
-
-    sorted_runs = keyed.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInPandas(suffixes, "part int, chunk int, run binary, members binary")
+        if len(pdf) and len(found):
+            c = Chunk(pdf)
+            c.items(list(found.sort_values("place")["found"]), parts)
+            ids = c.ids[c.ordinal]
+            if len(ids):
+                low, high = np.minimum.reduceat(ids, c.start[:-1]), np.maximum.reduceat(ids, c.start[:-1])
+                for a, b in stretches(c.part):
+                    lcp, rest = front_code(c.rows[a:b])
+                    run = zstandard.ZstdCompressor(level=1).compress(len(lcp).to_bytes(8, "little") + lcp.tobytes() + rest)
+                    out.append((int(c.part[a]), c.chunk, run, pack(low[a:b], high[a:b] - low[a:b])))
+        return pd.DataFrame(out, columns=["part", "chunk", "run", "members"])
+
+    sorted_runs = keyed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInPandas(suffixes, "part int, chunk int, run binary, members binary")
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        items, heads, members = [], [], []
-        for run, blob in zip(pdf["run"], pdf["members"], strict=True):
+        pdf = pdf.sort_values("chunk")
+        blobs, runs, lows, highs = [], [], [], []
+        for run, members in zip(pdf["run"], pdf["members"], strict=True):
             body = zstandard.ZstdDecompressor().decompress(run)
             n = int.from_bytes(body[:8], "little")
-            lcp = np.frombuffer(body, np.uint8, n, 8)
-            rows = front_decode(lcp, np.frombuffer(body, np.uint8, offset=8 + n), WIDTH)
-            items.append(rows)
-            whole = rows.tobytes()
-            heads.append(([whole[k : k + WIDTH] for k in range(0, len(whole), WIDTH)], lcp.tolist()))
-            members.append(unpack(blob, "u4", "u4", "u4", "i8", "u1", "u1"))
-        order, lcps = merge_runs(heads)
+            lcp = body[8 : 8 + n]
+            whole = front_decode(np.frombuffer(lcp, np.uint8), np.frombuffer(body, np.uint8, offset=8 + n), WIDTH).tobytes()
+            blobs.append(whole)
+            runs.append((slices(whole, WIDTH), lcp))
+            low, high = unpack(members, "i8", "i8")
+            lows.append(low)
+            highs.append(low + high)
+        order, lcps = merge_runs(runs)
         run_of, lcp = np.array(order), np.array(lcps)
-        offset = np.cumsum([0, *[len(x) for x in items]])
         # the j-th time a run comes up it gives its j-th item
         by_run = np.argsort(run_of, kind="stable")
         rank = np.empty(len(run_of), dtype=np.int64)
         rank[by_run] = np.arange(len(run_of))
-        item_at = np.empty(len(run_of), dtype=np.int64)
-        item_at[rank] = np.arange(len(run_of))  # of the item with number ``rank`` in all runs laid end to end
-        slot = np.concatenate([item_at[offset[r] + m[0]] for r, m in enumerate(members)])
-        source = np.concatenate([np.full(len(m[0]), r) for r, m in enumerate(members)])
-        ordinal, place, doc, before, after = (np.concatenate([m[k] for m in members]) for k in range(1, 6))
-        seq = np.argsort(slot, kind="stable")
-        slot = slot[seq]
-        again = np.concatenate([[False], slot[1:] == slot[:-1]])
-        every = np.concatenate(items)[rank]
-        start, end = covered(every[slot], np.where(again, WIDTH, lcp[slot]), doc[seq], before[seq], after[seq])
-        hit = np.flatnonzero(end > start)
-        place = place[seq][hit].astype(np.int64)
-        chunk = pdf["chunk"].to_numpy()[source[seq][hit]]
-        ordinal, start, end = ordinal[seq][hit], (place + start[hit]).astype(np.uint32), (place + end[hit]).astype(np.uint32)
-        order = np.lexsort((start, ordinal, chunk))
-        chunk, ordinal, start, end = chunk[order], ordinal[order], start[order], end[order]
-        rows = [(int(chunk[a]), pack(ordinal[a:b], start[a:b], end[a:b])) for a, b in stretches(chunk)]
-        return pd.DataFrame(rows, columns=["chunk", "spans"])
-
-    spans = sorted_runs.groupBy("part").applyInPandas(combine, "chunk int, spans binary")
+        rows = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, WIDTH)[rank]
+        del blobs, runs
+        item, since, until, least = smaller(rows, lcp, np.concatenate(lows)[rank], np.concatenate(highs)[rank])
+        source = run_of[item]
+        item = rank[item] - np.concatenate([[0], np.cumsum([len(x) for x in lows])])[source]
+        by = np.lexsort((since, item, source))
+        source, item, since, until, least = source[by], item[by], since[by], until[by], least[by]
+        part, chunk = int(pdf["part"].iat[0]), pdf["chunk"].to_numpy()
+        out = [(int(chunk[source[a]]), part, 0, pack(item[a:b].astype(np.uint32), since[a:b].astype(np.uint8), until[a:b].astype(np.uint8), least[a:b])) for a, b in stretches(source)]
+        return pd.DataFrame(out, columns=["chunk", "part", "place", "found"])
+
+    answers = sorted_runs.groupBy("part").applyInPandas(combine, answer)
 
     def cut(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         columns = ["id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if not len(pdf):
             return pd.DataFrame([], columns=columns)
-        pdf = in_order(pdf)
-        got = [unpack(x, "u4", "u4", "u4") for x in found["spans"]]
-        ordinal, start, end = (np.concatenate([x[k] for x in got]).astype(np.int64) if got else np.zeros(0, np.int64) for k in range(3))
-        order = np.argsort(ordinal, kind="stable")
-        ordinal, start, end = ordinal[order], start[order], end[order]
+        c = Chunk(pdf)
+        owner = start = end = np.zeros(0, np.int64)
+        heard = found[found["part"] >= 0].sort_values("part")
+        if len(heard):
+            c.items(list(found[found["part"] < 0].sort_values("place")["found"]), parts)
+            got = [unpack(x, "u4", "u1", "u1", "i8") for x in heard["found"]]
+            first = np.searchsorted(c.part, heard["part"].to_numpy())
+            item = np.concatenate([f + x[0].astype(np.int64) for f, x in zip(first, got, strict=True)])
+            since, until, least = (np.concatenate([x[k] for x in got]).astype(np.int64) for k in (1, 2, 3))
+            n = c.start[item + 1] - c.start[item]
+            member = np.repeat(c.start[item] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            of = np.repeat(np.arange(len(item)), n)
+            gone = c.ids[c.ordinal[member]] > least[of]
+            member, of = member[gone], of[gone]
+            owner, start, end = c.ordinal[member], c.at[member] - until[of], c.at[member] - since[of] + LENGTH
+            order = np.argsort(owner, kind="stable")
+            owner, start, end = owner[order], start[order], end[order]
         out = []
-        for k, raw in enumerate(pdf["raw"]):
-            a, b = np.searchsorted(ordinal, [k, k + 1])
+        bounds = np.searchsorted(owner, np.arange(len(c.raws) + 1)).tolist()
+        for k, raw in enumerate(c.raws):
+            a, b = bounds[k], bounds[k + 1]
             kept, removed, n = raw, 0, 0
             if b > a:
                 step = np.zeros(len(raw) + 1, dtype=np.int64)
@@ -395,9 +440,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
             out.append((kept, len(raw), removed, n, hashlib.sha256(kept).hexdigest()))
         done = pd.DataFrame(out, columns=columns[1:])
-        done.insert(0, "id", pdf["id"].to_numpy())
+        done.insert(0, "id", c.ids)
         return done
 
-    done = keyed.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInPandas(cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    heard = flags.unionByName(answers)
+    done = keyed.groupBy("chunk").cogroup(heard.groupBy("chunk")).applyInPandas(cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     doc_id = F.when(F.col("id") != NO_ID, F.col("id")).cast(id_type).alias("doc_id")
     return done.select(doc_id, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")

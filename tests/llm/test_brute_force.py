@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from spinel.llm import anisotropic, compression, forest, html, pieces, quality, queries, suffixes, toxicity
 from spinel.llm.components import components
@@ -121,20 +122,45 @@ def test_components_of_a_long_chain(spark):
     assert got == {k: 1 for k in range(1, 201)} | {1000: 1000, 1001: 1000}
 
 
-def test_suffixes_against_all_windows(spark, small):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(400).collect()]
-    docs += [(10**6, "ab" * 100), (10**6 + 1, "x" + "ab" * 60 + "y"), (10**6 + 2, "a" * 120), (10**6 + 3, "b" + "a" * 50)]
-    got = {r.doc_id: r for r in suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    seen = {}
-    for i, t in docs:
+def all_windows(docs):
+    """By id: bytes, removed bytes, runs of them and the hash of the rest, from every window of 50 bytes."""
+    seen, out = {}, {}
+    for i, t in sorted(docs):
         b = t.encode()
         gone = np.zeros(len(b), dtype=bool)
         for j in range(len(b) - 49):
             if seen.setdefault(b[j : j + 50], i) < i:
                 gone[j : j + 50] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
-        spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+        out[i] = (len(b), int(gone.sum()), int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize(("hot", "chunk"), [(suffixes.HOT, suffixes.CHUNK), (suffixes.HOT, 60_000), (3, 60_000)])
+def test_suffixes_against_all_windows(spark, small, monkeypatch, hot, chunk):
+    for name, value in (("CHUNK", chunk), ("GRAMS_EACH", 4000), ("SUFFIXES_EACH", 2000)):
+        monkeypatch.setattr(suffixes, name, value)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(400).collect()]
+    docs += [(10**6, "ab" * 100), (10**6 + 1, "x" + "ab" * 60 + "y"), (10**6 + 2, "a" * 120), (10**6 + 3, "b" + "a" * 50)]
+    got = suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == all_windows(docs)
+
+
+def test_suffixes_of_a_hot_passage(spark):
+    """A passage in a third of the documents, in different surroundings; equal ids of old 32-bit marks keep apart."""
+    rng = random.Random(4)
+    words = [bytes(rng.choices(b"abcdefghij", k=3 + k % 6)).decode() for k in range(500)]
+    passage = " ".join(rng.choices(words, k=18))
+    docs = [(k, " ".join(rng.choices(words, k=12)) + (" " + passage if k % 3 == 0 else "") + " " + " ".join(rng.choices(words, k=6))) for k in [*range(900), 72296, 298816]]
+    got = suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot=50).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == all_windows(docs)
+    frame = pd.DataFrame({"id": [i for i, _ in docs], "raw": [t.encode() for _, t in docs], "chunk": 0})
+    c = suffixes.Chunk(frame)
+    assert c.count.max() > 200
+    for flag, most in ((1, None), (2, 60)):  # items go out, not occurrences: a hot gram's surroundings hold little that differs
+        c.items([suffixes.pack(np.where(c.count > 50, flag, 0).astype(np.uint8))], 64)
+        parts = np.bincount(c.part)
+        assert len(c.rows) < len(c.at) and (most is None or parts[c.part[np.argmax(np.diff(c.start))]] < most * suffixes.FAMILIES)
 
 
 def test_loser_tree_merges_and_gives_prefixes():
