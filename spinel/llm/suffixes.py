@@ -250,7 +250,7 @@ class Chunk:
             ends = np.cumsum([len(r) for r in self.raws[a:b]])
             at, h = chosen(b"".join(self.raws[a:b]), ends)
             d = np.searchsorted(ends, at, side="right")
-            hs.append(h >> np.uint64(16))
+            hs.append(_mix(h) >> np.uint64(16))  # chosen hashes are small ones; mixed, they fill all ranges alike
             owners.append(d + a)
             places.append(at - np.concatenate([[0], ends[:-1]])[d])
         h, owner, place = np.concatenate(hs), np.concatenate(owners), np.concatenate(places)
