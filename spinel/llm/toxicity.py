@@ -1,12 +1,15 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a probability sigmoid(b + sum of its features' weights), where the features are
-its words and the beginnings of its longer words; the document's is their noisy-or, 1 - prod(1 - p). Only documents carry labels: the weights come from the likelihood of the document labels under the
-noisy-or, by proximal gradient steps with an L1 term, so most features end without weight. A sentence without any weighted one is a
-null instance with probability 0. The same sentence probabilities then locate the offending sentences.
+its words and the beginnings of its longer words; the document's is their noisy-or, 1 - prod(1 - p). Only documents carry labels: the
+weights come from the likelihood of the document labels under the noisy-or, by proximal gradient steps with an L1 term and weights of
+0 or more, so most features end without weight. A sentence without any weighted one is a null instance with probability 0. The fitted
+model is the one that scores, and the same sentence probabilities locate the offending sentences.
 
 The fit uses a bounded sample (``PER_CLASS`` documents of each label, ``MAX_CHARS`` characters at most each); every whole text is
-scored. Defined cases: null and empty texts score 0; without labels of both kinds every score is 0.
+scored. Defined cases: null and empty texts score 0; without labels of both kinds every score is 0; each row is scored alone, so
+repeated rows and ties of ids give repeated results; very long texts are read sentence by sentence, a text without sentence ends as one
+sentence; an empty table gives no rows; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ PER_CLASS = 3000
 MAX_CHARS = 20_000
 #: Features kept for the fit, by how strongly their document counts differ between the labels.
 VOCABULARY = 4000
+L1 = 1e-3
 THRESHOLD = 0.3
 SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"\w+")
-#: Lengths of word beginnings that are features beside the words, and the least weight that is kept.
-BEGINNINGS, LEAST = (4, 5), 1.0
+#: Lengths of word beginnings that are features beside the words.
+BEGINNINGS = (4, 5)
 
 
 def features(lower: str) -> set[str]:
@@ -56,7 +60,7 @@ def _screen(bags: Iterable[set[str]], y: np.ndarray, size: int) -> list[str]:
     return sorted(known, key=lambda w: (-score(w), w))[:size]
 
 
-def fit(texts: list[str], y: np.ndarray, vocabulary: int = VOCABULARY, steps: int = 400, l1: float = 1e-3) -> dict:
+def fit(texts: list[str], y: np.ndarray, vocabulary: int = VOCABULARY, steps: int = 400, l1: float = L1) -> dict:
     """Weights by word and the bias, from whole documents and their labels."""
     if len(y) == 0 or y.min() == y.max():
         return {"b": -20.0, "w": {}}
@@ -87,10 +91,9 @@ def fit(texts: list[str], y: np.ndarray, vocabulary: int = VOCABULARY, steps: in
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate, c1, c2 = 0.1, 1 - 0.9**k, 1 - 0.999**k
         step = rate / (np.sqrt(v / c2) + 1e-6)
-        w -= step * (m / c1)
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        w = np.maximum(w - step * (m / c1 + l1), 0)
         b = min(b - rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-6), -2.0)
-    return {"b": float(b), "w": {word: float(x) for word, x in zip(words, w, strict=True) if x > LEAST}}
+    return {"b": float(b), "w": {word: float(x) for word, x in zip(words, w, strict=True) if x > 0}}
 
 
 def score_text(text: str | None, model: dict) -> tuple[float, list[tuple[int, int, float]]]:
