@@ -1,11 +1,17 @@
 """Quality rules: compression bands.
 
-A text is kept if its zstandard ratio (bytes in by bytes out) lies within limits that depend on its length, and if no more than a
-fifth of its fixed chunks lie outside the chunk limits. Ratios above a band mean repetitive text, below it incompressible text
-(encoded or random data). Short texts compress little, so their bands are wider and chunks under half the chunk size don't count.
+Prose compresses better the longer it is. A text is kept if its zstandard ratio (bytes in by bytes out) lies within a band around what
+prose of its length reaches, and if no more than a fifth of its fixed chunks lie outside the band of the chunk's length. Ratios above a
+band mean repetitive text, below it incompressible text (encoded or random data).
+
+The middle of the bands is interpolated between the lengths of ``PROSE``, on a logarithmic scale; beyond its ends the nearest holds.
+The band reaches from ``LOW`` to ``HIGH`` times that. Texts in scripts with several bytes a character repeat their leading bytes, so
+the upper limit grows with the mean bytes a code point. Texts of fewer than ``LEAST`` bytes have no limits, as their ratio says little,
+and chunks under half the chunk size don't count.
 
 Beside the bands stand base counts over words (runs without ASCII white space), lines and three-word windows. Defined cases: null
-and empty texts have all counts 0 and fail the base rule; each row is judged alone, so ties and repeated rows don't matter.
+and empty texts have all counts 0 and fail the base rule; each row is judged alone, so ties and repeated rows don't matter; very long
+texts are compressed whole and in all their chunks; an empty table gives no rows; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +26,10 @@ from pyspark.sql import DataFrame
 
 from ..session import ship
 
-#: (length in bytes below which the band holds, least ratio, largest ratio).
-BANDS = ((256, 0.0, 3.2), (512, 1.1, 3.4), (1024, 1.25, 3.6), (4096, 1.38, 4.0), (16384, 1.4, 4.5), (float("inf"), 1.4, 5.5))
-CHUNK, CHUNK_BAND, CHUNK_SHARE, LEVEL = 2048, (1.25, 4.0), 0.2, 3
+#: Length in bytes and the ratio that prose reaches there, at this level.
+PROSE = ((256, 1.50), (512, 1.68), (1024, 1.86), (2048, 2.03), (4096, 2.14), (8192, 2.24), (16384, 2.32), (32768, 2.40), (65536, 2.48), (262144, 2.60), (1048576, 2.70))
+LOW, HIGH, LEAST = 0.78, 1.10, 256
+CHUNK, CHUNK_SHARE, LEVEL = 2048, 0.2, 3
 SYMBOLS, WHITE = b"#*$%&|<>", b" \t\n\x0b\f\r"
 
 
@@ -50,16 +57,29 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeat
 
 
+def band(size: int, width: float = 1.0) -> tuple[float, float]:
+    """Least and largest ratio of a text of ``size`` bytes, with ``width`` bytes a code point."""
+    if size < LEAST:
+        return 0.0, float("inf")
+    middle = float(np.interp(np.log2(size), [np.log2(n) for n, _ in PROSE], [r for _, r in PROSE]))
+    return LOW * middle, HIGH * middle * width
+
+
 def in_bands(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, int, int, bool]:
     """The whole ratio, the number of chunks, how many of them lie outside, and the verdict."""
     if not raw:
         return 0.0, 0, 0, False
+    width = len(raw) / (len(raw) - np.count_nonzero((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80) or 1)
     ratio = len(raw) / len(compressor.compress(raw))
-    low, high = next((lo, hi) for below, lo, hi in BANDS if len(raw) < below)
+    low, high = band(len(raw), width)
     chunks = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)] if len(raw) >= CHUNK else []
-    chunks = [c for c in chunks if len(c) >= CHUNK // 2]
-    out = sum(not CHUNK_BAND[0] <= len(c) / len(compressor.compress(c)) <= CHUNK_BAND[1] for c in chunks)
-    return ratio, len(chunks), out, low <= ratio <= high and out <= CHUNK_SHARE * len(chunks)
+    out = count = 0
+    for c in chunks:
+        if len(c) >= CHUNK // 2:
+            least, most = band(len(c), width)
+            count += 1
+            out += not least <= len(c) / len(compressor.compress(c)) <= most
+    return ratio, count, out, low <= ratio <= high and out <= CHUNK_SHARE * count
 
 
 def judge_documents(docs: DataFrame) -> DataFrame:
