@@ -6,11 +6,12 @@ and a softmax layer gives the label. Embedding and layer are trained by numpy st
 (``PER_CLASS`` documents of each label, ``MAX_CHARS`` characters at most each); every whole text is scored.
 
 All hashing is vectorised over the code points of many texts at once. As mean and layer are linear, scoring needs one number per
-hash bucket, so what tasks receive is a fixed 1 MB. Texts are worked on in pieces of at most ``PIECE`` characters, cut at white
-space where there is any, so very long texts need no more memory.
+hash bucket, so what tasks receive is a fixed 1 MB. Texts are worked on in pieces of ``PIECE`` characters, and what reaches over a cut
+(the open word, the last word, the last characters) is carried on, so very long texts need no more memory and have the same features.
 
 Defined cases: null, empty and blank texts have no features and score by the layer's bias alone; without labels of both kinds every
-score is the share of label 1 (1 if there are none at all).
+score is the share of label 1 (1 if there are none at all); each row is scored alone, so repeated rows get one score; an empty table
+gives no rows; columns named score or predicted are replaced, other extra columns pass through.
 """
 
 from __future__ import annotations
@@ -49,46 +50,59 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 _INVERSE = pow(int(_P), -1, 1 << 64)
 _TABLES: dict[str, np.ndarray] = {}
+_MASK = np.uint64(BUCKETS - 1)
 
 
 def features(text: str) -> Iterator[np.ndarray]:
-    """Hash buckets of all features of one piece, in arrays by kind."""
-    c = np.frombuffer((" " + text + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    c[(c == 32) | ((c >= 9) & (c <= 13))] = 32
-    blank = c == 32
-    n = len(c)
-    if len(_TABLES.get("p", ())) < n + 1:
-        _TABLES["p"], _TABLES["i"] = _powers(max(n + 1, PIECE + 8), int(_P)), _powers(max(n + 1, PIECE + 8), _INVERSE)
-    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-    ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    if not len(starts):
-        return
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * _TABLES["p"][:n], dtype=np.uint64)])
-    words = _spread((upto[ends] - upto[starts]) * _TABLES["i"][starts])
-    yield (words & np.uint64(BUCKETS - 1)).astype(np.int64)
-    again = int(np.count_nonzero(words[1:] == words[:-1]))
-    if again:
-        yield np.full(again, 7, dtype=np.int64)
-    h = c.copy()
-    inner = np.cumsum(blank)
-    for k in range(2, max(NGRAMS) + 1):
-        h = h[: n - k + 1] * _P + c[k - 1 :]
-        if k in NGRAMS:
-            # at most the first and the last character are blank: no n-gram reaches over a word's ends
-            ok = inner[k - 2 : n - 1] == inner[: n - k + 1]
-            if k == 2:
-                ok &= True
-            yield (_spread(h[ok] + np.uint64(k)) & np.uint64(BUCKETS - 1)).astype(np.int64)
-
-
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    at = 0
-    while len(text) - at > size:
-        cut = max(text.rfind(" ", at + size // 2, at + size), text.rfind("\n", at + size // 2, at + size))
-        cut = cut if cut > at else at + size
-        yield text[at:cut]
-        at = cut
-    yield text[at:] if at else text
+    """Hash buckets of all features of a text, in arrays by kind and piece."""
+    if len(_TABLES.get("p", ())) < PIECE + 8:
+        _TABLES["p"], _TABLES["i"] = _powers(PIECE + 8, int(_P)), _powers(PIECE + 8, _INVERSE)
+    power, inverse = _TABLES["p"], _TABLES["i"]
+    reach = max(NGRAMS) - 1
+    tail = np.full(1, 32, dtype=np.uint64)
+    open_hash, open_power, last = np.zeros(1, np.uint64), np.ones(1, np.uint64), None  # arrays wrap without a warning
+    for piece in (*pieces(text), " "):
+        own = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        own[(own >= 9) & (own <= 13)] = 32
+        t, n = len(tail), len(own)
+        c = np.concatenate([tail, own])
+        blank = c == 32
+        starts = np.flatnonzero(blank[t - 1 : -1] & ~blank[t:])
+        ends = np.flatnonzero(~blank[t - 1 : -1] & blank[t:])
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((own + np.uint64(1)) * power[:n], dtype=np.uint64)])
+        opened = not blank[t - 1]
+        words = np.zeros(0, np.uint64)
+        if opened and len(ends):
+            words = _spread(open_hash + open_power * upto[ends[:1]])
+        elif opened:
+            open_hash, open_power = open_hash + open_power * upto[n : n + 1], open_power * power[n : n + 1]
+        whole = len(ends) - opened if len(ends) else 0
+        if whole:
+            a, b = starts[:whole], ends[len(ends) - whole :]
+            words = np.concatenate([words, _spread((upto[b] - upto[a]) * inverse[a])])
+        if len(starts) > whole:
+            a = starts[-1:]
+            open_hash, open_power = (upto[n] - upto[a]) * inverse[a], power[n - a]
+        if len(words):
+            yield (words & _MASK).astype(np.int64)
+            again = int(np.count_nonzero(words[1:] == words[:-1])) + (last is not None and int(words[0] == last))
+            last = words[-1]
+            if again:
+                yield np.full(again, 7, dtype=np.int64)
+        h, inner, n = c.copy(), np.cumsum(blank), t + n
+        for k in range(2, min(reach + 1, n) + 1):
+            h = h[: n - k + 1] * _P + c[k - 1 :]
+            if k in NGRAMS:
+                # at most the first and the last character are blank: no n-gram reaches over a word's ends; those of the tail came before
+                ok = inner[k - 2 : n - 1] == inner[: n - k + 1]
+                ok[: max(0, t - k + 1)] = False
+                yield (_spread(h[ok] + np.uint64(k)) & _MASK).astype(np.int64)
+        tail = c[-reach:]
+
+
+def pieces(text: str, size: int | None = None) -> Iterator[str]:
+    size = size or PIECE
+    return (text[at : at + size] for at in range(0, len(text), size))
 
 
 def fit(texts: list[str], y: np.ndarray, epochs: int = 6, rate: float = 0.6, seed: int = 0) -> dict:
@@ -98,7 +112,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 6, rate: float = 0.6, see
         return {"u": np.zeros(BUCKETS, np.float32), "b": 30.0 * (2 * share - 1)}
     bags = []
     for t in texts:
-        own = [f for p in pieces(t) for f in features(p)]
+        own = list(features(t))
         ids, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.int64), np.zeros(0))
         bags.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
@@ -129,10 +143,9 @@ def logits(texts: list[str | None], model: dict) -> np.ndarray:
     u, out = model["u"], np.zeros(len(texts))
     for i, t in enumerate(texts):
         total, count = 0.0, 0
-        for p in pieces(t or ""):
-            for f in features(p):
-                total += float(u[f].sum(dtype=np.float64))
-                count += len(f)
+        for f in features(t or ""):
+            total += float(u[f].sum(dtype=np.float64))
+            count += len(f)
         out[i] = model["b"] + (total / count if count else 0.0)
     return out
 
