@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset and the session is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spinel-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -26,7 +28,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/spinel/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spinel_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that no later plan reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._spinel_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def private(columns: list[str], stem: str) -> str:
+    """A prefix that no column has, whatever its case."""
+    while any(c.lower().startswith(stem) for c in columns):
+        stem = "_" + stem
+    return stem
 
 
 def word_count(text: Column) -> Column:
