@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import private
+
 WHITE = " \t\n\x0b\f\r"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -33,14 +35,15 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id") -> Dat
     place = lambda: F.struct(F.col("id").isNull().alias("last"), "id", "th", F.element_at("at", 1).alias("pos"))
     first = windows.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = windows.join(first, ["h1", "h2"]).filter(place() > F.col("first"))
-    drop = again.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("__drop"))
-    keyed = docs.withColumns({"__id": F.col(id_col), "__th": F.xxhash64("text")})
-    drop = drop.select(F.col("id").alias("__i2"), F.col("th").alias("__t2"), "__drop")
-    joined = keyed.join(drop, keyed["__id"].eqNullSafe(drop["__i2"]) & (keyed["__th"] == drop["__t2"]), "left")
-    left = F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("__drop", i))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    added = {
-        "n_lines": F.coalesce(F.size(F.split(F.col("text"), "\n")), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"),
-    }
+    own = private(docs.columns, "line_dedup_")
+    drop = again.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias(f"{own}drop"))
+    keyed = docs.withColumns({f"{own}id": F.col(id_col), f"{own}th": F.xxhash64("text")})
+    drop = drop.select(F.col("id").alias(f"{own}i2"), F.col("th").alias(f"{own}t2"), f"{own}drop")
+    joined = keyed.join(drop, keyed[f"{own}id"].eqNullSafe(drop[f"{own}i2"]) & (keyed[f"{own}th"] == drop[f"{own}t2"]), "left")
+    split, gone = F.split(F.col("text"), "\n"), F.col(f"{own}drop")
+    # array_except hashes, and the one-element array binds the lines for the inner function
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
+    left = F.transform(F.array(split), lambda x: F.transform(stay, lambda i: F.element_at(x, i + 1)))[0]
+    text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    added = {"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in added], *[c.alias(n) for n, c in added.items()])
