@@ -6,8 +6,9 @@ eta = (d - 1) t^2 / (1 - t^2), since that part is what disturbs large inner prod
 this loss and codewords by its weighted least squares. Codewords are fitted on a bounded sample (``SAMPLE`` vectors); every vector is
 encoded.
 
-Search: rows and queries are dealt into blocks of bounded size and each block of queries meets each block of rows once. There, a
-query's tables of 256 partial sums (two codes a byte) are scanned over all codes, and the best of the block are scored again by the
+Search: rows and queries are dealt into blocks of bounded size and each block of queries meets each block of rows once; a row travels
+with its codes packed two a byte and its vector as stored, once for every ``QUERY_BLOCK`` queries. There, a query's tables of 256 partial
+sums (one a byte) are scanned over all codes, and the best of the block are scored again by the
 original vectors in double precision: ``RERANK`` rows, and twice as many again while the next one's approximate score is less than
 ``MARGIN`` standard errors (measured for the query) below the k-th exact score. So where a third of all vectors lie close together, all of
 those are scored exactly. The best k of all blocks stay. Equal vectors in a block are scanned as one and
@@ -32,18 +33,26 @@ from .staging import staged
 
 SAMPLE = 8192
 THRESHOLD = 0.2
-ROW_BLOCK, QUERY_BLOCK = 8192, 2048
+ROW_BLOCK, QUERY_BLOCK = 8192, 32768
 RERANK, MARGIN = 128, 3.0
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): the vectors that take part, as doubles."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    """(vec_id, v): the vectors that take part; floats stay floats, anything else becomes doubles."""
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    v = F.col(vector_col) if kind in ("float", "double") else F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     broken = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.filter(~broken & F.exists("v", lambda x: x != 0))
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two codes a byte, the first in the low half; an odd last one alone."""
+    if codes.shape[1] % 2:
+        codes = np.pad(codes, ((0, 0), (0, 1)))
+    return codes[:, ::2] | (codes[:, 1::2] << 4)
+
+
 def _eta(d: int, t: float = THRESHOLD) -> float:
     return max(1.0, (d - 1) * t * t / (1 - t * t))
 
@@ -116,25 +125,26 @@ def _even(u: np.ndarray) -> np.ndarray:
 
 
 def scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int = RERANK) -> list[tuple[int, int, float]]:
-    """(query_id, vec_id, score): each query's k best of one block of rows."""
+    """(query_id, vec_id, score): each query's k best of one block of rows, whose codes are packed."""
     order = np.argsort(ids, kind="stable")
     ids, v, codes = ids[order], v[order], codes[order]
     _, first, group = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
     members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
     rows = v[first]
     rows_u = _unit(rows)
-    c = codes[first].astype(np.int64)
-    pairs = c.shape[1]
-    two = [c[:, m] + (c[:, m + 1] * 16 if m + 1 < pairs else 0) for m in range(0, pairs, 2)]
+    pairs = len(books)
+    two = list(codes[first].T.astype(np.int64))
     some = np.arange(0, len(rows), max(1, len(rows) // 256))
     rerank, out = max(rerank, k + 2), []
     q_u = _unit(q)
-    look = np.einsum("qmd,mkd->qmk", _even(q_u).reshape(len(q), pairs, 2), books).astype(np.float32)
     for i, qid in enumerate(q_ids):
+        if i % 1024 == 0:
+            look = np.einsum("qmd,mkd->qmk", _even(q_u[i : i + 1024]).reshape(-1, pairs, 2), books).astype(np.float32)
+        own = look[i % 1024]
         approx = np.zeros(len(rows), dtype=np.float32)
         for j, byte in enumerate(two):
             m = 2 * j
-            table = (look[i, m][None, :] + look[i, m + 1][:, None]).ravel() if m + 1 < pairs else look[i, m]
+            table = (own[m][None, :] + own[m + 1][:, None]).ravel() if m + 1 < pairs else own[m]
             approx += table[byte]
         error = (rows_u[some] * q_u[i]).sum(1) - approx[some]
         slack, depth = float(error.mean() + MARGIN * error.std()), min(rerank, len(approx))
@@ -174,15 +184,15 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     fit = hashed.filter(F.col("o") <= min(below, 2**63 - 1)).orderBy("o", "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
     if not len(fit):  # many equal rows have one hash
         fit = rows.limit(SAMPLE).select("v").toPandas()["v"]
-    books = train(_even(_unit(np.array(fit.tolist()))))
+    books = train(_even(_unit(np.array(fit.tolist(), dtype=np.float64))))
     eta = _eta(d)
 
     def quantise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            codes = encode(_even(_unit(np.array(pdf["v"].tolist()))), books, eta) if len(pdf) else []
+            codes = packed(encode(_even(_unit(np.array(pdf["v"].tolist(), dtype=np.float64))), books, eta)) if len(pdf) else []
             yield pdf.assign(code=[c.tobytes() for c in codes])
 
-    coded = rows.mapInPandas(quantise, "vec_id long, v array<double>, code binary")
+    coded = rows.mapInPandas(quantise, f"vec_id long, v {rows.schema['v'].dataType.simpleString()}, code binary")
     queries = staged(rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-queries")
     r_blocks, q_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
     left = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))).alias("rb"), "vec_id", "v")
@@ -192,7 +202,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
         found: list[tuple[int, int, float]] = []
         if len(q) and len(r):
             codes = np.frombuffer(b"".join(r["code"]), dtype=np.uint8).reshape(len(r), -1)
-            found = scan(q["vec_id"].to_numpy(), np.array(q["v"].tolist()), r["vec_id"].to_numpy(), np.array(r["v"].tolist()), codes, books, k)
+            found = scan(q["vec_id"].to_numpy(), np.array(q["v"].tolist(), dtype=np.float64), r["vec_id"].to_numpy(), np.array(r["v"].tolist(), dtype=np.float64), codes, books, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     near = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, schema)
