@@ -61,15 +61,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
-    """op over x[i : i + w] for each i, in three passes."""
-    n = len(x) - w + 1
-    padded = np.full(-(-len(x) // w) * w, np.uint64(fill))
-    padded[: len(x)] = x
-    blocks = padded.reshape(-1, w)
-    ahead = op.accumulate(blocks, axis=1).ravel()
-    behind = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(behind[:n], ahead[w - 1 : w - 1 + n])
+def _sliding(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
+    """op over x[i : i + w] for each i, by windows of doubled width."""
+    out, k = x, 1
+    while 2 * k <= w:
+        out, k = op(out[:-k], out[k:]), 2 * k
+    return op(out[: len(out) - (w - k)], out[w - k :]) if k < w else out
 
 
 def chosen(raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +76,13 @@ def chosen(raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     eight = np.ndarray((n - 7,), dtype="<u8", buffer=raw, strides=(1,))
     h = _mix(eight[: n - GRAM + 1] * _A ^ _mix(eight[GRAM - 8 :][: n - GRAM + 1] + _B)) | np.uint64(1)
-    least = _sliding(h, w, np.minimum, np.iinfo(np.uint64).max)  # by string start; n - LENGTH + 1 of them
+    least = _sliding(h, w, np.minimum)  # by string start; n - LENGTH + 1 of them
     whole = np.ones(len(least), dtype=bool)
     for e in bounds[:-1].tolist():
         whole[max(0, e - LENGTH + 1) : e] = False
     least[~whole] = 0
     reach = np.concatenate([np.zeros(SPAN, np.uint64), least, np.zeros(SPAN, np.uint64)])
-    at = np.flatnonzero(_sliding(reach, w, np.maximum, 0)[: len(h)] == h)
+    at = np.flatnonzero(_sliding(reach, w, np.maximum)[: len(h)] == h)
     return at, h[at]
 
 
@@ -157,11 +154,9 @@ def merge_runs(runs: list[tuple[Iterable[bytes], Iterable[int]]]) -> tuple[list[
         """Winner and loser of two heads, with their common prefixes with the last winner and with each other."""
         x, y = head[a], head[b]
         if x is None:
-            return b, lb, a, la
-        if y is None or la > lb:
-            return a, la, b, lb
-        if lb > la:
-            return b, lb, a, la
+            return b, lb, a, -1
+        if y is None:
+            return a, la, b, -1
         i = la
         while i < full and x[i : i + 8] == y[i : i + 8]:
             i += 8
@@ -188,15 +183,15 @@ def merge_runs(runs: list[tuple[Iterable[bytes], Iterable[int]]]) -> tuple[list[
         order.append(w)
         lcps.append(lw)
         head[w] = next(words[w], None)
-        lw = next(prefixes[w], 0)
+        lw = next(prefixes[w], -1)  # -1: the run has ended
         node = (k + w) >> 1
         while node:
-            lo, ll = loser[node], common[node]
-            if head[w] is None or ll > lw:
-                if head[lo] is not None:
-                    loser[node], common[node], w, lw = w, lw, lo, ll
-            elif ll == lw and head[lo] is not None:
-                w, lw, loser[node], common[node] = play(w, lw, lo, ll)
+            ll = common[node]
+            if ll > lw:
+                w, loser[node] = loser[node], w
+                lw, common[node] = ll, lw
+            elif ll == lw and ll >= 0:
+                w, lw, loser[node], common[node] = play(w, lw, loser[node], ll)
             node >>= 1
     return order, lcps
 
@@ -239,12 +234,15 @@ def smaller(rows: np.ndarray, lcp: np.ndarray, low: np.ndarray, high: np.ndarray
 
 
 class Chunk:
-    """The documents of one chunk, by id and text, and the grams they chose."""
+    """The documents of one chunk, by id and text, and what lies in them."""
 
     def __init__(self, pdf: pd.DataFrame):
         pdf = pdf.sort_values(["id", "raw"], kind="stable")
         self.raws, self.ids = list(pdf["raw"]), pdf["id"].to_numpy(dtype=np.int64)
         self.chunk = int(pdf["chunk"].iat[0])
+
+    def choose(self) -> Chunk:
+        """Sets grams (the distinct ones in order), first, count, and owner and place of their occurrences."""
         hs, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in self.groups():
             ends = np.cumsum([len(r) for r in self.raws[a:b]])
@@ -258,8 +256,9 @@ class Chunk:
         h, self.owner, self.place = h[order], owner[order], place[order]
         self.first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         self.grams, self.count = h[self.first], np.diff(np.append(self.first, len(h)))
+        return self
 
-    def groups(self, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    def groups(self, most: int = 1 << 15) -> Iterator[tuple[int, int]]:
         """Ranges of documents of about ``most`` bytes."""
         a = size = 0
         for k, raw in enumerate(self.raws):
@@ -334,7 +333,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     keyed = docs.select(own_id.alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), chunk.alias("chunk"))
 
     def grams(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(Chunk(pdf).runs(ranges), columns=["range", "chunk", "run"])
+        return pd.DataFrame(Chunk(pdf).choose().runs(ranges), columns=["range", "chunk", "run"])
 
     runs = keyed.groupBy("chunk").applyInPandas(grams, "range int, chunk int, run binary")
 
@@ -351,15 +350,14 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         flag = (shared + (shared & (np.add.reduceat(count[order].astype(np.int64), first) > hot))).astype(np.uint8)
         by_run = np.empty(len(h), dtype=np.uint8)
         by_run[order] = np.repeat(flag, np.diff(np.append(first, len(h))))
-        return pd.DataFrame({"chunk": pdf["chunk"], "part": np.full(len(pdf), -1), "place": pdf["range"], "found": [pack(by_run[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
+        return pd.DataFrame({"chunk": pdf["chunk"], "place": pdf["range"], "found": [pack(by_run[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
 
-    answer = "chunk int, part int, place int, found binary"
-    flags = runs.groupBy("range").applyInPandas(judge, answer)
+    flags = runs.groupBy("range").applyInPandas(judge, "chunk int, place int, found binary")
 
     def suffixes(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(pdf) and len(found):
-            c = Chunk(pdf)
+            c = Chunk(pdf).choose()
             c.items(list(found.sort_values("place")["found"]), parts)
             ids = c.ids[c.ordinal]
             if len(ids):
@@ -368,11 +366,19 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
                     lcp, rest = front_code(c.rows[a:b])
                     run = zstandard.ZstdCompressor(level=1).compress(len(lcp).to_bytes(8, "little") + lcp.tobytes() + rest)
                     out.append((int(c.part[a]), c.chunk, run, pack(low[a:b], high[a:b] - low[a:b])))
+                # the chunk's note to itself: which documents and places its items stand for
+                fresh = np.zeros(len(ids), dtype=np.uint8)
+                fresh[c.start[:-1]] = 1
+                parts_at = np.array([(c.part[a], a) for a, _ in stretches(c.part)], dtype=np.int64)
+                out.append((-1 - c.chunk, c.chunk, pack(parts_at[:, 0], parts_at[:, 1]), pack(c.ordinal.astype(np.uint32), c.at.astype(np.uint32), fresh)))
         return pd.DataFrame(out, columns=["part", "chunk", "run", "members"])
 
     sorted_runs = keyed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInPandas(suffixes, "part int, chunk int, run binary, members binary")
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iat[0])
+        if part < 0:
+            return pd.DataFrame({"chunk": pdf["chunk"], "part": part, "found": pdf["run"], "members": pdf["members"]})
         pdf = pdf.sort_values("chunk")
         blobs, runs, lows, highs = [], [], [], []
         for run, members in zip(pdf["run"], pdf["members"], strict=True):
@@ -398,11 +404,11 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         item = rank[item] - np.concatenate([[0], np.cumsum([len(x) for x in lows])])[source]
         by = np.lexsort((since, item, source))
         source, item, since, until, least = source[by], item[by], since[by], until[by], least[by]
-        part, chunk = int(pdf["part"].iat[0]), pdf["chunk"].to_numpy()
-        out = [(int(chunk[source[a]]), part, 0, pack(item[a:b].astype(np.uint32), since[a:b].astype(np.uint8), until[a:b].astype(np.uint8), least[a:b])) for a, b in stretches(source)]
-        return pd.DataFrame(out, columns=["chunk", "part", "place", "found"])
+        chunk = pdf["chunk"].to_numpy()
+        out = [(int(chunk[source[a]]), part, pack(item[a:b].astype(np.uint32), since[a:b].astype(np.uint8), until[a:b].astype(np.uint8), least[a:b]), b"") for a, b in stretches(source)]
+        return pd.DataFrame(out, columns=["chunk", "part", "found", "members"])
 
-    answers = sorted_runs.groupBy("part").applyInPandas(combine, answer)
+    answers = sorted_runs.groupBy("part").applyInPandas(combine, "chunk int, part int, found binary, members binary")
 
     def cut(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         columns = ["id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -412,17 +418,19 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         owner = start = end = np.zeros(0, np.int64)
         heard = found[found["part"] >= 0].sort_values("part")
         if len(heard):
-            c.items(list(found[found["part"] < 0].sort_values("place")["found"]), parts)
+            note = found[found["part"] < 0].iloc[0]
+            parts_at = dict(zip(*(x.tolist() for x in unpack(note["found"], "i8", "i8")), strict=True))
+            ordinal, at, fresh = unpack(note["members"], "u4", "u4", "u1")
+            ordinal, at, begin = ordinal.astype(np.int64), at.astype(np.int64), np.append(np.flatnonzero(fresh), len(fresh))
             got = [unpack(x, "u4", "u1", "u1", "i8") for x in heard["found"]]
-            first = np.searchsorted(c.part, heard["part"].to_numpy())
-            item = np.concatenate([f + x[0].astype(np.int64) for f, x in zip(first, got, strict=True)])
+            item = np.concatenate([parts_at[p] + x[0].astype(np.int64) for p, x in zip(heard["part"].tolist(), got, strict=True)])
             since, until, least = (np.concatenate([x[k] for x in got]).astype(np.int64) for k in (1, 2, 3))
-            n = c.start[item + 1] - c.start[item]
-            member = np.repeat(c.start[item] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            n = begin[item + 1] - begin[item]
+            member = np.repeat(begin[item] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             of = np.repeat(np.arange(len(item)), n)
-            gone = c.ids[c.ordinal[member]] > least[of]
+            gone = c.ids[ordinal[member]] > least[of]
             member, of = member[gone], of[gone]
-            owner, start, end = c.ordinal[member], c.at[member] - until[of], c.at[member] - since[of] + LENGTH
+            owner, start, end = ordinal[member], at[member] - until[of], at[member] - since[of] + LENGTH
             order = np.argsort(owner, kind="stable")
             owner, start, end = owner[order], start[order], end[order]
         out = []
@@ -443,7 +451,6 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         done.insert(0, "id", c.ids)
         return done
 
-    heard = flags.unionByName(answers)
-    done = keyed.groupBy("chunk").cogroup(heard.groupBy("chunk")).applyInPandas(cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     doc_id = F.when(F.col("id") != NO_ID, F.col("id")).cast(id_type).alias("doc_id")
     return done.select(doc_id, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
