@@ -172,6 +172,42 @@ def test_forest_blocks_give_the_same():
     assert forest.prefix_depth() == next(d for d in range(forest.DEEPEST, 0, -1) if 1 - (1 - 0.8**d) ** forest.TREES >= forest.RECALL)
 
 
+def test_forest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    """A large group of near copies in blocks that travel as values, and classes no longer than their blocks."""
+    monkeypatch.setattr(forest, "BLOCK_CLASSES", 7)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(80)]
+    docs = []
+    for k in range(60):
+        t = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            t[rng.randrange(80)] = f"x{rng.randrange(30)}"
+        docs.append((k, " ".join(t)))
+    docs += [(60 + k, " ".join(rng.choices(base, k=40))) for k in range(20)] + [(90, docs[3][1])]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    links = {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 for j in sets) for i in sets}
+    got = {r.doc_id: r.n_links for r in forest.join_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == links and max(links.values()) > 20
+
+
+def test_forest_depth_follows_the_links():
+    low = forest.prefix_depth()
+    assert forest.adapted_depth(np.zeros(0), low, forest.TREES, forest.RECALL) == low
+    assert forest.adapted_depth(np.full(50, 0.97), low, forest.TREES, forest.RECALL) == forest.DEEPEST
+    assert forest.adapted_depth(np.full(50, 0.8), low, forest.TREES, forest.RECALL) == low
+    middle = forest.adapted_depth(np.full(50, 0.85), low, forest.TREES, forest.RECALL)
+    assert low < middle < forest.DEEPEST and forest.expected_recall(np.full(9, 0.85), np.ones(9), middle + 1, forest.TREES) < forest.RECALL
+
+
+def test_labels_agree_as_often_as_sets_do():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    b = np.concatenate([a[:360], rng.integers(0, 1 << 63, 40).astype(np.uint64)])
+    x, y = forest.labels_of([a, b], 200)
+    assert abs((x == y).mean() - 360 / 440) < 0.03
+    assert forest.class_key(a) != forest.class_key(b) and len(forest.class_key(a)) == 16
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(k, k + 1) for k in range(1, 200)] + [(1000, 1001), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
