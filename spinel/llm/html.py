@@ -1,26 +1,35 @@
 """Main text of web pages by wrapper induction.
 
-The pages of one host are aligned, each with the host's reference page (the one whose id has the smallest hash), by simple tree
-matching: equal root labels match, and the children are aligned in order so that the number of matched nodes is largest. Siblings
-are aligned one by one; equal subtrees at both ends and those that stand once on each side are paired first, so a notice among
+The pages of one host and layout are aligned, each with the group's reference page (the one whose id has the smallest hash), by simple
+tree matching: equal root labels match, and the children are aligned in order so that the number of matched nodes is largest. The
+layout of a page is the set of its block elements with their classes, so an error page or another kind of page has a wrapper of its own.
+Siblings are aligned one by one; equal subtrees at both ends and those that stand once on each side are paired first, so a notice among
 paragraphs meets its like. Matched nodes depend on the labels below two nodes alone, so a long list costs one comparison.
-Per reference node the pages that match it, those that repeat its text, and the length of varying text are summed over all pages of
-the host. Nodes that repeat their text are template; the content region is the lowest node that holds most of the varying text.
-Extraction aligns a page again and takes what lies in the region without template nodes.
 
-Nodes that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
-never count as content: on many sites their text varies as the article's does. Inside an article element a node counts as template
-only if nine tenths of at least ten pages repeat it, and a page of which nothing else is left keeps it.
-
-Skew: every page is aligned by itself; sums per host are combined before the shuffle. Hosts join with one wrapper each, which Spark
-broadcasts if their file is small and else splits by its skew handling. Defined cases: null or empty html and pages without text give the empty
-text; a null url has no host and the page is read by its elements alone; repeated rows give repeated results; extra columns are ignored.
+Per reference node the pages that match it, those that repeat its text, how many different texts they have there, and the length of
+varying text are summed over all pages of the group. Nodes whose text half of the pages repeat are template, unless the other half
+differ from one another, as copies of one article beside other articles do. The content region is the lowest node that holds most of the
+varying text. Extraction aligns a page again and takes what lies in the region without template nodes; only a page without a wrapper, or
+one that has no such region, is read by its article elements instead, or whole.
+
+Constant text is template, but not all varying text is content: elements that by tag, role or class are menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or reader comments never count, as on many sites they vary as the article does. A class
+or id counts by whole names (``sidebar``, ``site-footer``, not ``no-sidebar``), and not if all articles of the page lie inside the element.
+Inside an article element a node counts as template only if nine tenths of at least ten pages repeat it, and a page of which nothing else
+is left keeps it.
+
+Skew: every page is aligned by itself; sums per group are combined before the shuffle. Pages join with one reference and one wrapper for
+each group, which Spark broadcasts if their files are small and else splits by its skew handling; html isn't shuffled by host otherwise.
+Defined cases: null or empty html and pages without text give the empty text; a null url has no host and the page is read by its elements
+alone; elements of any depth and number count; repeated rows give repeated results; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
 import zlib
 from bisect import bisect_left
@@ -40,65 +49,98 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)([^>]*+)(?:>|\Z)|</?\Z",
     re.S,
 )
-ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACES = re.compile(r"\s+")
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[a-z]+|[^a-z\s]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math noframes xmp object audio video canvas".split())
+RAW = frozenset("script style textarea title noscript iframe template noframes xmp object audio video canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-#: Elements, roles and words of class or id that mark what is not the article.
+#: Elements, roles and words of class or id that mark what is not the article, and words that may stand beside these.
 BAD_TAGS = frozenset("nav footer aside form button select head menu dialog input fieldset".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices menu nav navbar navigation sidebar comment comments respond reply replies disqus "
     "related share sharing social footer header masthead breadcrumb breadcrumbs newsletter subscribe signup login popup modal overlay pagination pager widget toolbar skip".split()
 )
+BESIDE_WORDS = frozenset("site top bottom left right box bar list area wrapper container block links inner item items global secondary".split())
 ARTICLE = frozenset(("article", "main"))
+#: Java regex of the elements that make a page's layout.
+LAYOUT = r"(?i)<(?:body|div|section|nav|header|footer|aside|main|article|form|table)\b(?:[^>]*?\s(?:class|id)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?"
+#: Bits in which different texts of a node are counted.
+BITS = 256
 #: Cells of a matching table kept at once.
 CELLS = 1_000_000
 
 
 class Node:
-    __slots__ = ("tag", "label", "kids", "bad", "inside", "mark")
+    """An element. bad: 2 by its tag or role, 1 by its class or id; parse() hands it down to what lies inside."""
+
+    __slots__ = ("tag", "label", "kids", "bad", "inside", "mark", "up")
 
-    def __init__(self, tag: str, label: str, bad: bool, inside: bool):
-        self.tag, self.label, self.bad, self.inside = tag, label, bad, inside
+    def __init__(self, tag: str, label: str, bad: int, up: Node | None):
+        self.tag, self.label, self.bad, self.up = tag, label, bad, up
         self.kids: list = []
+        self.inside = False
         self.mark = -1
 
 
+def marks(name: str) -> bool:
+    """Whether one class or id marks what is not the article: words that do, and none but words that may stand beside them."""
+    words = [w for w in WORDS.findall(name) if w.strip("-_:./")]
+    return not BAD_WORDS.isdisjoint(words) and all(w in BAD_WORDS or w in BESIDE_WORDS for w in words)
+
+
+_MARKS: dict[str, bool] = {}
+
+
 def _node(tag: str, attrs: str, parent: Node) -> Node:
-    words: set[str] = set()
     css = ""
-    bad = tag in BAD_TAGS or (tag == "header" and not parent.inside)
+    bad = 2 * (tag in BAD_TAGS)
     if attrs:
-        for name, a, b, c, hidden in ATTR.findall(attrs):
+        for name, a, b, c in ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
-            if hidden:
-                bad = True
-            elif name in ("class", "id"):
-                words.update(WORDS.findall(value))
+            if name in ("class", "id"):
                 css = value if name == "class" else css
-            elif name == "role":
-                bad |= value in BAD_ROLES
-            elif name == "aria-hidden":
-                bad |= value == "true"
-            elif name == "style":
-                bad |= "display:none" in value.replace(" ", "")
-    main = tag in ARTICLE
-    if tag not in ("html", "body") and not (main and not words & {"comment", "comments", "reply"}):
-        bad |= not words.isdisjoint(BAD_WORDS)
-    inside = not bad and (parent.inside or main)
-    return Node(tag, f"{tag}.{SPACES.sub(' ', css).strip()}" if css else tag, parent.bad or bad, inside)
+                if not bad and tag not in ("html", "body"):
+                    for k in value.split():
+                        if k not in _MARKS:
+                            if len(_MARKS) > 100_000:
+                                _MARKS.clear()
+                            _MARKS[k] = marks(k)
+                        bad = bad or int(_MARKS[k])
+            elif name == "role" and value in BAD_ROLES:
+                bad = 2
+    return Node(tag, f"{tag}.{SPACES.sub(' ', css).strip()}" if css else tag, bad, parent)
+
+
+def settle(nodes: list[Node]) -> None:
+    """Sets inside (an article element) and bad for elements in document order. A mark by class is void on an element that holds all
+    articles of the page, or, where there is none, its first main heading."""
+    hard = {id(n) for n in nodes if n.bad == 2}
+    for n in nodes:
+        if n.up is not None and id(n.up) in hard:
+            hard.add(id(n))
+    anchors = [n for n in nodes if n.tag in ARTICLE and n.bad == 0 and id(n) not in hard]
+    anchors = anchors or [n for n in nodes if n.tag == "h1" and id(n) not in hard][:1]
+    above: Counter[int] = Counter()
+    for n in anchors:
+        while n is not None:
+            above[id(n)] += 1
+            n = n.up
+    for n in nodes:
+        up = n.up
+        bad = n.bad == 2 or (n.bad == 1 and not (anchors and above[id(n)] == len(anchors))) or (n.tag == "header" and not (up is not None and up.inside))
+        n.bad = int(bad or (up is not None and up.bad > 0))
+        n.inside = not n.bad and (n.tag in ARTICLE or (up is not None and up.inside))
 
 
 def parse(text: str) -> Node:
     """The DOM of a page; text of raw elements is left out, open elements end where HTML implies it."""
-    root = Node("#root", "#root", False, False)
-    stack, at, size = [root], 0, len(text)
+    root = Node("#root", "#root", 0, None)
+    nodes, stack, at, size = [root], [root], 0, len(text)
     still: Counter[str] = Counter()  # open elements by tag
 
     def close(k: int) -> None:
@@ -149,9 +191,11 @@ def parse(text: str) -> Node:
             continue
         node = _node(tag, attrs, stack[-1])
         stack[-1].kids.append(node)
+        nodes.append(node)
         if not attrs.endswith("/"):
             stack.append(node)
             still[tag] += 1
+    settle(nodes)
     return root
 
 
@@ -377,16 +421,24 @@ def load(text: str) -> list[Shape]:
     return sign(shapes)
 
 
-def induce(shapes: list[Shape], pages: int, sums: dict[int, tuple[int, int, int]]) -> tuple[int, list[int]]:
-    """The content region (an index, -1: none) and the template nodes of a host; sums: matched, repeated, varying characters."""
+def different(bits: int) -> float:
+    """How many different texts set these bits, estimated by linear counting."""
+    free = BITS - bits.bit_count()
+    return BITS * math.log(BITS / free) if free else math.inf
+
+
+def induce(shapes: list[Shape], pages: int, sums: dict[int, tuple[int, int, int, int]]) -> tuple[int, list[int]]:
+    """The content region (an index, -1: none) and the template nodes of a group; sums: matched, repeated, varying characters, bits of
+    the texts."""
     template = []
     for s in shapes:
-        matched, same, _ = sums.get(s.index, (0, 0, 0))
+        matched, same, _, bits = sums.get(s.index, (0, 0, 0, 0))
         if s.text and matched >= 0.5 * pages and pages >= 3 and same >= (0.9 if s.inside else 0.5) * matched and (pages >= 10 or not s.inside):
-            template.append(s.index)
-    mass = [0] * len(shapes)
+            if different(bits) <= max(1.5, 0.25 * min(matched, BITS)):
+                template.append(s.index)
+    mass, known = [0] * len(shapes), set(template)
     for s in reversed(shapes):
-        own = 0 if s.bad or s.index in template else sums.get(s.index, (0, 0, 0))[2]
+        own = 0 if s.bad or s.index in known else sums.get(s.index, (0, 0, 0, 0))[2]
         mass[s.index] = own + sum(mass[k.index] for k in s.kids)
     at = shapes[0]
     if not mass[0]:
@@ -401,8 +453,13 @@ def induce(shapes: list[Shape], pages: int, sums: dict[int, tuple[int, int, int]
 
 def extract(text: str | None, wrapper: tuple[list[Shape], int, frozenset[int]] | None = None) -> str:
     """The main text of one page."""
+    return read_page(text, wrapper)[0]
+
+
+def read_page(text: str | None, wrapper: tuple[list[Shape], int, frozenset[int]] | None = None) -> tuple[str, bool]:
+    """The main text of one page, and whether a region of the wrapper gave it."""
     if not text:
-        return ""
+        return "", False
     root = parse(text)
     shapes = flatten(root)
     region, dropped = -1, set()
@@ -426,7 +483,7 @@ def extract(text: str | None, wrapper: tuple[list[Shape], int, frozenset[int]] |
             n, inside = top
             if n.bad:
                 continue
-            inside = inside or n.mark == region or (region < 0 and (n.tag in ARTICLE or not has_article)) or (n.tag in ARTICLE)
+            inside = inside or (n.mark == region if region >= 0 else n.tag in ARTICLE or not has_article)
             if n.tag not in INLINE:
                 out.append("\n")
                 stack.append("\n")
@@ -435,85 +492,97 @@ def extract(text: str | None, wrapper: tuple[list[Shape], int, frozenset[int]] |
         joined = "".join(out)
         return SPACES.sub(" ", entities.unescape(joined) if "&" in joined else joined).strip()
 
-    return read(False) or read(True)
+    return read(False) or read(True), region >= 0
 
 
 def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
 
 
+def grouped(pages: DataFrame) -> DataFrame:
+    """``pages`` with host and layout."""
+    blocks = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(LAYOUT), 0)))
+    return pages.withColumns({"host": host_of(F.col("url")), "layout": F.xxhash64(blocks)})
+
+
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, tree, region, template): one wrapper for each host."""
+    """(host, layout, tree, region, template): one wrapper for each host and layout."""
     ship(pages.sparkSession)
-    keyed = pages.select(host_of(F.col("url")).alias("host"), "page_id", "html").filter("host IS NOT NULL AND html IS NOT NULL")
-    chosen = keyed.groupBy("host").agg(F.min_by("page_id", F.xxhash64("page_id")).alias("page_id"))
-    first = keyed.join(chosen, ["host", "page_id"], "left_semi").groupBy("host").agg(F.min("html").alias("html"))
+    keyed = grouped(pages.select("page_id", "url", "html")).filter("host IS NOT NULL AND html IS NOT NULL").select("host", "layout", "page_id", "html")
+    chosen = staged(keyed.groupBy("host", "layout").agg(F.min_by("page_id", F.xxhash64("page_id")).alias("page_id")), "html-references")
+    first = keyed.join(chosen, ["host", "layout", "page_id"], "left_semi").groupBy("host", "layout").agg(F.min("html").alias("html"))
 
     def shapes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"host": pdf["host"], "tree": [dump(flatten(parse(h))) for h in pdf["html"]]})
+            yield pd.DataFrame({"host": pdf["host"], "layout": pdf["layout"], "tree": [dump(flatten(parse(h))) for h in pdf["html"]]})
 
-    trees = staged(first.mapInPandas(shapes_of, "host string, tree string"), "html-trees")
+    trees = staged(first.mapInPandas(shapes_of, "host string, layout long, tree string"), "html-trees")
+    bits = [f"b{k}" for k in range(BITS // 64)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sums: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
-            known: dict[str, list[Shape]] = {}
-            for host, tree, text in zip(pdf["host"], pdf["tree"], pdf["html"], strict=True):
-                ref = known.get(host) or known.setdefault(host, load(tree))
+            sums: dict[tuple[str, int, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+            known: dict[tuple[str, int], list[Shape]] = {}
+            for host, layout, tree, text in zip(pdf["host"], pdf["layout"], pdf["tree"], pdf["html"], strict=True):
+                ref = known.get((host, layout)) or known.setdefault((host, layout), load(tree))
                 shapes = flatten(parse(text))
-                sums[host, -1][0] += 1
+                sums[host, layout, -1][0] += 1
                 owner = [-1] * len(shapes)
                 for r, p in match(ref[0], shapes[0]):
-                    got, same = sums[host, r], ref[r].text == shapes[p].text
+                    got, same = sums[host, layout, r], ref[r].text == shapes[p].text
                     got[0] += 1
                     got[1] += same
                     got[2] += 0 if same else shapes[p].size
+                    got[3] |= 1 << ((shapes[p].text * 0x9E3779B1 >> 16) % BITS)
                     owner[p] = r
                 for s in shapes:  # text without a partner varies in the next element above that has one
                     if owner[s.index] < 0:
                         owner[s.index] = owner[s.up]
                         if s.size and not s.bad:
-                            sums[host, owner[s.index]][2] += s.size
-            yield pd.DataFrame([(h, n, *v) for (h, n), v in sums.items()], columns=["host", "node", "matched", "same", "varying"])
+                            sums[host, layout, owner[s.index]][2] += s.size
+            rows = [(*key, *v[:3], *np.frombuffer(v[3].to_bytes(BITS // 8, "little"), dtype="<i8").tolist()) for key, v in sums.items()]
+            yield pd.DataFrame(rows, columns=["host", "layout", "node", "matched", "same", "varying", *bits])
 
-    seen = keyed.select("host", "html").join(trees, "host").mapInPandas(count, "host string, node int, matched long, same long, varying long")
-    sums = seen.groupBy("host", "node").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"), F.sum("varying").alias("varying"))
-    each = sums.groupBy("host").agg(F.collect_list(F.struct("node", "matched", "same", "varying")).alias("sums")).join(trees, "host")
+    schema = "host string, layout long, node int, matched long, same long, varying long, " + ", ".join(f"{b} long" for b in bits)
+    seen = keyed.select("host", "layout", "html").join(trees, ["host", "layout"]).mapInPandas(count, schema)
+    sums = seen.groupBy("host", "layout", "node").agg(*[F.sum(c).alias(c) for c in ("matched", "same", "varying")], *[F.bit_or(b).alias(b) for b in bits])
+    each = sums.groupBy("host", "layout").agg(F.collect_list(F.struct("node", "matched", "same", "varying", *bits)).alias("sums")).join(trees, ["host", "layout"])
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for host, tree, own in zip(pdf["host"], pdf["tree"], pdf["sums"], strict=True):
-                by = {int(x["node"]): (int(x["matched"]), int(x["same"]), int(x["varying"])) for x in own}
-                region, template = induce(load(tree), by.get(-1, (0, 0, 0))[0], by)
-                rows.append((host, tree, region, template))
-            yield pd.DataFrame(rows, columns=["host", "tree", "region", "template"])
+            for host, layout, tree, own in zip(pdf["host"], pdf["layout"], pdf["tree"], pdf["sums"], strict=True):
+                texts = {int(x["node"]): int.from_bytes(np.array([x[b] for b in bits], dtype="<i8").tobytes(), "little") for x in own}
+                by = {int(x["node"]): (int(x["matched"]), int(x["same"]), int(x["varying"]), texts[int(x["node"])]) for x in own}
+                region, template = induce(load(tree), by.get(-1, (0, 0, 0, 0))[0], by)
+                rows.append((host, layout, tree, region, template))
+            yield pd.DataFrame(rows, columns=["host", "layout", "tree", "region", "template"])
 
-    return staged(each.mapInPandas(decide, "host string, tree string, region int, template array<int>"), "html-wrappers")
+    return staged(each.mapInPandas(decide, "host string, layout long, tree string, region int, template array<int>"), "html-wrappers")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, and whether a wrapper of its host was used."""
+    """One row per page: page_id, url, text, n_chars, and whether the text is that of a region of its group's wrapper."""
     ship(pages.sparkSession)
     wrappers = induce_wrappers(pages)
-    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    keyed = grouped(pages.select("page_id", "url", "html"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple] = {}
+        known: dict[tuple[str, int], tuple] = {}
         for pdf in batches:
             texts, used = [], []
-            for host, tree, region, template, text in zip(pdf["host"], pdf["tree"], pdf["region"], pdf["template"], pdf["html"], strict=True):
+            for host, layout, tree, region, template, text in zip(pdf["host"], pdf["layout"], pdf["tree"], pdf["region"], pdf["template"], pdf["html"], strict=True):
                 wrapper = None
                 if isinstance(tree, str):
-                    if host not in known:
+                    if (host, layout) not in known:
                         if len(known) > 500:
                             known.clear()
-                        known[host] = (load(tree), int(region), frozenset(int(x) for x in template))
-                    wrapper = known[host]
-                texts.append(extract(text, wrapper))
-                used.append(wrapper is not None and wrapper[1] >= 0)
+                        known[host, layout] = (load(tree), int(region), frozenset(int(x) for x in template))
+                    wrapper = known[host, layout]
+                got, by = read_page(text, wrapper)
+                texts.append(got)
+                used.append(by)
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts], "by_wrapper": used})
 
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, by_wrapper boolean"
-    return keyed.join(wrappers, "host", "left").mapInPandas(run, schema)
+    return keyed.join(wrappers, ["host", "layout"], "left").mapInPandas(run, schema)
