@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -428,6 +429,34 @@ def test_html_unlabelled_siblings(spark):
         assert r.text == (f"{k} title " if r.page_id >= 100 else "") + " ".join(" ".join(body(k)).split())
 
 
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_html_wrapper_decides(spark, tag):
+    """Two layouts on one host, an error page, a notice that no mark gives away, and copies of one article on half of the pages."""
+
+    def article(k):
+        return "copied text " * 9 if k % 2 else f"own text {k} " * 9
+
+    def page(k):
+        top = "<section class=a><p>Our shop sells tea</p></section>" if k < 20 else "<section class=b><p>Write to us</p><p>By post</p></section>"
+        return f"<html><body>{top}<div class=c><{tag}><h1>title {k}</h1><p>{article(k)}</p><p>date {k}</p></{tag}></div><section class=z><p>All rights reserved</p></section></body></html>"
+
+    rows = [(k, "http://c.org/x", page(k)) for k in range(40)] + [(90, "http://c.org/x", "<html><body></body></html>"), (91, "http://c.org/x", "")]
+    got = {r.page_id: r for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(40):
+        assert got[k].text == f"title {k} {article(k).strip()} date {k}" and got[k].by_wrapper
+    if tag == "div":
+        assert html.extract(page(1)) != got[1].text  # without its wrapper
+    assert got[90].text == got[91].text == ""
+
+
+def test_html_different_texts_are_counted():
+    for n in (1, 2, 9, 60):
+        bits = 0
+        for k in range(n):
+            bits |= 1 << ((zlib.crc32(str(k).encode()) * 0x9E3779B1 >> 16) % html.BITS)
+        assert 0.75 * n <= html.different(bits) <= 1.25 * n
+
+
 def test_html_matching_is_largest():
     def tree(rnd, depth):
         return "".join(f"<{t}>{tree(rnd, depth - 1) if depth else ''}</{t}>" for t in rnd.choices(["div", "section", "ul"], k=rnd.randrange(4)))

@@ -118,3 +118,14 @@ def test_nearest(spark):
     got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in anisotropic.search(vectors).orderBy("query_id", "rank").collect()]
     assert got[:5] == [(0, 1, 1, 1.0), (0, 2, 9, 1.0), (0, 3, 50, 0.707107), (0, 4, 2, 0.0), (50, 1, 0, 0.707107)]
     assert anisotropic.search(vectors.limit(0)).count() == 0
+
+
+def test_html_class_names_and_hidden_text():
+    from spinel.llm.html import extract
+
+    assert extract('<div class="layout no-sidebar"><p>one</p></div>') == "one"
+    assert extract('<article class="post has-comments">one</article>') == "one"
+    assert extract('<article><div class="article-header">Title</div><p class="market-share">text</p></article>') == "Title text"
+    assert extract('<div class="share"><article>one</article></div><div class="site-footer">no</div><div id="cookie-banner">no</div>') == "one"
+    assert extract('<article>one</article><div class="comments"><article class="comment">no</article></div>') == "one"
+    assert extract('<p hidden>one<p style="display: none">two <math><mi>x</mi></math>') == "one two x"
