@@ -68,10 +68,12 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
-    """(grp, name, aln): aligned rows of equal length, gaps for everything but letters."""
+    """(grp, name, aln): aligned rows of equal length, gaps for everything but letters; texts of one language are cut in blocks, and the
+    blocks with one number are a group."""
     d = table(spark, sf_dir, "documents")
-    text = F.rpad(F.upper(F.regexp_replace(F.substring("text", 1, width), "[^A-Za-z]", "-")), width, "-")
-    return d.select(F.col("lang").alias("grp"), F.col("doc_id").alias("name"), text.alias("aln"))
+    plain = d.select("lang", "doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "-")).alias("t"))
+    blocks = plain.filter(F.length("t") > 0).select("lang", "doc_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / width).cast("int"))).alias("b"))
+    return blocks.select(F.concat_ws(":", "lang", "b").alias("grp"), F.col("doc_id").alias("name"), F.rpad(F.substr("t", F.col("b") * width + 1, F.lit(width)), width, "-").alias("aln"))
 
 
 def columns(aln: DataFrame) -> DataFrame:
@@ -116,9 +118,11 @@ def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ord, chain, end_pos): chains laid end to end, with strictly increasing ends."""
+    """(ord, chain, end_pos): chains laid end to end, with strictly increasing ends, over all residues that predictions have."""
     o = table(spark, sf_dir, "orders")
-    n = o.groupBy(F.substring("o_orderpriority", 1, 1).alias("chain")).agg((F.count("*") % 97 + 20).alias("n"))
+    most = table(spark, sf_dir, "lineitem").agg(F.floor(F.max("l_suppkey") / 5).alias("m"))
+    n = o.groupBy(F.substring("o_orderpriority", 1, 1).alias("chain")).agg((F.count("*") % 7 + 10).alias("n"))
+    n = n.join(F.broadcast(most)).select("chain", (F.col("n") + F.col("m")).alias("n"))
     w = Window.orderBy("chain")  # one row for each chain
     return n.select(F.row_number().over(w).alias("ord"), "chain", F.sum("n").over(w).cast("int").alias("end_pos"))
 
@@ -131,10 +135,10 @@ SQL = {
     "quality": "quality AS (SELECT l_linenumber % 3 AS predictor, 'm' || l_suppkey AS name, (l_partkey % 50)::INT AS k, CASE WHEN bool_and(l_returnflag = 'N') THEN NULL ELSE avg(l_quantity) / 6 END AS local FROM lineitem GROUP BY ALL)",
     "energy": "energy AS (SELECT 'm' || l_suppkey AS name, (l_partkey % 50)::INT AS k, [round(avg(l_quantity) * 1.5 / 25, 6), round(avg(l_discount) * -15, 6), round(avg(l_tax) * 15, 6)] AS terms FROM lineitem GROUP BY l_suppkey, l_partkey % 50)",
     "truth": "truth AS (SELECT target, name, row_number() OVER (PARTITION BY target ORDER BY s_acctbal DESC, name) AS gt_rank FROM (SELECT 't' || (s_nationkey % 5) AS target, 'm' || s_suppkey AS name, s_acctbal FROM supplier))",
-    "alignment": "alignment AS (SELECT lang AS grp, doc_id AS name, rpad(upper(regexp_replace(substring(text, 1, 60), '[^A-Za-z]', '-', 'g')), 60, '-') AS aln FROM documents), cols AS (SELECT grp, name, col::INT AS col, aln[col:col] AS res FROM alignment, range(1, 61) r(col))",
+    "alignment": "alignment AS (SELECT lang || ':' || b AS grp, doc_id AS name, rpad(t[b * 60 + 1 : b * 60 + 60], 60, '-') AS aln FROM (SELECT lang, doc_id, t, unnest(range(0, (length(t) - 1) // 60 + 1)) AS b FROM (SELECT lang, doc_id, upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')) AS t FROM documents) WHERE length(t) > 0)), cols AS (SELECT grp, name, col::INT AS col, aln[col:col] AS res FROM alignment, range(1, 61) r(col))",
     "hits": "hits AS (SELECT event_id AS ord, user_id AS sbjct, day(ts) AS round, round(value * 1e-3, 9) AS evalue, (event_id % 50 + 1)::INT AS qstart, (event_id % 50 + 21 + user_id % 30)::INT AS qend FROM events)",
     "states": "states AS (SELECT user_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CASE WHEN event_type = 'view' THEN 'C' ELSE upper(event_type[1:1]) END AS state FROM events)",
     "labelled": "labelled AS (SELECT doc_id AS id, (quality * 2 + toxic)::INT AS label, (CASE WHEN n_chars > 1000 THEN 2 ELSE 0 END + CASE WHEN n_chars % 7 = 0 THEN 1 ELSE 0 END)::INT AS pred FROM labels JOIN documents USING (doc_id))",
     "similarity": "comp AS (SELECT (label * 3 + vec_id % 3)::INT AS m, k, avg(embedding[k]::DOUBLE) AS x FROM embeddings, range(1, 65) r(k) GROUP BY ALL), unit AS (SELECT m, k, x / sqrt(sum(x * x) OVER (PARTITION BY m)) AS x FROM comp), similarity AS (SELECT a.m AS m1, b.m AS m2, round(sum(a.x * b.x), 6) AS score FROM unit a JOIN unit b USING (k) GROUP BY ALL)",
-    "chain_ends": "chain_ends AS (SELECT row_number() OVER (ORDER BY chain) AS ord, chain, sum(n) OVER (ORDER BY chain)::INT AS end_pos FROM (SELECT o_orderpriority[1:1] AS chain, count(*) % 97 + 20 AS n FROM orders GROUP BY ALL))",
+    "chain_ends": "chain_ends AS (SELECT row_number() OVER (ORDER BY chain) AS ord, chain, sum(n) OVER (ORDER BY chain)::INT AS end_pos FROM (SELECT o_orderpriority[1:1] AS chain, count(*) % 7 + 10 + (SELECT max(l_suppkey) // 5 FROM lineitem) AS n FROM orders GROUP BY o_orderpriority[1:1]))",
 }

@@ -16,11 +16,15 @@ def distance_class(d: Column) -> Column:
     return F.when(d <= 64, F.bround(F.greatest(d, F.lit(2.0)), 0).cast("int") - 1)
 
 
+def bind(value: Column, f) -> Column:
+    """f(value), with the value computed once: what a lambda names from outside would be computed again for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def softmax(a: Column) -> Column:
     """C02."""
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    shifted = bind(a, lambda v: bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return bind(shifted, lambda e: bind(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def total(a: Column) -> Column:
@@ -29,7 +33,7 @@ def total(a: Column) -> Column:
 
 def argmax(a: Column) -> Column:
     """The first largest class."""
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    return bind(a, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def class_to_distance(c: Column) -> Column:
@@ -38,16 +42,23 @@ def class_to_distance(c: Column) -> Column:
 
 def expected_distance(p: Column) -> Column:
     """Rounded mean distance over classes 1 to 63, unless background is the likeliest class."""
-    near = F.slice(p, 2, F.size(p) - 1)
-    mean = F.aggregate(F.transform(near, lambda x, i: x * (i + 2)), F.lit(0.0), lambda s, y: s + y) / total(near)
-    return F.when(argmax(p) == 0, F.lit(BACKGROUND)).otherwise(F.bround(mean, 0))
+
+    def of(v: Column) -> Column:
+        near = F.slice(v, 2, F.size(v) - 1)
+        mean = total(F.transform(near, lambda x, i: x * (i + 2))) / total(near)
+        return F.when(argmax(v) == 0, F.lit(BACKGROUND)).otherwise(F.bround(mean, 0))
+
+    return bind(p, of)
 
 
 def bin10(p: Column) -> Column:
     """Up to 4 Å, eight bins of 2 Å up to 20 Å, and the rest with background."""
-    part = lambda lo, n: total(F.slice(p, lo, n))  # noqa: E731  class c stands at element c + 1
-    middle = [part(5 + 2 * k, 2) for k in range(8)]
-    return F.array(part(2, 3), *middle, part(21, 44) + F.element_at(p, 1))
+
+    def of(v: Column) -> Column:
+        part = lambda lo, n: total(F.slice(v, lo, n))  # noqa: E731  class c stands at element c + 1
+        return F.array(part(2, 3), *[part(5 + 2 * k, 2) for k in range(8)], part(21, 44) + F.element_at(v, 1))
+
+    return bind(p, of)
 
 
 def one_hot(c: Column, n: int) -> Column:

@@ -23,9 +23,15 @@ def parse_evalue(s: Column) -> Column:
 
 
 def parse_header(s: Column) -> Column:
-    """C17: name, bounds and length of a header such as '>name ALN:3-90 E=1e-5'."""
-    bound = lambda k: F.nullif(F.regexp_extract(s, r"ALN:(\d+)-(\d+)", k), F.lit("")).cast("int")
-    return F.struct(F.regexp_extract(s, r"^>?\s*(\S+)", 1).alias("name"), bound(1).alias("start"), bound(2).alias("end"), parse_evalue(F.regexp_extract(s, r"E=(\S+)", 1)).alias("evalue"))
+    """C17: name, bounds, E-value and length of a header such as '>name (ALN: 3-90) text  Expect=1e-5'.
+
+    The bounds may lack their mark and parentheses, and are the last such pair behind white space; the E-value ends the header; the
+    length, LEN=n, may be absent.
+    """
+    g = lambda k: F.nullif(F.regexp_extract(s, r"^>?\s*(\S+).*\s\(?(?:ALN:\s*)?(\d+)[-\s](\d+)\)?", k), F.lit(""))
+    e = F.regexp_extract(s, r"[=\s]([\d.eE+-]+|n/a)\s*$", 1)
+    length = F.nullif(F.regexp_extract(s, r"LEN=(\d+)", 1), F.lit("")).cast("int")
+    return F.struct(F.regexp_extract(s, r"^>?\s*(\S+)", 1).alias("name"), g(2).cast("int").alias("start"), g(3).cast("int").alias("end"), parse_evalue(e).alias("evalue"), length.alias("len"))
 
 
 def clean_seq(s: Column) -> Column:
@@ -39,15 +45,19 @@ def shift(pos: Column, n: int) -> Column:
     return F.when(moved >= 1, moved).otherwise(F.raise_error(F.concat(F.lit("position below 1: "), moved.cast("string"))).cast("int"))
 
 
+CONFIG = r"(?:modelRUN|r)(\d+)e(\d+)(?:__full_)?d(\d+)_?p([0-9.]*[0-9])"
+
+
 def parse_config(s: Column) -> Column:
-    """C20: run, epoch, distance and probability of the first configuration in a name such as 'r1e20d8p0.1'."""
-    part = lambda k, t: F.nullif(F.regexp_extract(s, r"r(\d+)e(\d+)d(\d+)p([0-9.]*[0-9])", k), F.lit("")).cast(t)
+    """C20: run, epoch, distance and probability of the first configuration in a name such as 'QA2__modelRUN1e20__full_d8_p0.1', or in
+    short 'r1e20d8p0.1'."""
+    part = lambda k, t: F.nullif(F.regexp_extract(s, CONFIG, k), F.lit("")).cast(t)
     return F.struct(part(1, "int").alias("run"), part(2, "int").alias("epoch"), part(3, "int").alias("dst"), part(4, "double").alias("prob"))
 
 
 def parse_configs(s: Column) -> Column:
     """C20: all configurations of a combined name."""
-    return F.transform(F.regexp_extract_all(s, F.lit(r"r\d+e\d+d\d+p[0-9.]*[0-9]"), 0), parse_config)
+    return F.transform(F.regexp_extract_all(s, F.lit(CONFIG), 0), parse_config)
 
 
 def one_letter(name: Column) -> Column:
@@ -63,9 +73,10 @@ def strip_icode(s: Column) -> Column:
 
 def trim_gaps(q: Column, s: Column, q_start: Column, s_start: Column) -> Column:
     """An aligned pair without the columns before and after both strings have letters, and the starts this gives."""
-    lead = lambda x: F.length(F.regexp_extract(x, "^-*", 0))
-    tail = lambda x: F.length(F.regexp_extract(x, "-*$", 0))
-    first, last = F.greatest(lead(q), lead(s)), F.greatest(tail(q), tail(s))
+    both = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), lambda k: (F.substr(q, k, F.lit(1)) != "-") & (F.substr(s, k, F.lit(1)) != "-"))
+    at = F.array_position(both, True).cast("int")
+    first = F.when(at > 0, at - 1).otherwise(F.length(q))
+    last = F.when(at > 0, F.array_position(F.reverse(both), True).cast("int") - 1).otherwise(0)
     n = F.greatest(F.length(q) - first - last, F.lit(0))
     cut = lambda x: F.substr(x, first + 1, n)
     skipped = lambda x: F.length(F.regexp_replace(F.substr(x, F.lit(1), first), "-", ""))

@@ -9,51 +9,101 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Gap open, gap extend and the score of an unlike pair, of the two parameter sets in use.
+#: Gap open and gap extend of the two parameter sets in use: sequences, and a sequence with a structure.
 DEFAULT, STRUCTURE = (-15.0, 0.0), (-10.0, -1.0)
-MATCH, MISMATCH = 5.0, -4.0
 
-
-def global_align(a: str, b: str, gap_open: float = -15.0, gap_extend: float = 0.0, match: float = MATCH, mismatch: float = MISMATCH) -> tuple[str, str, float]:
-    """Three-state global alignment; of equal scores the match state is preferred, then the gap in b."""
+# The BLOSUM62 matrix, and what unknown letters, * and gap letters score.
+LETTERS = "ARNDCQEGHILKMFPSTWYVBZ"
+BLOSUM62 = """
+ 4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0 -2 -1
+-1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3 -1  0
+-2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3  3  0
+-2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3  4  1
+ 0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1 -3 -3
+-1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2  0  3
+-1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2  1  4
+ 0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3 -1 -2
+-2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3  0  0
+-1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3 -3 -3
+-1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1 -4 -3
+-1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2  0  1
+-1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1 -3 -1
+-2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1 -3 -3
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2 -2 -1
+ 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2  0  0
+ 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0 -1 -1
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3 -4 -3
+-2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -1 -3 -2
+ 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4 -3 -2
+-2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4  1
+-1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4
+"""
+UNKNOWN, STAR, STAR_STAR, GAP_LETTER, GAP_GAP = 0, -4, 1, -6, 0
+
+
+def _matrix() -> np.ndarray:
+    """Scores by code: the letters, then any other letter, * and -."""
+    n = len(LETTERS)
+    m = np.full((n + 3, n + 3), float(UNKNOWN))
+    m[:n, :n] = np.array(BLOSUM62.split(), dtype=float).reshape(n, n)
+    m[n + 2, :] = m[:, n + 2] = GAP_LETTER
+    m[n + 1, :] = m[:, n + 1] = STAR
+    m[n + 1, n + 1], m[n + 2, n + 2] = STAR_STAR, GAP_GAP
+    return m
+
+
+SCORES = _matrix()
+_CODES = {c: i for i, c in enumerate(LETTERS)} | {"*": len(LETTERS) + 1, "-": len(LETTERS) + 2}
+
+
+def codes(seq: str) -> np.ndarray:
+    return np.array([_CODES.get(c, len(LETTERS)) for c in seq.upper()], dtype=np.int64)
+
+
+def global_align(a: str, b: str, gap_open: float = -15.0, gap_extend: float = 0.0) -> tuple[str, str, float]:
+    """Three-state global alignment by BLOSUM62. A gap follows a match or itself, never the other gap; a gap character in either string
+    scores as a letter of its own. Of equal scores the match state is preferred in the first half of both strings, behind it the
+    gaps: first the one in b, then the one in a."""
     m, n = len(a), len(b)
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    low = -1e30
+    x, y = codes(a), codes(b)
+    low = -32767.0
+    # states: 0 both advance, 1 only b advances, 2 only a advances
     s = np.full((3, m + 1, n + 1), low)
     s[0, 0, 0] = 0
-    back = np.zeros((3, m + 1, n + 1), dtype=np.int8)
-    for i in range(1, m + 1):
-        s[1, i, 0], back[1, i, 0] = gap_open + gap_extend * (i - 1), 0 if i == 1 else 1
-    for j in range(1, n + 1):
-        s[2, 0, j], back[2, 0, j] = gap_open + gap_extend * (j - 1), 0 if j == 1 else 2
+    s[1, 0, 1:] = gap_open + gap_extend * np.arange(n)
+    s[2, 1:, 0] = gap_open + gap_extend * np.arange(m)
     for i in range(1, m + 1):
-        sub = np.where(y == x[i - 1], match, mismatch)
-        prev = s[:, i - 1, :-1]
-        back[0, i, 1:] = prev.argmax(0)
-        s[0, i, 1:] = prev.max(0) + sub
-        opened = np.stack([s[0, i - 1] + gap_open, s[1, i - 1] + gap_extend, s[2, i - 1] + gap_open])
-        back[1, i, 1:], s[1, i, 1:] = opened.argmax(0)[1:], opened.max(0)[1:]
-        for j in range(1, n + 1):
-            c = (s[0, i, j - 1] + gap_open, s[1, i, j - 1] + gap_open, s[2, i, j - 1] + gap_extend)
-            k = 0 if c[0] >= c[1] and c[0] >= c[2] else 1 if c[1] >= c[2] else 2
-            back[2, i, j], s[2, i, j] = k, c[k]
-    i, j, state = m, n, int(s[:, m, n].argmax())
+        s[0, i, 1:] = s[:, i - 1, :-1].max(0) + SCORES[x[i - 1]][y]
+        s[2, i, 1:] = np.maximum(s[0, i - 1, 1:] + gap_open, s[2, i - 1, 1:] + gap_extend)
+        # s[1, i, j] = max(s[0, i, j - 1] + open, s[1, i, j - 1] + extend), as a running maximum
+        opened = s[0, i, :-1] + gap_open - gap_extend * np.arange(n)
+        run = np.maximum.accumulate(opened) + gap_extend * np.arange(n)
+        s[1, i, 1:] = np.maximum(run, s[1, i, 0] + gap_extend * np.arange(1, n + 1))
+    i, j = m, n
+    state = max((2, 1, 0), key=lambda k: s[k, m, n])  # of equal ones the first
     score, p, q = float(s[state, m, n]), [], []
     while i or j:
-        before = int(back[state, i, j])
+        order = (0, 1, 2) if 2 * i <= m + 1 and 2 * j <= n + 1 else (2, 1, 0)
         if state == 0:
+            from_ = {k: s[k, i - 1, j - 1] for k in order}
+            p.append(a[i - 1])
+            q.append(b[j - 1])
             i, j = i - 1, j - 1
-            p.append(a[i])
-            q.append(b[j])
         elif state == 1:
-            i -= 1
-            p.append(a[i])
-            q.append("-")
-        else:
-            j -= 1
+            from_ = {k: s[k, i, j - 1] + (gap_open if k == 0 else gap_extend) for k in order if k != 2}
             p.append("-")
-            q.append(b[j])
-        state = before
+            q.append(b[j - 1])
+            j -= 1
+        else:
+            from_ = {k: s[k, i - 1, j] + (gap_open if k == 0 else gap_extend) for k in order if k != 1}
+            p.append(a[i - 1])
+            q.append("-")
+            i -= 1
+        if i == 0 or j == 0:
+            state = 0 if i == j == 0 else 1 if i == 0 else 2
+            continue
+        best = max(from_.values())
+        state = next(k for k, v in from_.items() if v >= best - 1e-9)
     return "".join(reversed(p)), "".join(reversed(q)), score
 
 
@@ -83,25 +133,52 @@ def map_positions(pairs: DataFrame, key: str) -> DataFrame:
     return done.select(key, F.explode(F.aggregate(chars, start, count("both"), lambda acc: acc["o"])).alias("_m")).select(key, "_m.pos", "_m.idx")
 
 
+def draw(p: str, q: str, others: list[str]) -> list[str]:
+    """The strings that stand beside ``q`` without its new gaps, in the columns of an alignment in which p is new and q has gaps added."""
+    out: list[list[str]] = [[] for _ in others]
+    k = 0
+    for added in q:
+        for o, other in zip(out, others, strict=True):
+            o.append("-" if added is None else other[k])
+        k += added is not None
+    return ["".join(o) for o in out]
+
+
+def transitive(qseq: str, qstr: str, sstr: str, sseq: str) -> tuple[str, str, str, str, int, int]:
+    """The four strings (query sequence, its structure, the subject's structure, its sequence) in the same columns, without the columns
+    at the ends where a structure has gaps, and the first residue of both sequences."""
+
+    def onto(seq: str, struct: str, others: list[str]) -> list[str]:
+        p, q, _ = global_align(seq, struct, *DEFAULT)
+        at, marked = 0, []
+        for c in q:  # a gap of q is new unless it is the next character of the string that was aligned
+            own = at < len(struct) and struct[at] == c
+            marked.append(c if own else None)
+            at += own
+        return [p, q, *draw(p, marked, others)]
+
+    qs, qt, st = onto(qseq, qstr, [sstr])
+    ss, st, qs, qt = onto(sseq, st, [qs, qt])
+    first = max(len(qt) - len(qt.lstrip("-")), len(st) - len(st.lstrip("-")))
+    last = min(len(qt.rstrip("-")), len(st.rstrip("-")))
+    start = [first - x[:first].count("-") + 1 for x in (qs, ss)]
+    return qs[first:last], qt[first:last], st[first:last], ss[first:last], *start
+
+
 def transitive_align(rows: DataFrame) -> DataFrame:
-    """Sequences carried along an alignment of structures.
+    """Sequences carried along an alignment of structures: (…, qaln, qstruct, sstruct, saln, qbeg, sbeg).
 
-    rows: (key, qseq, qstr, sstr, sseq) with qstr and sstr aligned to one another. Each sequence is aligned to its ungapped structure
-    string and drawn through that alignment; columns a structure lacks are gaps.
+    rows: (key, qseq, qstr, sstr, sseq) with qstr and sstr aligned to one another. The query's sequence is aligned to its structure
+    string, the subject's to what that makes of its own, and columns at the ends where a structure has gaps go.
     """
     ship(rows.sparkSession)
 
-    @F.pandas_udf("string")
-    def carry(seq: pd.Series, struct: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(seq, struct, strict=True):
-            p, q, _ = global_align(s, t.replace("-", ""), *DEFAULT)
-            of = [c for c, d in zip(p, q, strict=True) if d != "-"]
-            it = iter(of)
-            out.append("".join("-" if c == "-" else next(it) for c in t))
-        return pd.Series(out)
-
-    return rows.withColumn("qaln", carry("qseq", "qstr")).withColumn("saln", carry("sseq", "sstr"))
+    @F.pandas_udf("qaln string, qstruct string, sstruct string, saln string, qbeg int, sbeg int")
+    def carry(qseq: pd.Series, qstr: pd.Series, sstr: pd.Series, sseq: pd.Series) -> pd.DataFrame:
+        got = [transitive(*x) for x in zip(qseq, qstr, sstr, sseq, strict=True)]
+        return pd.DataFrame(got, columns=["qaln", "qstruct", "sstruct", "saln", "qbeg", "sbeg"])
+
+    return rows.withColumn("_t", carry("qseq", "qstr", "sstr", "sseq")).select(*rows.columns, "_t.*")
 
 
 def mask_aligned(profile: DataFrame, chain: DataFrame, mapping: DataFrame, mode: str = "A") -> DataFrame:

@@ -24,6 +24,8 @@ def cluster(sim: DataFrame, min_score: float = 0.7) -> DataFrame:
     """
     spark = sim.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spinel-checkpoint-"))
     both = sim.select(F.col("m1").alias("a"), F.col("m2").alias("b"), "score")
     near = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).filter((F.col("score") >= min_score) & (F.col("a") != F.col("b"))).select("a", "b").distinct().checkpoint()
@@ -53,11 +55,11 @@ def cluster_summary(sim: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def cluster_table(summary_rows: DataFrame) -> DataFrame:
-    """(m1, m2, score) from lines of 11 fields; comments start with #. A file with several first models is an error."""
-    f = F.split(F.trim("line"), r"\s+")
-    rows = summary_rows.filter(~F.trim("line").startswith("#") & (F.trim("line") != "")).select("file", f.alias("f"))
-    rows = rows.select("file", F.when(F.size("f") == 11, F.col("f")).otherwise(F.raise_error(F.lit("a similarity line needs 11 fields")).cast("array<string>")).alias("f"))
-    rows = rows.select("file", F.col("f")[0].alias("m1"), F.col("f")[1].alias("m2"), F.col("f")[2].cast("double").alias("score"))
+    """(m1, m2, score) from lines of 11 fields; other lines and comments, which start with #, are skipped. A file with several
+    first models is an error."""
+    f = F.split(F.rtrim("line"), r"\s+")
+    rows = summary_rows.select("file", f.alias("f")).filter((F.size("f") == 11) & ~F.col("f")[0].startswith("#"))
+    rows = rows.select("file", F.col("f")[0].alias("m1"), F.col("f")[1].alias("m2"), F.col("f")[2].try_cast("double").alias("score"))
     w = Window.partitionBy("file")
     one = F.when(F.min("m1").over(w) == F.max("m1").over(w), F.col("m1")).otherwise(F.raise_error(F.lit("one first model a file")).cast("string"))
     return rows.withColumn("m1", one).select("m1", "m2", "score")

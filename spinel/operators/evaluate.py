@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.probs import bind, total
+
 
 def distance_errors(cells: DataFrame, keys: list[str], dst: float = 20.0, near: float = 8.0) -> DataFrame:
     """(…, variant, mae, sd) for four selections of cells (dst predicted, md true), in one pass over the data."""
@@ -92,9 +94,8 @@ def mean_iou(df: DataFrame) -> DataFrame:
 
 def tensor_stats(tensors: DataFrame) -> DataFrame:
     """(tensor, lo, hi, sd) of (tensor, value array)."""
-    n = F.size("value")
-    mean = F.aggregate("value", F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(F.transform("value", lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / n
+    mean = total(F.col("value")) / F.size("value")
+    var = bind(mean, lambda m: total(F.transform("value", lambda x: (x - m) * (x - m)))) / F.size("value")
     return tensors.select("tensor", F.array_min("value").alias("lo"), F.array_max("value").alias("hi"), F.sqrt(var).alias("sd"))
 
 

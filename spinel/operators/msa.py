@@ -29,8 +29,11 @@ def consensus_matches(cols: DataFrame, cons: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("matches"), "name")))
 
 
-def kept_columns(cols: DataFrame, mode: str = "all_gap", reference: int | str | None = None) -> DataFrame:
-    """(grp, col) that stay: not all rows a gap ('all_gap', 'pair'), or no gap in the reference row ('reference')."""
+def kept_columns(cols: DataFrame, mode: str = "all_gap", reference: int | str | DataFrame | None = None) -> DataFrame:
+    """(grp, col) that stay: not all rows a gap ('all_gap', 'pair'), or no gap in the reference row ('reference'), which is one name, or
+    one for each group (grp, name)."""
+    if mode == "reference" and isinstance(reference, DataFrame):
+        return cols.filter(F.col("res") != "-").join(reference, ["grp", "name"], "left_semi").select("grp", "col")
     if mode == "reference":
         return cols.filter((F.col("name") == reference) & (F.col("res") != "-")).select("grp", "col")
     return cols.groupBy("grp", "col").agg(F.bool_and(F.col("res") == "-").alias("gap")).filter("NOT gap").select("grp", "col")
@@ -42,7 +45,7 @@ def join_rows(cols: DataFrame) -> DataFrame:
     return cols.groupBy("grp", "name").agg(F.array_join(chars, "").alias("aln"))
 
 
-def prune_columns(cols: DataFrame, mode: str = "all_gap", reference: int | str | None = None) -> DataFrame:
+def prune_columns(cols: DataFrame, mode: str = "all_gap", reference: int | str | DataFrame | None = None) -> DataFrame:
     """the alignment without pruned columns."""
     return join_rows(cols.join(kept_columns(cols, mode, reference), ["grp", "col"], "left_semi"))
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.probs import blend, capped_exp, subset_sum
 
 
+SCORE_BUCKETS = 10_000
+
+
 def local_error(cells: DataFrame, keys: list[str], prb: float = 0.0, dst: float = 67.0, part: str = "full", width: int = 3) -> DataFrame:
     """(…, k, local): mean |model - predicted| over the cells in row k or column k, halved.
 
@@ -51,9 +54,19 @@ def model_energy(sums: DataFrame) -> DataFrame:
 
 
 def rank_models(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rank by score, largest first, names decide ties; within ``keys``."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(F.desc("global"), "name")
-    return scores.withColumn("rank", F.row_number().over(w))
+    """Rank by score, largest first, names decide ties; within ``keys``.
+
+    Without keys no task orders all models: scores, which lie within 0 and 1, fall into ``SCORE_BUCKETS``, ranks are counted in each,
+    and the buckets' sizes, as many rows as buckets, give where each begins.
+    """
+    if keys:
+        return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("global"), "name")))
+    bucket = F.coalesce(F.greatest(F.lit(0), F.floor((1 - F.col("global")) * SCORE_BUCKETS)), F.lit(SCORE_BUCKETS + 1)).cast("int")
+    rows = scores.withColumn("_b", bucket)
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_at"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("global"), "name"))
+    return rows.withColumn("_r", inside).join(F.broadcast(before), "_b").withColumn("rank", (F.col("_at") + F.col("_r")).cast("int")).drop("_b", "_r", "_at")
 
 
 def ranked_list(scores: DataFrame) -> DataFrame:

@@ -117,12 +117,19 @@ def assemble(header: DataFrame, body: DataFrame, footer: DataFrame) -> DataFrame
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def others(df: DataFrame, name: str) -> DataFrame:
+    """(q, s): each model beside every other one; the result has this size, so it is for lists of models only."""
+    names = df.select(F.col(name).alias("q")).distinct()
+    return names.join(names.select(F.col("q").alias("s")), F.col("q") != F.col("s"))
+
+
 def prefix_match(domains: DataFrame, fastas: DataFrame) -> DataFrame:
     """(domain, name, matches): files whose name begins with the domain; more than one is for a warning.
 
-    The join runs on the first four characters, which every domain name has, with the prefix as residual condition.
+    An equi-join: each file gives its beginnings, of the lengths that domain names have (a handful).
     """
-    d = domains.withColumn("_k", F.substring("domain", 1, 4))
-    f = fastas.withColumn("_k", F.substring("name", 1, 4))
-    rows = d.join(f, (d["_k"] == f["_k"]) & F.col("name").startswith(F.col("domain")))
+    d = domains.withColumn("_k", F.col("domain"))
+    lengths = domains.agg(F.collect_set(F.length("domain")).alias("_n"))
+    f = fastas.join(F.broadcast(lengths)).withColumn("_k", F.explode(F.transform(F.filter("_n", lambda n: n <= F.length("name")), lambda n: F.substr("name", F.lit(1), n)))).drop("_n")
+    rows = d.join(f, "_k")
     return rows.select("domain", "name").withColumn("matches", F.count("*").over(Window.partitionBy("domain")))

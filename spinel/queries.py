@@ -87,13 +87,13 @@ def f05_f06_band_and_triangle(spark, sf):
 
 
 @query(
-    f"{MASK}, far AS (SELECT * FROM mask WHERE i <> j AND cls > 20) SELECT p.chain, p.resnum AS i FROM points p WHERE NOT EXISTS (SELECT 1 FROM far f WHERE f.chain = p.chain AND f.i = p.resnum)",
+    f"{MASK}, far AS (SELECT * FROM mask WHERE i <> j AND cls <= 4) SELECT p.chain, p.resnum AS i FROM points p WHERE NOT EXISTS (SELECT 1 FROM far f WHERE f.chain = p.chain AND f.i = p.resnum)",
     "points",
 )
 def f10_absent_residues(spark, sf):
     pts = C.points(spark, sf)
-    far = pairs.mask_from_points(pts).filter("i <> j AND cls > 20")
-    return pairs.absent_residues(far, pts.select("chain", F.col("resnum").alias("i")))
+    near = pairs.mask_from_points(pts).filter("i <> j AND cls <= 4")
+    return pairs.absent_residues(near, pts.select("chain", F.col("resnum").alias("i")))
 
 
 @query("SELECT chain, max(idx) AS length FROM points GROUP BY chain HAVING max(idx) >= 48", "points")
@@ -179,17 +179,17 @@ def w07_chain_bounds(spark, sf):
 
 
 LOCATED = f"""{BOUNDS}, located AS (SELECT predictor, p.r1, p.r2, a.chain AS chain1, p.r1 - a.beg + 1 AS pos1, b.chain AS chain2, p.r2 - b.beg + 1 AS pos2
-FROM (SELECT * FROM predictions WHERE r2 <= 100) p JOIN bounds a ON p.r1 BETWEEN a.beg AND a.end_pos JOIN bounds b ON p.r2 BETWEEN b.beg AND b.end_pos)"""
+FROM predictions p JOIN bounds a ON p.r1 BETWEEN a.beg AND a.end_pos JOIN bounds b ON p.r2 BETWEEN b.beg AND b.end_pos)"""
 
 
 @query(f"{LOCATED} SELECT * FROM located", "predictions chain_ends")
 def j09_locate_chain(spark, sf):
-    return pairs.locate_chain(C.predictions(spark, sf).filter("r2 <= 100").select("predictor", "r1", "r2"), C.chain_ends(spark, sf))
+    return pairs.locate_chain(C.predictions(spark, sf).select("predictor", "r1", "r2"), C.chain_ends(spark, sf))
 
 
 @query(f"{LOCATED} SELECT * FROM located WHERE chain1 <> chain2", "predictions chain_ends")
 def f20_skip_intra_chain(spark, sf):
-    return pairs.skip_intra_chain(pairs.locate_chain(C.predictions(spark, sf).filter("r2 <= 100").select("predictor", "r1", "r2"), C.chain_ends(spark, sf)))
+    return pairs.skip_intra_chain(pairs.locate_chain(C.predictions(spark, sf).select("predictor", "r1", "r2"), C.chain_ends(spark, sf)))
 
 
 @query(
@@ -205,9 +205,9 @@ def j02_pair_features(spark, sf):
     return pairs.pair_features(prof, cov).withColumn("feat", F.transform("feat", lambda v: F.round(v, 6)))
 
 
-@query("SELECT predictor, r1, r2, dst FROM predictions WHERE r2 % 2 = 0 UNION ALL SELECT predictor, r2, r1, dst FROM predictions WHERE r2 % 2 = 0", "predictions")
+@query("SELECT predictor, r1, r2, dst FROM predictions UNION ALL SELECT predictor, r2, r1, dst FROM predictions", "predictions")
 def j03_symmetrize(spark, sf):
-    return pairs.symmetrize(C.predictions(spark, sf).filter("r2 % 2 = 0").select("predictor", "r1", "r2", "dst"), "r1", "r2")
+    return pairs.symmetrize(C.predictions(spark, sf).select("predictor", "r1", "r2", "dst"), "r1", "r2")
 
 
 @query("SELECT predictor, r1, r2, dst FROM predictions UNION ALL SELECT predictor, r2, r1, dst FROM predictions", "predictions")
@@ -325,7 +325,7 @@ def a21_tensor_stats(spark, sf):
     return evaluate.tensor_stats(t).select("tensor", r6("lo").alias("lo"), r6("hi").alias("hi"), r6("sd").alias("sd"))
 
 
-@query("SELECT label AS cls, (label * 3) % 255 AS gray, count(*) AS n FROM embeddings GROUP BY label")
+@query("SELECT label AS cls, CASE WHEN label = 0 THEN 255 ELSE (label - 1) * 3 % 255 END AS gray, count(*) AS n FROM embeddings GROUP BY label")
 def c08_k13_palette(spark, sf):
     from .sources import sinks
 
@@ -358,10 +358,10 @@ def j07_pivot_predictors(spark, sf):
     return ensemble.pivot_predictors(C.predictions(spark, sf), 3)
 
 
-@query("SELECT predictor, r1, r2 FROM predictions WHERE predictor < 2", "predictions")
+@query("SELECT predictor, r1, r2 FROM predictions", "predictions")
 def u01_union_predictors(spark, sf):
     p = C.predictions(spark, sf).select("predictor", "r1", "r2")
-    return ensemble.union_predictors(p.filter("predictor = 0"), p.filter("predictor = 1"))
+    return ensemble.union_predictors(*[p.filter(F.col("predictor") == k) for k in range(3)])
 
 
 ENSQ = ", ens AS (SELECT name, k, avg(local) AS local FROM quality GROUP BY name, k)"
@@ -434,9 +434,9 @@ def t07_t08_k06_ranked_list(spark, sf):
     return quality.ranked_list(scores)
 
 
-@query("SELECT name, k, round_even(local, 1) AS local FROM quality WHERE predictor = 0", "quality")
+@query("SELECT predictor, name, k, round_even(local, 1) AS local FROM quality", "quality")
 def legacy_rounding(spark, sf):
-    return quality.legacy_rounding(C.quality(spark, sf).filter("predictor = 0").select("name", "k", "local"))
+    return quality.legacy_rounding(C.quality(spark, sf).select("predictor", "name", "k", "local"))
 
 
 # --- structure match: the flagship -------------------------------------------------------------------------------------------------
@@ -476,10 +476,14 @@ def a09_distance_errors(spark, sf):
     return errors.select("chain", "variant", r6("mae").alias("mae"), r6("sd").alias("sd"))
 
 
-@query(f"{CELLS}, e AS (SELECT chain, avg(abs(md - dst)) AS mae, stddev_pop(abs(md - dst)) AS sd FROM cells GROUP BY chain) SELECT 'full' AS variant, round(avg(mae), 6) AS mae, round(avg(sd), 6) AS sd FROM e", "points")
+@query(f"{CELLS}, t AS (SELECT part, chain, abs(md - dst) AS e FROM cells, (VALUES ('full'), ('upper'), ('lower')) p(part) WHERE part = 'full' OR (part = 'upper' AND i < j) OR (part = 'lower' AND i > j)), e AS (SELECT part, chain, avg(e) AS mae, stddev_pop(e) AS sd FROM t GROUP BY part, chain) SELECT part, 'full' AS variant, round(avg(mae), 6) AS mae, round(avg(sd), 6) AS sd FROM e GROUP BY part", "points")
 def a10_macro_errors(spark, sf):
-    errors = evaluate.distance_errors(rank.match_cells(C.points(spark, sf)), ["chain"]).filter("variant = 'full'")
-    return evaluate.macro_errors(errors).select("variant", r6("mae").alias("mae"), r6("sd").alias("sd"))
+    cells, out = rank.match_cells(C.points(spark, sf)), None
+    for part in ("full", "upper", "lower"):
+        errors = evaluate.distance_errors(pairs.triangle(cells, part), ["chain"]).filter("variant = 'full'")
+        one = evaluate.macro_errors(errors).select(F.lit(part).alias("part"), "variant", r6("mae").alias("mae"), r6("sd").alias("sd"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(
@@ -621,11 +625,10 @@ def f22_prune_columns(spark, sf):
     return msa.prune_columns(C.columns(C.alignment(spark, sf)))
 
 
-@query(", r AS (SELECT min(name) AS name, grp FROM cols GROUP BY grp), k AS (SELECT grp, col FROM cols JOIN r USING (grp, name) WHERE res <> '-' AND name = (SELECT min(name) FROM cols)) SELECT grp, name, string_agg(res, '' ORDER BY col) AS aln FROM cols JOIN k USING (grp, col) GROUP BY grp, name", "alignment")
+@query(", r AS (SELECT min(name) AS name, grp FROM cols GROUP BY grp), k AS (SELECT grp, col FROM cols JOIN r USING (grp, name) WHERE res <> '-') SELECT grp, name, string_agg(res, '' ORDER BY col) AS aln FROM cols JOIN k USING (grp, col) GROUP BY grp, name", "alignment")
 def f22_reference_columns(spark, sf):
     aln = C.alignment(spark, sf)
-    first = aln.agg(F.min("name").alias("name")).first()[0]
-    return msa.prune_columns(C.columns(aln), "reference", first)
+    return msa.prune_columns(C.columns(aln), "reference", aln.groupBy("grp").agg(F.min("name").alias("name")))
 
 
 @query("SELECT grp, name, col, res, sum((res <> '-')::INT) OVER (PARTITION BY grp, name ORDER BY col) AS coord FROM cols", "alignment")
@@ -689,9 +692,9 @@ def t04_sort_subjects(spark, sf):
     return runs.sort_subjects(C.hits(spark, sf)).select("ord", "sbjct", "round", "place")
 
 
-@query("SELECT predictor, r1, r2 FROM predictions WHERE r1 <= 5", "predictions")
+@query("SELECT predictor, r1, r2 FROM predictions", "predictions")
 def t01_sort_pairs(spark, sf):
-    return runs.sort_pairs(C.predictions(spark, sf).filter("r1 <= 5")).select("predictor", "r1", "r2")
+    return runs.sort_pairs(C.predictions(spark, sf)).select("predictor", "r1", "r2")
 
 
 @query("SELECT predictor, r1, r2 FROM predictions", "predictions")
@@ -720,28 +723,26 @@ def u05_assemble(spark, sf):
     return runs.assemble(one("PFRMAT RR"), table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("line")), one("END"))
 
 
-@query("SELECT domain, name, count(*) OVER (PARTITION BY domain) AS matches FROM (SELECT DISTINCT p_type[1:5] AS domain FROM part) d JOIN (SELECT DISTINCT p_type || '.fa' AS name FROM part) f ON starts_with(name, domain)")
+@query("SELECT domain, name, count(*) OVER (PARTITION BY domain) AS matches FROM (SELECT DISTINCT p_type[1:2 + p_size % 4] AS domain FROM part) d JOIN (SELECT DISTINCT p_type || '.fa' AS name FROM part) f ON starts_with(name, domain)")
 def j15_prefix_match(spark, sf):
     p = table(spark, sf, "part")
-    return runs.prefix_match(p.select(F.substring("p_type", 1, 5).alias("domain")).distinct(), p.select(F.concat("p_type", F.lit(".fa")).alias("name")).distinct())
+    return runs.prefix_match(p.select(F.substr("p_type", F.lit(1), (F.col("p_size") % 4 + 2).cast("int")).alias("domain")).distinct(), p.select(F.concat("p_type", F.lit(".fa")).alias("name")).distinct())
 
 
-@query("SELECT a.n_name AS q, b.n_name AS s FROM nation a, nation b WHERE a.n_name <> b.n_name AND a.n_regionkey = b.n_regionkey")
+@query("SELECT a.n_name AS q, b.n_name AS s FROM nation a, nation b WHERE a.n_name <> b.n_name")
 def j16_others(spark, sf):
-    n = table(spark, sf, "nation")
-    a, b = n.select(F.col("n_name").alias("q"), "n_regionkey"), n.select(F.col("n_name").alias("s"), "n_regionkey")
-    return a.join(b, "n_regionkey").filter("q <> s").select("q", "s")
+    return runs.others(table(spark, sf, "nation"), "n_name")
 
 
 # --- clusters ----------------------------------------------------------------------------------------------------------------------
 
-CLUSTER = """, near AS (SELECT m1, m2 FROM similarity WHERE score >= 0.5 AND m1 <> m2), reach AS (SELECT m1 AS m, m2 AS r FROM near UNION SELECT reach.m, near.m2 FROM reach JOIN near ON reach.r = near.m1),
+CLUSTER = """, near AS (SELECT m1, m2 FROM similarity WHERE score >= 0.28 AND m1 <> m2), reach AS (SELECT m1 AS m, m2 AS r FROM near UNION SELECT reach.m, near.m2 FROM reach JOIN near ON reach.r = near.m1),
 lab AS (SELECT m1 AS m, coalesce(l, -1) AS label FROM (SELECT DISTINCT m1 FROM similarity) LEFT JOIN (SELECT m, min(least(m, r)) AS l FROM reach GROUP BY m) ON m = m1)"""
 
 
 @query(f"{CLUSTER} SELECT m, label FROM lab", "similarity")
 def r07_cluster(spark, sf):
-    return cluster.cluster(C.similarity(spark, sf), 0.5)
+    return cluster.cluster(C.similarity(spark, sf), 0.28)
 
 
 @query(
@@ -751,7 +752,7 @@ SELECT label, (SELECT count(*) FROM rw WHERE rw.label = inn.label) AS size, roun
 )
 def a22_cluster_summary(spark, sf):
     sim = C.similarity(spark, sf)
-    return cluster.cluster_summary(sim, cluster.cluster(sim, 0.5)).withColumn("mean", r6("mean"))
+    return cluster.cluster_summary(sim, cluster.cluster(sim, 0.28)).withColumn("mean", r6("mean"))
 
 
 @query(", s AS (SELECT * FROM similarity WHERE (m1 + m2) % 11 <> 0) SELECT a.m AS m1, b.m AS m2 FROM (SELECT DISTINCT m1 AS m FROM s) a, (SELECT DISTINCT m2 AS m FROM s) b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.m1 = a.m AND s.m2 = b.m)", "similarity")
@@ -762,9 +763,9 @@ def j14_assert_square(spark, sf):
 # --- text functions ----------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, regexp_replace(upper(substring(text, 1, 60)), '[^ACDEFGHIKLMNPQRSTVWY-]', 'X', 'g') AS s FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWY-]', 'X', 'g') AS s FROM documents")
 def c15_mask_noncanonical(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", tx.mask_noncanonical(F.upper(F.substring("text", 1, 60))).alias("s"))
+    return table(spark, sf, "documents").select("doc_id", tx.mask_noncanonical(F.col("text")).alias("s"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1e-5 WHEN 1 THEN NULL WHEN 2 THEN 0.25 ELSE 3e2 END::DOUBLE AS e FROM orders")
@@ -774,16 +775,16 @@ def c16_parse_evalue(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 3, e * 3).otherwise(e).alias("e"))
 
 
-@query("SELECT o_orderkey, 'seq' || o_custkey AS name, (o_orderkey % 90 + 1)::INT AS start, (o_orderkey % 90 + 40)::INT AS \"end\", 1e-3::DOUBLE AS evalue FROM orders")
+@query("SELECT o_orderkey, 'seq' || o_custkey AS name, (o_orderkey % 90 + 1)::INT AS start, (o_orderkey % 90 + 40)::INT AS \"end\", CASE WHEN o_orderkey % 2 = 0 THEN 1e-3::DOUBLE END AS evalue, (o_orderkey % 7 + 100)::INT AS len FROM orders")
 def c17_parse_header(spark, sf):
     o = table(spark, sf, "orders")
-    line = F.concat(F.lit(">seq"), "o_custkey", F.lit(" ALN:"), F.col("o_orderkey") % 90 + 1, F.lit("-"), F.col("o_orderkey") % 90 + 40, F.lit(" E=e-3"))
+    line = F.concat(F.lit(">seq"), "o_custkey", F.lit(" (ALN: "), F.col("o_orderkey") % 90 + 1, F.lit("-"), F.col("o_orderkey") % 90 + 40, F.lit(") LEN="), F.col("o_orderkey") % 7 + 100, F.lit(" of a chain  Expect="), F.when(F.col("o_orderkey") % 2 == 0, "e-3").otherwise("n/a"))
     return o.select("o_orderkey", tx.parse_header(line).alias("h")).select("o_orderkey", "h.*")
 
 
-@query("SELECT doc_id, upper(regexp_replace(replace(substring(text, 1, 80), '.', '-'), '\\s+', '', 'g')) AS s FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, upper(replace(regexp_replace(replace(text, '.', '-'), '[\\s\x0b]+', '', 'g'), 'ß', 'SS')) AS s FROM documents")
 def c18_clean_seq(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", tx.clean_seq(F.substring("text", 1, 80)).alias("s"))
+    return table(spark, sf, "documents").select("doc_id", tx.clean_seq(F.col("text")).alias("s"))
 
 
 @query("SELECT ord, qstart + 4 AS qstart FROM hits", "hits")
@@ -793,8 +794,8 @@ def c19_shift(spark, sf):
 
 @query("SELECT n_nationkey, n_regionkey AS run, n_nationkey AS epoch, 8 AS dst, 0.1::DOUBLE AS prob, 2 AS n FROM nation")
 def c20_parse_config(spark, sf):
-    name = F.concat(F.lit("r"), "n_regionkey", F.lit("e"), "n_nationkey", F.lit("d8p0.1"))
-    both = F.concat(name, F.lit("_"), F.lit("r9e9d20p0.3"))
+    name = F.concat(F.lit("QA2__modelRUN"), "n_regionkey", F.lit("e"), "n_nationkey", F.lit("__full_d8_p0.1"))
+    both = F.concat(name, F.lit("QA2__modelRUN9e9__full_d20_p0.3"))
     return table(spark, sf, "nation").select("n_nationkey", tx.parse_config(both).alias("c"), F.size(tx.parse_configs(both)).alias("n")).select("n_nationkey", "c.*", "n")
 
 

@@ -5,79 +5,149 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import wrap
 from ..session import ship
 
 
+def general(x: Column, digits: int = 6) -> Column:
+    """A number in C's %g: ``digits`` significant ones without trailing zeros, with an exponent below 1e-4 and from 1e``digits`` on."""
+    sci = F.format_string(f"%.{digits - 1}e", x)
+    exponent = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
+    short = lambda c: F.when(c.contains("."), F.regexp_replace(c, r"\.?0+$", "")).otherwise(c)
+    out = F.concat(short(F.regexp_extract(sci, r"^(.*)e", 1)), F.regexp_extract(sci, r"(e[+-]\d+)$", 1))
+    for e in range(-4, digits):
+        out = F.when(exponent == e, short(F.format_string(f"%.{digits - 1 - e}f", x))).otherwise(out)
+    return F.when(x == 0, "0").otherwise(out)
+
+
+def _file(spark: SparkSession, part: int, *lines: str) -> DataFrame:
+    """(part, ord, line) of fixed lines."""
+    return spark.createDataFrame([(part, k, line) for k, line in enumerate(lines)], "part int, ord long, line string")
+
+
 def class_dictionary(spark: SparkSession, classes: int = 64) -> DataFrame:
-    """(cls, name, r, g, b): a gray ramp in steps of 3, modulo 255."""
-    gray = (F.col("id") * 3 % 255).cast("int")
-    return spark.range(classes).select(F.col("id").cast("int").alias("cls"), F.when(F.col("id") == 0, "background").otherwise((F.col("id") + 1).cast("string")).alias("name"), gray.alias("r"), gray.alias("g"), gray.alias("b"))
+    """(cls, name, r, g, b): white background, then a gray ramp in steps of 3, modulo 255, over 2 Å and more."""
+    gray = F.when(F.col("id") == 0, 255).otherwise((F.col("id") - 1) * 3 % 255).cast("int")
+    name = F.when(F.col("id") == 0, "Background").otherwise((F.col("id") + 1).cast("string"))
+    return spark.range(classes).select(F.col("id").cast("int").alias("cls"), name.alias("name"), gray.alias("r"), gray.alias("g"), gray.alias("b"))
 
 
-def prediction_lines(pred: DataFrame) -> DataFrame:
-    """A line 'r1 r2 dst prob p…' for each pair."""
-    bins = F.array_join(F.transform("p", lambda x: F.format_string("%.3f", x)), " ")
-    return pred.select("r1", "r2", F.concat_ws(" ", F.format_string("%5d %5d %6.3f %8.6f", "r1", "r2", "dst", "prob"), bins).alias("line"))
+def prediction_lines(pred: DataFrame, every: bool = False) -> DataFrame:
+    """A line 'r1 r2  dst prob' and ten bins for each pair; with ``every`` p holds all classes, and background, the first, comes last."""
+    three = lambda x: F.format_string(" %.3f", x)
+    bins = F.concat(F.array_join(F.transform(F.slice("p", 2, F.size("p") - 1), three), ""), F.format_string("  %.3f", F.col("p")[0])) if every else F.array_join(F.transform("p", three), "")
+    return pred.select("r1", "r2", F.concat(F.format_string("%d %d  %.1f %.3f   ", "r1", "r2", "dst", "prob"), bins).alias("line"))
 
 
 def combined_lines(wide: DataFrame, n: int) -> DataFrame:
-    """K02: 'r1 r2' and n pairs of distance and probability, dashes where a predictor has none."""
-    cell = lambda k: F.when(F.col(f"dst_{k}").isNull(), "   ----    -----").otherwise(F.format_string("%7.3f %8.6f", F.col(f"dst_{k}"), F.col(f"prob_{k}")))
-    return wide.select("r1", "r2", F.concat_ws(" ", F.format_string("%5d %5d", "r1", "r2"), *[cell(k) for k in range(n)]).alias("line"))
+    """(part, r1, r2, line): a header, and per pair n times distance and probability, dashes where a predictor has none."""
+    cell = lambda k: F.when(F.col(f"dst_{k}").isNull() | (F.col(f"dst_{k}") < 0), "   ---- -----").otherwise(F.format_string("   %4.1f %5.3f", F.col(f"dst_{k}"), F.col(f"prob_{k}")))
+    head = wide.sparkSession.createDataFrame([(0, None, None, "#R1 R2   " + "    Dst  Prob" * n)], "part int, r1 int, r2 int, line string")
+    name = F.rpad(F.format_string("%d %d", "r1", "r2"), 9, " ")
+    long = F.format_string("%d %d", "r1", "r2")
+    return head.unionByName(wide.select(F.lit(1).alias("part"), "r1", "r2", F.concat(F.when(F.length(long) > 9, long).otherwise(name), *[cell(k) for k in range(n)]).alias("line")))
 
 
 def distance_file(mean: DataFrame, target: str, author: str = "spinel") -> DataFrame:
-    """(part, ord, line) of a distance-format file: header, a line for each pair (most contact first), END."""
-    spark = mean.sparkSession
-    head = spark.createDataFrame([(0, k, t) for k, t in enumerate(["PFRMAT RR", f"TARGET {target}", f"AUTHOR {author}", "RMODE 2", "MODEL 1"])], "part int, ord long, line string")
-    bins = F.array_join(F.transform("p", lambda x: F.format_string("%.3f", x)), " ")
-    order = F.row_number().over(Window.orderBy(F.desc("contact"), "r1", "r2")).cast("long")  # a file is one sequence of lines
-    body = mean.select(F.lit(1).alias("part"), order.alias("ord"), F.concat_ws(" ", F.col("r1").cast("string"), F.col("r2").cast("string"), F.format_string("%.3f", "contact"), bins).alias("line"))
-    return head.unionByName(body).unionByName(spark.createDataFrame([(2, 0, "END")], "part int, ord long, line string"))
-
+    """(part, ord, line) of a distance-format file: header, a line for each pair in order, END; to be sorted by part and ord.
 
-def constraint_function(kind: str, d: Column, prob: Column, sd: float = 1.0) -> Column:
-    """The function of an atom-pair constraint."""
-    num = lambda c: F.format_string("%.3f", c)
+    With the columns chain1, pos1, chain2 and pos2 (J09) a residue is written as its chain and its place there.
+    """
+    spark = mean.sparkSession
+    bins = F.array_join(F.transform("p", lambda x: F.concat(F.lit(" "), general(x, 3))), "")
+    located = {"chain1", "pos1", "chain2", "pos2"} <= set(mean.columns)
+    names = [F.concat(F.col(f"chain{k}"), F.col(f"pos{k}").cast("string")) if located else F.col(f"r{k}").cast("string") for k in (1, 2)]
+    order = (F.col("r1").cast("long") * 10**9 + F.col("r2")).alias("ord")  # a key, so that no task has to number the lines
+    body = mean.select(F.lit(1).alias("part"), order, F.concat(names[0], F.lit(" "), names[1], F.lit("  "), general(F.col("contact"), 3), F.lit(" "), bins).alias("line"))
+    head = _file(spark, 0, "PFRMAT RR", f"TARGET {target}", f"AUTHOR {author}", "RMODE 2", "MODEL 1")
+    return head.unionByName(body).unionByName(_file(spark, 2, "END"))
+
+
+def constraint_function(kind: str, d: Column, prob: Column) -> Column:
+    """The function of an atom-pair constraint at distance d."""
+    one, three = lambda c: F.format_string("%.1f", c), lambda c: F.format_string("%.3f", c)
+    slope, width = 2.0, 8.0
+    weight = F.concat(F.lit("SCALARWEIGHTEDFUNC "), three(prob * 5.0), F.lit(" SUMFUNC 2 "))
+    rise = lambda shift: F.concat(F.lit("SIGMOID "), one(d + shift), F.lit(f" {slope:.1f}"))
     return {
-        "HARMONIC": F.concat_ws(" ", F.lit("HARMONIC"), num(d), num(F.lit(sd))),
-        "FLAT_HARMONIC": F.concat_ws(" ", F.lit("FLAT_HARMONIC"), num(d), num(F.lit(sd)), num(1.0 / F.greatest(prob, F.lit(0.01)))),
-        "BOUNDED": F.concat_ws(" ", F.lit("BOUNDED"), num(F.lit(0.0)), num(d), num(F.lit(sd)), num(F.lit(0.5)), F.lit("dist")),
-        "SIGMOID": F.concat_ws(" ", F.lit("SIGMOID"), num(d), num(prob)),
-        "SIGMOID2": F.concat_ws(" ", F.lit("SUMFUNC 2 SIGMOID"), num(d), num(prob), F.lit("CONSTANTFUNC -0.5")),
+        "HARMONIC": F.concat(F.lit("HARMONIC "), one(d), F.lit(" 0.5")),
+        "FLAT_HARMONIC": F.concat(F.lit("FLAT_HARMONIC "), one(d), F.lit(" 1 4")),
+        "BOUNDED": F.concat(F.lit("BOUNDED 0 "), one(d), F.lit(" "), general(1.001 - prob), F.lit(" "), one(100.0 / (prob + 0.001)), F.lit(" TAG")),
+        "SIGMOID": F.concat(weight, rise(4 / slope), F.lit(" CONSTANTFUNC -0.5")),
+        "SIGMOID2": F.concat(weight, rise(4 / slope), F.lit(" SCALARWEIGHTEDFUNC -1.0 "), rise(4 / slope - width / slope)),
     }[kind]
 
 
-def constraint_lines(pred: DataFrame, kind: str, atom: str = "CB") -> DataFrame:
-    """K04: 'AtomPair CB r1 CB r2 function'."""
+def constraint_lines(pred: DataFrame, kind: str, first: int = 1) -> DataFrame:
+    """K04: 'AtomPair atom r1 atom r2 function', residues counted from ``first``; res1 and res2 hold the residues' letters, and glycine
+    has its CA in place of CB."""
+    atom = lambda k: F.when(F.upper(F.col(f"res{k}")) == "G", "CA").otherwise("CB")
+    at = lambda k: (F.col(f"r{k}") - first + 1).cast("string")
     f = constraint_function(kind, F.col("dst"), F.col("prob"))
-    return pred.select("r1", "r2", F.concat_ws(" ", F.lit(f"AtomPair {atom}"), F.col("r1").cast("string"), F.lit(atom), F.col("r2").cast("string"), f).alias("line"))
+    return pred.select("r1", "r2", F.concat_ws(" ", F.lit("AtomPair"), atom(1), at(1), atom(2), at(2), f).alias("line"))
 
 
-def quality_lines(local: DataFrame, scores: DataFrame, length: int) -> DataFrame:
-    """K05: 'name global l1 … lL', X where there is no local error."""
-    by = local.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("k", F.format_string("%.1f", "local")))).alias("m"))
-    cells = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit("X")))
-    return scores.join(by, "name").select("name", F.concat_ws(" ", "name", F.format_string("%.5f", "global"), F.array_join(cells, " ")).alias("line"))
+def quality_lines(local: DataFrame, scores: DataFrame, length: int, first: int = 1) -> DataFrame:
+    """K05: 'name global  l1 … lL', X where there is no local error; k counts from ``first``."""
+    by = local.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("k", F.format_string(" %.1f", "local")))).alias("m"))
+    cells = F.transform(F.sequence(F.lit(first), F.lit(first + length - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(" X")))
+    return scores.join(by, "name").select("name", F.concat(F.col("name"), F.format_string(" %.5f  ", "global"), F.array_join(cells, "")).alias("line"))
+
+
+def quality_file(lines: DataFrame, target: str, model: int = 1) -> DataFrame:
+    """(part, name, line): the lines between header and END."""
+    spark = lines.sparkSession
+    head = ("PFRMAT QA", f"TARGET {target}", "REMARK Error estimate is CB-CB distance in Angstroms", f"MODEL  {model}", "QMODE  2")
+    ends = _file(spark, 0, *head).unionByName(_file(spark, 2, "END")).select("part", F.col("ord").cast("string").alias("name"), "line")
+    return ends.unionByName(lines.select(F.lit(1).alias("part"), F.col("name").cast("string").alias("name"), "line"))
 
 
 def msa_lines(aln: DataFrame, dialect: str = "fasta", width: int = 60) -> DataFrame:
-    """(name, line) in FASTA, wrapped; 'stockholm' and 'rosetta' give one line a row."""
+    """(name, line), the rows of an alignment: 'fasta' wrapped, 'stockholm' and 'rosetta' one line a row."""
+    name = F.col("name").cast("string")
     if dialect == "fasta":
-        return aln.select("name", F.concat(F.lit(">"), F.col("name").cast("string"), F.lit("\n"), wrap(F.col("aln"), width)).alias("line"))
+        return aln.select("name", F.concat(F.lit(">"), name, F.lit("\n"), wrap(F.col("aln"), width)).alias("line"))
     if dialect == "stockholm":
-        return aln.select("name", F.concat(F.rpad(F.col("name").cast("string"), 20, " "), F.lit(" "), "aln").alias("line"))
-    return aln.select("name", F.concat("aln", F.lit(" "), F.col("name").cast("string")).alias("line"))
+        return aln.select("name", F.concat(F.when(F.length(name) > 34, name).otherwise(F.rpad(name, 34, " ")), F.lit(" "), F.col("aln")).alias("line"))
+    return aln.select("name", F.concat(F.lit("0 "), "aln").alias("line"))
+
+
+def msa_file(aln: DataFrame, dialect: str = "stockholm") -> DataFrame:
+    """(grp, part, ord, line) of whole files, one a group, from (grp, ord, name, descr, start, end, evalue, aln); ord 0 is the reference,
+    whose gaps become dots in Stockholm's reference line."""
+    first = F.col("ord") == 0
+    bounds = F.format_string("%d-%d", "start", "end")
+    line = lambda part, ord_, text, rows=aln: rows.select("grp", F.lit(part).alias("part"), F.lit(ord_).cast("long").alias("ord") if isinstance(ord_, int) else ord_.cast("long").alias("ord"), text.alias("line"))
+    ref, own = aln.filter(first), F.col("ord")
+    if dialect == "stockholm":
+        name = F.when(first, F.col("name")).otherwise(F.concat("name", F.lit("/"), bounds))
+        descr = F.when(first, F.col("descr")).otherwise(F.concat(F.lit("("), bounds, F.lit(") "), "descr", F.lit("  Expect="), general(F.col("evalue"))))
+        dots = F.translate("aln", "-", ".")
+        pad = lambda c, n: F.when(F.length(c) > n, c).otherwise(F.rpad(c, n, " "))
+        parts = [
+            line(0, 0, F.concat(F.lit("# STOCKHOLM 1.0\n#=GF ID "), "name", F.lit("\n##=GF DE "), "descr", F.lit("\n")), ref),
+            line(1, own, F.concat(F.lit("#=GS "), pad(name, 26), F.lit(" DE "), descr)),
+            line(2, own, F.concat(F.when(first, "\n").otherwise(""), pad(name, 34), F.lit(" "), F.when(first, dots).otherwise(F.col("aln")))),
+            line(3, 0, F.concat(F.rpad(F.lit("#=GC RF"), 34, " "), F.lit(" "), dots, F.lit("\n//")), ref),
+        ]
+    else:
+        text = F.when(first, F.concat_ws(" ", "name", "descr")).otherwise(F.concat("name", F.lit(" ("), bounds, F.lit(") "), "descr", F.lit("  Expect="), general(F.col("evalue"))))
+        names = aln.groupBy("grp").agg(F.concat(F.lit("##"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: F.concat(F.lit(" "), x["name"])), ""), F.lit("\nscores from program: 0")).alias("t"))
+        parts = [line(0, own, F.concat(F.lit("## "), text)), line(1, 0, F.col("t"), names), line(2, own, F.concat(F.lit("0 "), "aln"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def pairwise_lines(hits: DataFrame, width: int = 60) -> DataFrame:
-    """Query and subject with their bounds, ended by //."""
-    head = lambda n, a, b: F.concat(F.lit(">"), F.col(n).cast("string"), F.lit(" ALN:"), F.col(a), F.lit("-"), F.col(b), F.lit("\n"))
-    text = F.concat(head("query", "qstart", "qend"), wrap(F.col("qaln"), width), F.lit("\n"), head("sbjct", "sstart", "send"), wrap(F.col("saln"), width), F.lit("\n//"))
+    """Query and subject with their bounds, descriptions and E-value, ended by //; from (ord, query, qdescr, qstart, qend, qaln, sbjct,
+    sdescr, sstart, send, saln, evalue), the E-value as the report had it."""
+    head = lambda n, d, a, b: F.concat(F.lit(">"), F.col(n).cast("string"), F.lit(" (ALN: "), F.col(a), F.lit("-"), F.col(b), F.lit(") "), F.col(d), F.lit("  Expect="), F.col("evalue").cast("string"), F.lit("\n"))
+    text = F.concat(head("query", "qdescr", "qstart", "qend"), wrap(F.col("qaln"), width), F.lit("\n"), head("sbjct", "sdescr", "sstart", "send"), wrap(F.col("saln"), width), F.lit("\n//"))
     return hits.select("ord", text.alias("line"))
 
 
@@ -93,14 +163,21 @@ def checkpoint_bytes(profiles: DataFrame) -> DataFrame:
 
 
 def pssm_lines(profile: DataFrame) -> DataFrame:
-    """K11: 'pos res score… percent…' for each position; from (name, pos, res, scores, percents)."""
-    nums = lambda c, f: F.array_join(F.transform(c, lambda x: F.format_string(f, x)), "")
-    return profile.select("name", "pos", F.concat(F.format_string("%5d %s ", "pos", "res"), nums("scores", "%4d"), F.lit("  "), nums("percents", "%4d")).alias("line"))
+    """(name, part, pos, line): two header lines, 'pos res score… percent…' for each position, and a footer, for each name; from (name,
+    pos, res, scores, percents)."""
+    nums = lambda c: F.array_join(F.transform(c, lambda x: F.format_string(" %3d", x)), "")
+    letters = "A   R   N   D   C   Q   E   G   H   I   L   K   M   F   P   S   T   W   Y   V"
+    title = "Position-specific scoring matrix computed, weighted observed percentages rounded down, information per position, and relative weight of gapless real matches to pseudocounts"
+    body = profile.select("name", F.lit(1).alias("part"), "pos", F.concat(F.format_string("%5d %s  ", "pos", "res"), nums("scores"), F.lit(" "), nums("percents"), F.format_string(" %5.2f %8.2f", F.lit(0.0), F.lit(0.0))).alias("line"))
+    names = profile.select("name").distinct()
+    ends = [(0, 0, title + "\n" + " " * 12 + letters + "   " + letters), (2, 0, "\n                      K         Lambda")]
+    return body.unionByName(names.select("name", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(o).alias("pos"), F.lit(x).alias("line")) for p, o, x in ends])).alias("e")).select("name", "e.*"))
 
 
-def ss_lines(states: DataFrame) -> DataFrame:
-    """K12: 'pos res state p(C) p(H) p(E)' for each position."""
-    return states.select("name", "pos", F.format_string("%4d %s %s  %6.3f %6.3f %6.3f", "pos", "res", "state", F.col("p")[0], F.col("p")[1], F.col("p")[2]).alias("line"))
+def ss_lines(states: DataFrame, scale: int = 10000) -> DataFrame:
+    """(name, pos, line): a header at position 0, then 'pos res state p(C) p(H) p(E)', the probabilities as whole parts of the scale."""
+    head = states.select("name").distinct().select("name", F.lit(0).alias("pos"), F.lit("# PSIPRED VFORMAT (PSIPRED V2.6)").alias("line"))
+    return head.unionByName(states.select("name", "pos", F.format_string("%4d %s %s  %6.3f %6.3f %6.3f", "pos", "res", "state", *[F.col("p")[k] / scale for k in range(3)]).alias("line")))
 
 
 def atom_lines(atoms: DataFrame, errors: DataFrame | None = None) -> DataFrame:
@@ -111,6 +188,17 @@ def atom_lines(atoms: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     return rows.select("chain", "serial", F.format_string("ATOM  %5d  %s %s %s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", *fields).alias("line"))
 
 
-def superposition_blocks(hits: DataFrame) -> DataFrame:
-    """Four strings a hit, by Z-score."""
-    return hits.select("ord", "zscore", F.concat_ws("\n", "qseq", "qstr", "sstr", "sseq").alias("line"))
+def superposition_blocks(hits: DataFrame, width: int = 60) -> DataFrame:
+    """(ord, zscore, line): a block of four strings with their headers for each hit, ended by //; to be sorted by Z-score, largest
+    first. From (ord, zscore, query, qscop, qstart, qend, qbeg, sbjct, sscop, sstart, send, sbeg, qseq, qstr, sstr, sseq)."""
+    pad = lambda c, n: F.when(F.length(c) > n, c).otherwise(F.rpad(c, n, " "))
+
+    def block(side: str, seq: str, tail: Column) -> Column:
+        name = F.concat(F.lit(">"), pad(F.col("query" if side == "q" else "sbjct").cast("string"), 9), F.lit(" "), pad(F.col(f"{side}scop"), 13), F.lit(" "))
+        return F.concat(name, tail, F.lit("\n"), wrap(F.col(seq), width), F.lit("\n"))
+
+    ends = lambda side: F.concat(F.format_string("%4d ", f"{side}start"), pad(F.col(f"{side}end").cast("string"), 4))
+    plain = lambda side: F.format_string("%4d SEQUENCE", f"{side}beg")
+    z = F.lpad(general(F.col("zscore")), 10, " ")
+    text = F.concat(block("q", "qseq", plain("q")), block("q", "qstr", F.concat(ends("q"), F.lit(" "), z)), block("s", "sstr", ends("s")), block("s", "sseq", plain("s")), F.lit("//"))
+    return hits.select("ord", "zscore", text.alias("line"))

@@ -66,12 +66,16 @@ def energy(rows: DataFrame, fixed: int | None = 29) -> DataFrame:
 
 
 def eval_summary(rows: DataFrame) -> DataFrame:
-    """(config, mean, sd, target, t_mean, t_sd) from lines 'name mean sd | (target mean sd)*'."""
-    head, tail = F.split("line", r"\|")[0], F.coalesce(F.try_element_at(F.split("line", r"\|"), F.lit(2)), F.lit(""))
-    h = F.split(F.trim(head), r"\s+")
-    triples = F.regexp_extract_all(tail, F.lit(r"\S+\s+\S+\s+\S+"), 0)
-    kept = rows.filter(F.trim("line") != "").select(h.alias("h"), F.explode_outer(triples).alias("t")).withColumn("t", F.split("t", r"\s+"))
-    return kept.select(F.col("h")[0].alias("config"), F.col("h")[1].cast("double").alias("mean"), F.col("h")[2].cast("double").alias("sd"), F.col("t")[0].alias("target"), F.col("t")[1].cast("double").alias("t_mean"), F.col("t")[2].cast("double").alias("t_sd"))
+    """(config, mean, sd, target, t_mean, t_sd) from lines 'name mean sd | (target mean sd)*'; a name that occurs twice in the input, or a
+    line of another width, is an error."""
+    f = fields()
+    every, name = Window.partitionBy("file"), Window.partitionBy("config")
+    kept = rows.filter(F.trim("line") != "").select("file", "line", f.alias("f"), f[0].alias("config"))
+    even = F.min(F.size("f")).over(every) == F.max(F.size("f")).over(every)
+    kept = kept.withColumn("ok", even & (F.count("*").over(name) == 1)).withColumn("f", _need(F.col("ok"), F.col("f"), "an uneven line, or a model that already exists", "array<string>"))
+    triples = F.transform(F.sequence(F.lit(5), F.greatest(F.size("f") - 2, F.lit(5)), F.lit(3)), lambda k: F.slice("f", k, 3))
+    long = kept.select("f", F.explode_outer(F.filter(triples, lambda t: F.size(t) == 3)).alias("t"))
+    return long.select(F.col("f")[0].alias("config"), F.col("f")[1].cast("double").alias("mean"), F.col("f")[2].cast("double").alias("sd"), F.col("t")[0].alias("target"), F.col("t")[1].cast("double").alias("t_mean"), F.col("t")[2].cast("double").alias("t_sd"))
 
 
 def ground_truth(rows: DataFrame) -> DataFrame:
@@ -86,36 +90,58 @@ def scaled_values(line: Column, scale: float, skip: tuple[int, ...] = ()) -> Col
     return F.filter(nums, lambda x, i: ~i.isin(*skip)) if skip else nums
 
 
-def profile(rows: DataFrame, scale: float = 10000.0, width: int = 59) -> DataFrame:
-    """(file, pos, res, attrs): profiles with seven records for each position.
+# The residues' order in a profile's codes.
+PROFILE_RESIDUES = "ARNDCQEGHILKMFPSTWYVBZJX"
+
+
+def profile(rows: DataFrame) -> DataFrame:
+    """(file, pos, res, attrs): profiles with eight records for each position; 59 values each.
 
-    The first record of a position is 'pos res' and numbers, six further lines hold numbers; transition slots 5 and 7 and context slot 2
-    are dropped, and each position must give ``width`` values.
+    'LEN: n' and 'SCALE: n' come first. A position begins with 'pos res' and 20 target probabilities; lines that begin with white space
+    follow: 9 transition probabilities (without the sixth and the eighth), 3 effective numbers of observations in thousandths, a
+    background posterior and a number of posteriors (left out, but it has to be positive), posteriors (the largest counts), indexes (the
+    first counts, unscaled), 'CV:' and 22 context values (without the third), 'SS:' and 3 state probabilities. The values begin with the
+    position and the residue's place in ``PROFILE_RESIDUES``. Another number of fields, or records missing, are errors.
     """
-    start = F.trim("line").rlike(r"^\d+\s+[A-Z]\s")
+    f = F.split(F.rtrim("line"), r"\s+")
+    start = F.col("line").rlike(r"^\d+\s+[A-Za-z]\s")
     w = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = rows.withColumn("s", start.cast("int")).withColumn("g", F.sum("s").over(w)).filter((F.col("g") > 0) & (F.trim("line") != "") & ~F.trim("line").startswith("*"))
+    scale = F.max(F.when(f[0] == "SCALE:", f[1].try_cast("double"))).over(Window.partitionBy("file"))
+    marked = rows.withColumns({"f": f, "s": start.cast("int"), "scale": scale}).withColumn("g", F.sum("s").over(w))
+    marked = marked.filter((F.col("g") > 0) & ((F.col("s") == 1) | (F.col("line").rlike(r"^\s+\S"))))
     k = F.row_number().over(Window.partitionBy("file", "g").orderBy("ord"))
-    f = F.when(F.col("k") == 1, F.slice(fields(), 3, F.size(fields()))).otherwise(fields())
-    nums = F.transform(f, lambda x: (x.try_cast("double") / scale).cast("float"))
-    dropped = F.when(F.col("k") == 3, F.filter(nums, lambda x, i: ~i.isin(4, 6))).when(F.col("k") == 6, F.filter(nums, lambda x, i: i != 1)).otherwise(nums)
-    one = marked.withColumn("k", k).select("file", "g", "k", F.get(fields(), 1).alias("res"), dropped.alias("v"))
-    by = one.groupBy("file", F.col("g").cast("int").alias("pos")).agg(F.max(F.when(F.col("k") == 1, F.col("res"))).alias("res"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])).alias("attrs"))
-    attrs = F.when(F.size("attrs") == width, F.col("attrs")).otherwise(F.raise_error(F.concat(F.lit("values at position "), F.col("pos").cast("string"), F.lit(": "), F.size("attrs").cast("string"))).cast("array<float>"))
-    return by.select("file", "pos", "res", attrs.alias("attrs"))
+    marked = marked.withColumn("k", k).withColumn("v", F.when(F.col("k").isin(1, 7, 8), F.slice("f", 3, F.greatest(F.size("f") - 2, F.lit(0)))).otherwise(F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0)))))
+    n, k, tag = F.size("v"), F.col("k"), F.col("f")[1]
+    number = lambda i: F.col("v")[i].try_cast("double")
+    fits = F.when(k == 1, (n == 20) & (F.position(F.upper(tag), F.lit(PROFILE_RESIDUES)) > 0)).when(k == 2, n == 9).when(k == 3, n == 3).when(k == 4, (n == 2) & (number(1) > 0))
+    fits = fits.when(k.isin(5, 6), n >= 1).when(k == 7, (n == 22) & (tag == "CV:")).when(k == 8, (n == 3) & tag.startswith("SS:")).otherwise(F.lit(False))
+    by = F.when(k == 3, F.lit(1000.0)).when(k == 6, F.lit(1.0)).otherwise(F.col("scale"))
+    nums = F.transform("v", lambda x: (x.try_cast("double") / by).cast("float"))
+    kept = F.when(k == 2, F.filter(nums, lambda x, i: ~i.isin(5, 7))).when(k.isin(4, 5, 6), F.slice(nums, 1, 1)).when(k == 7, F.filter(nums, lambda x, i: i != 2)).otherwise(nums)
+    own = F.array(F.col("f")[0].try_cast("float"), (F.position(F.upper(tag), F.lit(PROFILE_RESIDUES)) - 1).cast("float"))
+    values = _need(fits & F.col("scale").isNotNull(), F.when(k == 1, F.concat(own, kept)).otherwise(kept), "not a record of a profile", "array<float>")
+    one = marked.select("file", "g", "k", tag.alias("res"), values.alias("v"))
+    found = one.groupBy("file", F.col("g").cast("int").alias("pos")).agg(F.max(F.when(F.col("k") == 1, F.col("res"))).alias("res"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])).alias("attrs"))
+    whole = F.when(F.size("attrs") == 59, F.col("attrs")).otherwise(F.raise_error(F.concat(F.lit("values at position "), F.col("pos").cast("string"), F.lit(": "), F.size("attrs").cast("string"))).cast("array<float>"))
+    return found.select("file", "pos", "res", whole.alias("attrs"))
 
 
 def xcov(rows: DataFrame, width: int = 401) -> DataFrame:
-    """(file, i, j, xcov), upper triangle, ``width`` values each."""
+    """(file, i, j, xcov), upper triangle, ``width`` values each; comments start with #, and a header 'Length= n xcov_size= width' with
+    another width is an error."""
     f = fields()
-    kept = rows.filter(F.trim("line").rlike(r"^\d+\s+\d+\s")).select("file", _need(F.size(f) == width + 2, f, f"a covariance needs {width} values", "array<string>").alias("f"))
+    head = F.trim("line").startswith("Length=")
+    right = F.when(head, F.regexp_extract("line", r"xcov_size=\s+(\d+)", 1) == str(width)).otherwise(F.size(f) == width + 2)
+    kept = rows.filter((F.trim("line") != "") & ~F.trim("line").startswith("#")).select("file", _need(right, f, f"a covariance needs {width} values", "array<string>").alias("f"), head.alias("h"))
+    kept = kept.filter((F.size("f") > 0) & ~F.col("h"))  # the check comes first, so that the header is checked too
     i, j = F.col("f")[0].cast("int"), F.col("f")[1].cast("int")
     return kept.select("file", i.alias("i"), j.alias("j"), F.transform(F.slice("f", 3, width), lambda x: x.cast("float")).alias("xcov")).filter("i <= j")
 
 
 def profile_record(rows: DataFrame, name: str) -> DataFrame:
-    """The record with this name from a database whose records end in '*'; rows are read with that separator."""
-    return rows.filter(F.regexp_extract("line", r"(?m)^DESC:?\s+(\S+)", 1) == name)
+    """The first record whose FILE: begins with this name, from a database whose records end in '*'; rows (ord, line) hold a record each."""
+    file = F.regexp_extract("line", r"(?m)^FILE:\s+(\S+)", 1)
+    return rows.filter((F.lit(name) != "") & file.startswith(name)).orderBy("ord").limit(1)
 
 
 def profile_to_seq(profile_rows: DataFrame) -> DataFrame:
