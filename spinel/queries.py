@@ -434,9 +434,9 @@ def t07_t08_k06_ranked_list(spark, sf):
     return quality.ranked_list(scores)
 
 
-@query("SELECT predictor, name, k, round_even(local, 1) AS local FROM quality", "quality")
+@query("SELECT predictor, name, k, round_even(round(local, 6), 1) AS local FROM quality", "quality")
 def legacy_rounding(spark, sf):
-    return quality.legacy_rounding(C.quality(spark, sf).select("predictor", "name", "k", "local"))
+    return quality.legacy_rounding(C.quality(spark, sf).select("predictor", "name", "k", r6("local").alias("local")))
 
 
 # --- structure match: the flagship -------------------------------------------------------------------------------------------------
