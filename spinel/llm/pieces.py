@@ -38,11 +38,11 @@ SPACE = "▁"
 _SPACE = SPACE.encode()
 UNKNOWN_PENALTY = 10.0
 #: Parts of text whose result a worker keeps, and those with all N segmentations; this changes no result.
-KEEP, KEEP_ALL = 300_000, 50_000
+KEEP, KEEP_ALL = 60_000, 20_000
 #: Characters of a part beyond which the search runs in its cuts.
 LONG = 48
 #: Documents and characters whose parts are looked up together, and characters of unseen parts that are.
-GROUP, GROUP_CHARS, CELLS = 400, 2_000_000, 100_000
+GROUP, GROUP_CHARS, CELLS = 200, 1_000_000, 60_000
 PART = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
@@ -494,6 +494,12 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL, nbest: int = 4, v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model_file, nbest)
+        try:
+            yield from encode_batches(lat, batches)
+        finally:
+            lat._forget()  # idle workers would hold it
+
+    def encode_batches(lat: Lattice, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             size = np.cumsum(np.maximum(pc.fill_null(pc.utf8_length(whole.column("text")), 0).to_numpy(zero_copy_only=False), GROUP_CHARS // GROUP)) // GROUP_CHARS
             cut = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(whole)]
