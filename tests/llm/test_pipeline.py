@@ -97,3 +97,51 @@ def test_mixing_stage(stages):
 def test_encoding_stage(stages):
     got, docs = rows(stages[5]), rows(stages[4])
     assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r["doc_id"] for r in docs) and all(r["round_trip"] for r in got)
+
+
+ODD = [
+    (1, "good words in a row of seven", "en", "a", 28, 0.5, 7),
+    (1, "good words in a row of seven", "en", "a", 28, 0.5, 7),
+    (2, None, None, None, None, None, None),
+    (3, "", "en", "b", 0, 0.1, 1),
+    (None, "a text without an id", "en", "b", 20, 0.1, 1),
+    (4, "long text " * 30_000, "en", "c", 300_000, 0.1, 1),
+    (5, "l1 x\nl2 x\nl3 x\nl4 y", "de", "c", 19, 0.1, 1),
+    (6, "l1 x\nl2 x\nl3 x\nl4 z", "de", "c", 19, 0.1, 1),
+]
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_removed long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    sf = str(tmp_path_factory.mktemp("odd"))
+    docs = spark.createDataFrame(ODD, ODD_SCHEMA)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (5, 1, 0), (4, 0, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    return docs, sf
+
+
+def test_stages_take_odd_rows(spark, odd):
+    docs, sf = odd
+    own = [r.asDict() for r in docs.collect()]
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        back = [r.asDict() for r in got.collect()]
+        assert all(any(all(r[c] == o[c] for c in docs.columns if c not in ("text", "n_chars")) for o in own) for r in back), name
+    lines_left = {r.doc_id: (r.text, r.n_chars, r.n_removed) for r in p.line_stage(spark, docs, sf).collect()}
+    assert lines_left[6] == ("l4 z", 4, 1) and lines_left[5] == ("l1 x\nl2 x\nl3 x\nl4 y", 19, 1) and lines_left[2][0] is None
+    kept = sorted((r.doc_id or 0) for r in p.near_duplicate_stage(spark, docs, sf).collect())
+    assert kept == [0, 1, 2, 3, 4, 5, 6]
+    assert len(p.encoding_stage(spark, docs, sf).collect()) == len(ODD)
+
+
+def test_stages_take_no_rows(spark, odd):
+    docs, sf = odd
+    none = docs.limit(0)
+    for name, stage in p.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
+
+
+def test_run_on_odd_rows(spark, odd):
+    assert p.run(spark, odd[1]).filter("NOT round_trip").count() == 0
