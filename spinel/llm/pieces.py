@@ -38,7 +38,7 @@ SPACE = "▁"
 _SPACE = SPACE.encode()
 UNKNOWN_PENALTY = 10.0
 #: Parts of text whose result a worker keeps, and those with all N segmentations; this changes no result.
-KEEP, KEEP_ALL = 60_000, 20_000
+KEEP, KEEP_ALL = 120_000, 20_000
 #: Characters of a part beyond which the search runs in its cuts.
 LONG = 48
 #: Documents and characters whose parts are looked up together, and characters of unseen parts that are.
@@ -307,7 +307,8 @@ class Lattice:
         ids = np.full((deep + 1, size, n), -1, dtype=np.int32)
         row, col = np.nonzero(np.arange(size)[None, :] < lens[:, None])
         h = np.zeros(len(row), dtype=np.uint64)
-        top = 1
+        used = np.zeros((deep + 1, size), dtype=bool)  # lengths of pieces that begin at a position in some word
+        used[1] = True
         for k in range(1, deep + 1):
             h = h * np.uint64(_P) + codes[row, col + k - 1]
             at = self.lookup.find(h)
@@ -315,7 +316,7 @@ class Lattice:
             row, col, h, at = row[found], col[found], h[found], at[found]
             if not len(row):
                 break
-            top = k
+            used[k, col] = True
             score[k, col, row], ids[k, col, row] = self.key_score[at], self.key_id[at]
             more = col + k < lens[row]
             row, col, h = row[more], col[more], h[more]
@@ -323,7 +324,9 @@ class Lattice:
         best, second = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
         best[0], step = 0.0, np.zeros((size + 1, n), dtype=np.int8)
         for j in range(1, size + 1):
-            for k in range(1, min(j, top) + 1):
+            for k in range(1, min(j, deep) + 1):
+                if not used[k, j - k]:
+                    continue
                 s = score[k, j - k]
                 a = best[j - k] + s
                 np.maximum(second[j], second[j - k] + s, out=second[j])
