@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.probs import BACKGROUND, distance_class
 
 
+SALTS = 8
+
+
 def pair_distances(points: DataFrame, lo: float = 0.0, hi: float = 64.0, infinite: bool = False) -> DataFrame:
     """(chain, i, j, d) for residues i < j of a chain with lo <= d <= hi; ``infinite`` gives lo for every d >= lo.
 
-    An equi-join on the chain with the order as residual condition; no cartesian product.
+    An equi-join on the chain with the order as residual condition; no cartesian product. A chain's residues are dealt to ``SALTS`` keys on
+    one side and stand at all of them on the other, so a long chain is several tasks. A structure's extent is a few times the limit of
+    64 Å, so cells of space would hold most pairs anyway.
     """
-    a = points.select("chain", F.col("resnum").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("z1"))
-    b = points.select("chain", F.col("resnum").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
+    salt = F.pmod(F.hash("resnum"), F.lit(SALTS)).alias("_s")
+    a = points.select("chain", salt, F.col("resnum").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("z1"))
+    b = points.select("chain", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"), F.col("resnum").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
     dx, dy, dz = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"), F.col("z1") - F.col("z2")
     d = F.sqrt(dx * dx + dy * dy + dz * dz)
-    rows = a.join(b, (a["chain"] == b["chain"]) & (F.col("i") < F.col("j"))).select(a["chain"], "i", "j", d.alias("d"))
+    rows = a.join(b, (a["chain"] == b["chain"]) & (a["_s"] == b["_s"]) & (F.col("i") < F.col("j"))).select(a["chain"], "i", "j", d.alias("d"))
     if infinite:
         return rows.filter(F.col("d") >= lo).withColumn("d", F.lit(float(lo)))
     return rows.filter(F.col("d").between(lo, hi))
@@ -30,6 +36,18 @@ def symmetrize(pairs: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
     return pairs.select(*rest, swapped.alias("_ij")).select(*[F.col(f"_ij.{c}").alias(c) if c in (i, j) else F.col(c) for c in pairs.columns])
 
 
+def checked_numbers(points: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """The points, if residue numbers increase along each chain (by idx) and, with lengths (chain, length), lie within 1 and the length;
+    anything else is an error."""
+    before = F.lag("resnum").over(Window.partitionBy("chain").orderBy("idx"))
+    right = before.isNull() | (before < F.col("resnum"))
+    rows = points.withColumn("_right", right)
+    if lengths is not None:
+        rows = rows.join(lengths, "chain").withColumn("_right", F.col("_right") & F.col("resnum").between(1, F.col("length"))).drop("length")
+    checked = F.when(F.col("_right"), F.col("resnum")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("residue number out of order or range in chain"), F.col("chain").cast("string"), F.col("resnum").cast("string"))).cast("int"))
+    return rows.withColumn("resnum", checked).drop("_right")
+
+
 def mask_from_points(points: DataFrame, hi: float = 64.0) -> DataFrame:
     """The sparse class mask (chain, i, j, cls) of a structure, symmetric; no row means background, the diagonal is 2 Å."""
     off = symmetrize(pair_distances(points, 0.0, hi)).select("chain", "i", "j", distance_class(F.col("d")).alias("cls"))
@@ -116,9 +134,13 @@ def renumber(atoms: DataFrame, start: int = 1) -> DataFrame:
     return atoms.withColumn("resnum", start + F.col("resnum") - F.min("resnum").over(Window.partitionBy("chain")))
 
 
-def pick_atom(atoms: DataFrame, atom: str = "CB", gly: str = "CA", hetatm: bool = False) -> DataFrame:
-    """one atom a residue, another for glycine; residues without it drop out."""
+def pick_atom(atoms: DataFrame, atom: str = "CB", gly: str = "CA", hetatm: bool = False, need: list[str] | None = None) -> DataFrame:
+    """one atom a residue, another for glycine; residues without it drop out, or are an error if ``need`` names what makes a residue."""
     rows = atoms if hetatm else atoms.filter(~F.col("het"))
+    if need:
+        own = F.col("atom") == F.when(F.col("resname") == "GLY", gly).otherwise(atom)
+        there = F.when(F.bool_or(own).over(Window.partitionBy(*need)), own).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no such atom in residue"), *[F.col(c).cast("string") for c in need])).cast("boolean"))
+        return rows.withColumn("_own", there).filter("_own").drop("_own")
     return rows.filter(F.col("atom") == F.when(F.col("resname") == "GLY", gly).otherwise(atom))
 
 

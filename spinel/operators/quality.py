@@ -35,8 +35,12 @@ def energy_sum(en: DataFrame, indexes: list[int]) -> DataFrame:
     return en.select("name", "k", subset_sum(F.col("terms"), F.array(*[F.lit(i) for i in indexes])).alias("s"))
 
 
-def join_energy(qa: DataFrame, en: DataFrame) -> DataFrame:
-    """Local errors with their residue's energy terms, null where there are none."""
+def join_energy(qa: DataFrame, en: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """Local errors with their residue's energy terms, null where there are none; with lengths (name, length) an energy of a residue beyond
+    its model's length is an error."""
+    if lengths is not None:
+        beyond = F.raise_error(F.concat_ws(" ", F.lit("an energy beyond the length of"), F.col("name").cast("string"), F.col("k").cast("string"))).cast("int")
+        en = en.join(lengths, "name").withColumn("k", F.when(F.col("k") <= F.col("length"), F.col("k")).otherwise(beyond)).drop("length")
     return qa.join(en, ["name", "k"], "left")
 
 

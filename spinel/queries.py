@@ -591,6 +591,24 @@ def r11_r12_sweep_combos(spark, sf):
     return rows.select("combo", r6("mean").alias("mean"), r6("sd").alias("sd"))
 
 
+WIDE = COMBO[COMBO.index("loc AS"):].replace("FROM quality JOIN mem ON predictor = id", "FROM qa JOIN mem USING (id)")
+WIDE = f""", qa AS (SELECT predictor AS id, name, k, local FROM quality UNION ALL SELECT predictor + 3, name, k, local * 0.5 FROM quality WHERE predictor < 2),
+mem AS (SELECT array_to_string(m, '-') AS combo, unnest(m) AS id FROM (SELECT list_filter(range(5), lambda b: (s >> b) & 1 = 1) AS m FROM range(1, 32) t(s)) WHERE len(m) >= 3),
+{WIDE}"""
+
+
+@query(f"{WIDE} SELECT combo, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS sd FROM er GROUP BY combo", "quality truth")
+def r12_sweep_wide_combos(spark, sf):
+    """Three to five members: the three predictors, and two of them once more with half the error."""
+    conf = spark.createDataFrame([(k, k) for k in range(5)], "id int, run int")
+    q = C.quality(spark, sf).select(F.col("predictor").alias("id"), "name", "k", "local")
+    qa, out = q.unionByName(q.filter("id < 2").select((F.col("id") + 3).alias("id"), "name", "k", (F.col("local") * 0.5).alias("local"))), None
+    for n in (3, 4, 5):
+        one = sweep.sweep_combos(qa, sweep.combos(conf, n), n, C.truth(spark, sf), ["target"])
+        out = one if out is None else out.unionByName(one)
+    return out.select("combo", r6("mean").alias("mean"), r6("sd").alias("sd"))
+
+
 @query(
     f"""{ENSQ}, cfg AS (SELECT s, w, w / 10.0::DOUBLE AS wt FROM range(1, 8) a(s), range(1, 10) b(w)),
 x AS (SELECT s, w, wt, name, local, CASE WHEN terms IS NOT NULL THEN CASE WHEN s & 1 = 1 THEN terms[1] ELSE 0 END + CASE WHEN s & 2 = 2 THEN terms[2] ELSE 0 END + CASE WHEN s & 4 = 4 THEN terms[3] ELSE 0 END END AS e FROM ens LEFT JOIN energy USING (name, k), cfg),

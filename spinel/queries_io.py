@@ -169,6 +169,18 @@ def _aligned(spark, sf):
     return prof, chain, prof.select("name", "pos", F.col("pos").alias("idx"))
 
 
+@query()
+def r19_from_alignment(spark, sf):
+    """Positions mapped by global alignment (J04): the structure lacks every seventh letter of the sequence."""
+    t = F.upper(F.regexp_replace("p_type", "[^A-Za-z]", ""))
+    kept = F.array_join(F.filter(F.split(t, ""), lambda x, i: i % 7 != 3), "")
+    both = table(spark, sf, "part").select(F.col("p_partkey").alias("name"), t.alias("a"), kept.alias("b"))
+    letters = lambda c: F.posexplode(F.split(c, ""))
+    prof = both.select("name", letters("a").alias("pos", "res")).withColumn("pos", F.col("pos") + 1)
+    chain = both.select("name", letters("b").alias("idx", "x")).select("name", (F.col("idx") + 1).alias("idx"), (F.col("idx") + 101).alias("resnum"))
+    return align.mask_aligned(prof, chain, align.map_positions(both, "name"), "A")
+
+
 # --- formatted numbers: Java and C round decimal ties apart, so these have no SQL ------------------------------------------------------
 
 

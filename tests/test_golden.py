@@ -343,6 +343,33 @@ def test_tables_and_their_errors(spark, tmp_path):
     assert palette[0] == ("Background", 255) and palette[1] == ("2", 0) and palette[2] == ("3", 3) and palette[62] == ("63", 183)
 
 
+def test_structure_errors(spark):
+    atoms = spark.createDataFrame([("A", 1, "CA", "GLY", False), ("A", 2, "CA", "ALA", False), ("A", 2, "CB", "ALA", False), ("A", 3, "CA", "ALA", False)], "chain string, resnum int, atom string, resname string, het boolean")
+    assert [(r.resnum, r.atom) for r in pairs.pick_atom(atoms).orderBy("resnum").collect()] == [(1, "CA"), (2, "CB")]
+    assert pairs.pick_atom(atoms.filter("resnum < 3"), need=["chain", "resnum"]).count() == 2
+    with pytest.raises(Exception, match="no such atom in residue A 3"):
+        pairs.pick_atom(atoms, need=["chain", "resnum"]).collect()
+    points = spark.createDataFrame([("A", 1, 5), ("A", 2, 7), ("A", 3, 6)], "chain string, idx int, resnum int")
+    with pytest.raises(Exception, match="out of order or range in chain A 6"):
+        pairs.checked_numbers(points).collect()
+    lengths = spark.createDataFrame([("A", 6)], "chain string, length int")
+    assert pairs.checked_numbers(points.filter("idx <> 2"), lengths).count() == 2
+    with pytest.raises(Exception, match="out of order or range in chain A 7"):
+        pairs.checked_numbers(points.filter("idx <> 3"), lengths).collect()
+    qa = spark.createDataFrame([("m", 1, 2.0)], "name string, k int, local double")
+    en = spark.createDataFrame([("m", 1, [1.0]), ("m", 9, [1.0])], "name string, k int, terms array<double>")
+    size = spark.createDataFrame([("m", 3)], "name string, length int")
+    assert quality.join_energy(qa, en.filter("k = 1"), size).first().terms == [1.0]
+    with pytest.raises(Exception, match="beyond the length of m 9"):
+        quality.join_energy(qa, en, size).collect()
+
+
+def test_rank_without_one_task(spark):
+    rows = [(f"m{k}", s) for k, s in enumerate([0.5, 1.0, 0.0, 0.5, 0.99995, 0.99994, 0.12])]
+    got = {r.name: r.rank for r in quality.rank_models(spark.createDataFrame(rows, "name string, global double")).collect()}
+    assert got == {n: k for k, (n, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+
+
 def test_config_names(spark):
     name = "QA2__modelRUN1e20__full_d8_p0.1QA2__modelRUN2e5__full_d20_p0"
     assert [tuple(c) for c in one(spark, tx.parse_configs(F.lit(name)))] == [(1, 20, 8, 0.1), (2, 5, 20, 0.0)]
