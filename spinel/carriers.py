@@ -78,8 +78,7 @@ def alignment(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
 
 def columns(aln: DataFrame) -> DataFrame:
     """(grp, name, col, res): an alignment in long form."""
-    chars = F.transform(F.sequence(F.lit(1), F.length("aln")), lambda k: F.substr("aln", k, F.lit(1)))
-    return aln.select("grp", "name", F.posexplode(chars).alias("col", "res")).withColumn("col", F.col("col") + 1)
+    return aln.select("grp", "name", F.posexplode(F.split("aln", "")).alias("col", "res")).withColumn("col", F.col("col") + 1)
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,23 @@ def consensus_matches(cols: DataFrame, cons: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("matches"), "name")))
 
 
+def row_matches(aln: DataFrame, cons: DataFrame) -> DataFrame:
+    """A20 from whole rows (grp, name, aln): each row meets its group's consensus once, and no column is shuffled."""
+    per_group = cons.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("col", "cons"))).alias("_m"), F.max("col").alias("_n"))
+    per_group = per_group.select("grp", F.transform(F.sequence(F.lit(1), "_n"), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit("-"))).alias("_c"))
+    per_group = per_group.filter(F.exists("_c", lambda c: c != "-"))
+    same = F.zip_with(F.split("aln", ""), "_c", lambda a, c: (a == c) & (c != "-"))
+    rows = aln.join(per_group, "grp").select("grp", "name", F.size(F.filter(same, lambda x: x)).cast("long").alias("matches"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("matches"), "name")))
+
+
+def prune_rows(aln: DataFrame, kept: DataFrame) -> DataFrame:
+    """F22 from whole rows (grp, name, aln) and the columns (grp, col) that stay; each row meets its group's columns once."""
+    per_group = kept.groupBy("grp").agg(F.array_sort(F.collect_set("col")).alias("_k"))
+    picked = lambda x: F.transform("_k", lambda k: F.element_at(x, k))
+    return aln.join(per_group, "grp").select("grp", "name", F.array_join(F.transform(F.array(F.split("aln", "")), picked)[0], "").alias("aln"))
+
+
 def kept_columns(cols: DataFrame, mode: str = "all_gap", reference: int | str | DataFrame | None = None) -> DataFrame:
     """(grp, col) that stay: not all rows a gap ('all_gap', 'pair'), or no gap in the reference row ('reference'), which is one name, or
     one for each group (grp, name)."""
