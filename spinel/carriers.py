@@ -71,6 +71,8 @@ def alignment(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
     """(grp, name, aln): aligned rows of equal length, gaps for everything but letters; texts of one language are cut in blocks, and the
     blocks with one number are a group."""
     d = table(spark, sf_dir, "documents")
+    # one file may be one scan task, and each text becomes many rows
+    d = d.select("lang", "doc_id", "text").repartition("doc_id")
     plain = d.select("lang", "doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "-")).alias("t"))
     blocks = plain.filter(F.length("t") > 0).select("lang", "doc_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / width).cast("int"))).alias("b"))
     return blocks.select(F.concat_ws(":", "lang", "b").alias("grp"), F.col("doc_id").alias("name"), F.rpad(F.substr("t", F.col("b") * width + 1, F.lit(width)), width, "-").alias("aln"))
