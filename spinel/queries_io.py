@@ -347,12 +347,12 @@ def s03_profile(spark, sf):
     return tables.profile(head.unionByName(body)).withColumn("attrs", F.transform("attrs", lambda x: F.round(x.cast("double"), 4)))
 
 
-@query("SELECT vec_id::INT AS serial, 'CA' AS atom, 'GLY' AS resname, (vec_id % 500)::INT AS resnum, CASE WHEN vec_id % 7 = 0 THEN 'B' ELSE '' END AS icode, round(embedding[1]::DOUBLE * 100, 1) + 0.0::DOUBLE AS x, vec_id % 5 = 0 AS het FROM embeddings WHERE vec_id < 100000")
+@query("SELECT (vec_id % 100000)::INT AS serial, 'CA' AS atom, 'GLY' AS resname, (vec_id % 500)::INT AS resnum, CASE WHEN vec_id % 7 = 0 THEN 'B' ELSE '' END AS icode, round(embedding[1]::DOUBLE * 100, 1) + 0.0::DOUBLE AS x, vec_id % 5 = 0 AS het FROM embeddings")
 def s06_atoms(spark, sf):
-    e = table(spark, sf, "embeddings").filter("vec_id < 100000")  # the format has five places for a serial number
+    e = table(spark, sf, "embeddings")  # the format has five places for a serial number
     x = F.round(F.col("embedding")[0].cast("double") * 100, 1)
     line = F.concat(
-        F.when(F.col("vec_id") % 5 == 0, "HETATM").otherwise("ATOM  "), F.format_string("%5d", F.col("vec_id").cast("int")), F.lit("  CA  GLY A"), F.format_string("%4d", (F.col("vec_id") % 500).cast("int")),
+        F.when(F.col("vec_id") % 5 == 0, "HETATM").otherwise("ATOM  "), F.format_string("%5d", (F.col("vec_id") % 100000).cast("int")), F.lit("  CA  GLY A"), F.format_string("%4d", (F.col("vec_id") % 500).cast("int")),
         F.when(F.col("vec_id") % 7 == 0, "B").otherwise(" "), F.lit("   "), F.format_string("%8.3f%8.3f%8.3f", x, F.lit(1.0), F.lit(2.0)),
     )
     return tables.atoms(_lines(e.withColumn("ord", F.col("vec_id")), line)).select("serial", "atom", "resname", "resnum", "icode", "x", "het")
