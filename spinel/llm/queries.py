@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, compression, forest, html, lines, mixing, pieces, quality, suffixes, toxicity
+from . import anisotropic, compression, dualtree, forest, html, lines, mixing, pieces, quality, suffixes, toxicity
 from .sample import fold
 
 
@@ -66,6 +66,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_docs(spark, sf_dir), variants=True)
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_compression_bands": op2_compression_bands,
@@ -77,9 +81,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_centroids": op13_centroids,
 }
 
+
+def _lloyd_sql(rounds: int) -> str:
+    """Plain rounds over all pairs of vectors and centroids."""
+    nearest = """a{0} AS MATERIALIZED (SELECT uid, arg_min(k, (d, k)) AS k, min(d) AS d
+  FROM (SELECT uid, k, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{0}) GROUP BY uid)"""
+    moved = """c{1} AS MATERIALIZED (SELECT k, coalesce(m.c, c{0}.c) AS c FROM c{0} LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS c
+  FROM (SELECT k, p, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range(64)) AS p FROM a{0} JOIN v USING (uid)) GROUP BY k, p) GROUP BY k) m USING (k))"""
+    steps = [text.format(r, r + 1) for r in range(rounds) for text in (nearest, moved)]
+    return (
+        """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, v FROM v) QUALIFY row_number() OVER (ORDER BY h, v) <= 16),
+"""
+        + ",\n".join([*steps, nearest.format(rounds)])
+        + """
+SELECT v.vec_id, a{0}.k::INTEGER AS cluster, a{0}.d AS distance, (sum(a{0}.d) OVER (PARTITION BY a{0}.k))::BIGINT AS cluster_inertia, (sum(a{0}.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c{0}.c, ',')) AS centroid_sha256
+FROM v JOIN a{0} USING (uid) JOIN c{0} USING (k)
+""".format(rounds)
+    )
+
+
 ORACLE: dict[str, str] = {
+    "op13_centroids": _lloyd_sql(3),
     "op4_line_dedup": r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
 nb AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l
