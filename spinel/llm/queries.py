@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, compression, dualtree, forest, html, lines, mixing, pieces, quality, suffixes, toxicity
+from . import anisotropic, compression, dualtree, forest, html, lines, mixing, pieces, quality, spelling, suffixes, toxicity
 from .sample import fold
 
 
@@ -66,6 +66,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_docs(spark, sf_dir), variants=True)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dualtree.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_centroids": op13_centroids,
 }
 
