@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, compression, dualtree, forest, html, lines, mixing, pieces, quality, spelling, suffixes, toxicity
+from . import anisotropic, codes, compression, dualtree, forest, html, lines, mixing, pieces, quality, spelling, suffixes, toxicity
 from .sample import fold
 
 
@@ -66,6 +66,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_docs(spark, sf_dir), variants=True)
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = codes.identify(_docs(spark, sf_dir).select("doc_id", "text", "lang"))
+    return named.select("doc_id", _held_out(3, 1), "lang_pred", "score", "runner_up", "gap", "ambiguous")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_docs(spark, sf_dir).select("doc_id", "text"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_language": op11_language,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_centroids": op13_centroids,
 }
