@@ -12,7 +12,7 @@ if the runner-up is nearer than ``MARGIN`` behind or if the nearest codeword is
 Whole texts are scored in pieces, so very long ones need no more memory. Tasks receive ``BUCKETS`` times bits floats, and nothing is shuffled but the
 sample. Defined cases: null texts and texts without a letter are ``und`` with score 0 and not ambiguous, as is every text if no language was
 learned; with one language every text with letters is that one with score 1; languages all of whose texts are longer than ``MAX_CHARS`` are
-not learned; null languages and null ids are never learned from; each row is scored alone, so repeated rows share a result, and they count
+not learned, and more than ``MOST_LANGUAGES`` are an error; null languages and null ids are never learned from; each row is scored alone, so repeated rows share a result, and they count
 once in the sample; an empty table gives no rows; columns of the results' names are replaced, others pass through.
 """
 
@@ -30,7 +30,7 @@ from .quality import features
 from .sample import fold
 
 PER_LANGUAGE, IN_ALL, LEAST, MAX_CHARS = 600, 6000, 30, 20_000
-EXHAUSTIVE, DRAWS = 6, 200
+EXHAUSTIVE, DRAWS, MOST_LANGUAGES = 6, 200, 1000
 BUCKETS = 1 << 16
 MARGIN = float(np.log(3))
 ADDED = {"lang_pred": "string", "score": "double", "runner_up": "string", "gap": "double", "ambiguous": "boolean"}
@@ -134,11 +134,13 @@ def language_sample(docs: DataFrame, modulus: int, held: int) -> tuple[list[str]
     """Texts and their languages, by a hash of id and text."""
     rows = docs.filter((fold(F.col("doc_id"), modulus) != held) & F.col("lang").isNotNull() & F.length("text").between(1, MAX_CHARS))
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
-    n = counts.count()
-    each = max(LEAST, min(PER_LANGUAGE, IN_ALL // max(1, n)))
-    # twice as many as wanted by the hash alone, so that no language is sorted whole
-    few = rows.join(counts, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.lit(2.0 * each * (1 << 30)) / F.col("n"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    each = max(LEAST, min(PER_LANGUAGE, IN_ALL // max(1, len(counts))))
+    sizes = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counts], "lang string, n long")
+    # twice as many as wanted by the hash alone, so that no language is sorted whole; texts meet the few sizes where they are
+    few = rows.join(F.broadcast(sizes), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.lit(2.0 * each * (1 << 30)) / F.col("n"))
     few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     picked = few.withColumn("r", rank).filter(F.col("r") <= each).orderBy("lang", "h").select("text", "lang").collect()
