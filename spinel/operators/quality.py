@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.probs import blend, capped_exp, subset_sum
-
-
-SCORE_BUCKETS = 10_000
+from . import prefix
 
 
 def local_error(cells: DataFrame, keys: list[str], prb: float = 0.0, dst: float = 67.0, part: str = "full", width: int = 3) -> DataFrame:
@@ -57,20 +55,14 @@ def model_energy(sums: DataFrame) -> DataFrame:
     return sums.groupBy("name").agg(F.sum("s").alias("total"), errors.alias("by_residue"))
 
 
-def rank_models(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rank by score, largest first, names decide ties; within ``keys``.
+def rank_models(scores: DataFrame, keys: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """Rank by score, largest first, null last, names decide ties; within ``keys``.
 
-    Without keys no task orders all models: scores, which lie within 0 and 1, fall into ``SCORE_BUCKETS``, ranks are counted in each,
-    and the buckets' sizes, as many rows as buckets, give where each begins.
+    No task orders all models, whatever their scores: parts of the order are ranked apart, and names split equal scores.
     """
-    if keys:
-        return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("global"), "name")))
-    bucket = F.coalesce(F.greatest(F.lit(0), F.floor((1 - F.col("global")) * SCORE_BUCKETS)), F.lit(SCORE_BUCKETS + 1)).cast("int")
-    rows = scores.withColumn("_b", bucket)
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_at"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("global"), "name"))
-    return rows.withColumn("_r", inside).join(F.broadcast(before), "_b").withColumn("rank", (F.col("_at") + F.col("_r")).cast("int")).drop("_b", "_r", "_at")
+    worst = F.when(F.col("global").isNull(), 1).otherwise(0)
+    ranked = prefix.ranks(scores, keys or [], [worst, -F.col("global"), F.col("name")], parts=parts)
+    return ranked.withColumn("rank", F.col("rank").cast("int"))
 
 
 def ranked_list(scores: DataFrame) -> DataFrame:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefix
 
-def run_ids(states: DataFrame) -> DataFrame:
-    """(seq, pos, state, run): runs of equal states numbered from 1 over the non-coil ones; coil is -1."""
-    w = Window.partitionBy("seq").orderBy("pos")
+
+def run_ids(states: DataFrame, stretch: int = prefix.STRETCH) -> DataFrame:
+    """(seq, pos, state, run): runs of equal states numbered from 1 over the non-coil ones; coil is -1.
+
+    A sequence longer than ``stretch`` is several tasks: each stretch hears the state before it, and how many runs begin in the ones before.
+    """
+    p = prefix.previous(prefix.stretches(states.select("seq", "pos", "state"), ["seq"], "pos", stretch), "state", "_was")
     coil = F.upper("state") == "C"
-    fresh = (~coil & (F.lag("state").over(w).isNull() | (F.lag("state").over(w) != F.col("state")))).cast("int")
-    marked = states.withColumn("_f", fresh)
-    number = F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.select("seq", "pos", "state", F.when(coil, -1).otherwise(number).cast("int").alias("run"))
+    fresh = (~coil & (F.col("_was").isNull() | (F.col("_was") != F.col("state")))).cast("int")
+    number = prefix.summed(prefix.Parts(p.rows.withColumn("_f", fresh), p.keys, p.order, p.few), {"_n": F.col("_f")})
+    return number.select("seq", "pos", "state", F.when(coil, -1).otherwise(F.col("_n")).cast("int").alias("run"))
 
 
 def ordinal(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -21,10 +25,9 @@ def ordinal(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy(order)))
 
 
-def aln_coord(cols: DataFrame) -> DataFrame:
-    """The number of residues up to each column."""
-    w = Window.partitionBy("grp", "name").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cols.withColumn("coord", F.sum((F.col("res") != "-").cast("int")).over(w))
+def aln_coord(cols: DataFrame, stretch: int = prefix.STRETCH) -> DataFrame:
+    """The number of residues up to each column; a row of more than ``stretch`` columns is several tasks."""
+    return prefix.summed(prefix.stretches(cols, ["grp", "name"], "col", stretch), {"coord": (F.col("res") != "-").cast("int")})
 
 
 def evalue_filter(hits: DataFrame, most: float = 1e-4, reject_negative: bool = True) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from . import carriers as C
 from .carriers import SQL
+from .functions import images
 from .functions import probs as pr
 from .functions import text as tx
-from .operators import align, cluster, ensemble, evaluate, msa, pairs, quality, runs, sweep
+from .operators import align, cluster, ensemble, evaluate, loss, msa, pairs, quality, runs, sweep
 from .plans import predict, rank
 from .session import table
 
@@ -870,3 +871,42 @@ def j04_map_positions(spark, sf):
 @query()
 def r02_predict_pairs(spark, sf):
     return predict.predict_pairs(C.logits(spark, sf).withColumn("predictor", (F.col("pair") % 3).cast("int")), 3)
+
+
+# --- losses and augmentation ---------------------------------------------------------------------------------------------------------
+
+LOVASZ = """, cells AS (SELECT pair % 5 AS image, (pair // 5) % 12 AS label, p FROM soft WHERE (pair // 5) % 12 <> {ignore}),
+err AS (SELECT {key} AS image, c::INT AS cls, label = c AS own, abs((label = c)::INT - p[c + 1]) AS e FROM cells, range(64) r(c)),
+o AS (SELECT *, sum(own::INT) OVER (PARTITION BY image, cls) AS g, sum(own::INT) OVER w AS seen, count(*) OVER w AS n FROM err WINDOW w AS (PARTITION BY image, cls ORDER BY e DESC, own ROWS UNBOUNDED PRECEDING)),
+j AS (SELECT *, 1 - (g - seen) / (g + n - seen)::DOUBLE AS now, CASE WHEN n = 1 THEN 0 ELSE 1 - (g - seen + own::INT) / (g + n - 1 - seen + own::INT)::DOUBLE END AS was FROM o WHERE g > 0)"""
+
+
+def _lovasz_cells(spark, sf):
+    return _soft(spark, sf).select((F.col("pair") % 5).alias("image"), (F.floor(F.col("pair") / 5) % 12).alias("label"), "p")
+
+
+@query(f"{SOFT}{LOVASZ.format(ignore=-1, key=0)} SELECT cls, round(sum(e * (now - was)), 6) AS loss FROM j GROUP BY cls", "logits")
+def c27_lovasz_classes(spark, sf):
+    return loss.lovasz_softmax(_lovasz_cells(spark, sf)).select("cls", r6("loss").alias("loss"))
+
+
+@query(f"{SOFT}{LOVASZ.format(ignore=3, key='image')} SELECT image, round(avg(loss), 6) AS loss FROM (SELECT image, cls, sum(e * (now - was)) AS loss FROM j GROUP BY image, cls) GROUP BY image", "logits")
+def c27_lovasz_images(spark, sf):
+    """A loss for each image, without the cells of class 3."""
+    return loss.mean_loss(loss.lovasz_softmax(_lovasz_cells(spark, sf), ["image"], ignore=3), ["image"]).select("image", r6("loss").alias("loss"))
+
+
+SEEDED = """, s AS (SELECT vec_id, embedding, label, list_transform(['y', 'x', 'h', 'v', 'quarters', 'brightness'], lambda w: ('0x' || substr(md5('7:' || w || ':' || vec_id), 1, 8))::BIGINT) AS u FROM embeddings),
+q AS (SELECT *, u[1] % 4 AS y, u[2] % 3 AS x, u[3] % 2 = 1 AS h, u[4] % 2 = 1 AS v, u[5] % 4 AS t, 1 + 0.25 * (2 * u[6]::DOUBLE / 4294967295 - 1) AS f FROM s),
+k AS (SELECT *, CASE WHEN t % 2 = 1 THEN 5 ELSE 6 END AS wide FROM q),
+rc AS (SELECT *, list_transform(range(30), lambda n: CASE t WHEN 0 THEN [n // 6, n % 6] WHEN 1 THEN [n % 5, 5 - n // 5] WHEN 2 THEN [4 - n // 6, 5 - n % 6] ELSE [4 - n % 5, n // 5] END) AS cells FROM k),
+pl AS (SELECT *, list_transform(cells, lambda c: (y + CASE WHEN v THEN 4 - c[1] ELSE c[1] END) * 8 + x + CASE WHEN h THEN 5 - c[2] ELSE c[2] END) AS places FROM rc)"""
+
+
+@query(f"WITH {SEEDED.lstrip(', ')} SELECT vec_id, list_transform(places, lambda p: round(least(embedding[p + 1]::DOUBLE * f, 255.0), 9)) AS image, list_transform(places, lambda p: (p + label) % 7) AS mask, CASE WHEN t % 2 = 1 THEN 6 ELSE 5 END AS height, wide AS width FROM pl")
+def c26_augment(spark, sf):
+    """Embeddings as images of 8 x 8: a window of 5 x 6, mirrored both ways, turned by quarters, brightened by up to a quarter."""
+    mask = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: ((p + F.col("label")) % 7).cast("long"))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("image"), mask.alias("mask"))
+    made = images.augment(rows, "vec_id", "image", "mask", (8, 8), (5, 6), seed=7, quarters=True, brightness=0.25)
+    return made.withColumn("image", F.transform("image", lambda x: F.round(x, 9)))
