@@ -24,7 +24,7 @@ def cluster(sim: DataFrame, min_score: float = 0.7) -> DataFrame:
     """
     spark = sim.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spinel-checkpoint-"))
     both = sim.select(F.col("m1").alias("a"), F.col("m2").alias("b"), "score")

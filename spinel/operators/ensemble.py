@@ -16,17 +16,19 @@ def union_predictors(*pred: DataFrame) -> DataFrame:
     return out
 
 
-def ensemble_mean(pred: DataFrame, n: int, sep: int = 6) -> DataFrame:
-    """(r1, r2, p, contact): mean bins over n predictors; one that lacks a pair counts as background (last bin).
+def ensemble_mean(pred: DataFrame, n: int, sep: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(…, r1, r2, p, contact): mean bins over n predictors; one that lacks a pair counts as background (last bin).
+
+    ``keys`` (a target, say) keep pairs apart. Where chains are to be located, ``sep`` is 0 here and chain_sep's afterwards.
 
     The bins are summed as columns, so one hash aggregation with map-side sums does it.
     """
     bins = [F.coalesce(F.sum(F.try_element_at("p", F.lit(k + 1))), F.lit(0.0)).alias(f"b{k}") for k in range(10)]
     checked = pred.withColumn("p", F.when(F.size("p") == 10, F.col("p")).otherwise(F.raise_error(F.lit("pair predictions need ten bins")).cast("array<double>")))
-    sums = seq_sep(checked, sep).groupBy("r1", "r2").agg(F.count("*").alias("c"), *bins)
+    sums = seq_sep(checked, sep).groupBy(*keys, "r1", "r2").agg(F.count("*").alias("c"), *bins)
     full = F.greatest(F.lit(n), F.col("c"))
     p = F.array(*[(F.col(f"b{k}") + (F.greatest(F.lit(n) - F.col("c"), F.lit(0)) if k == 9 else 0)) / full for k in range(10)])
-    return sums.select("r1", "r2", p.alias("p")).withColumn("contact", F.col("p")[0] + F.col("p")[1] + F.col("p")[2])
+    return sums.select(*keys, "r1", "r2", p.alias("p")).withColumn("contact", F.col("p")[0] + F.col("p")[1] + F.col("p")[2])
 
 
 def weighted_distance(pred: DataFrame, n: int) -> DataFrame:
@@ -40,10 +42,10 @@ def complete_pairs(pred: DataFrame, n: int) -> DataFrame:
     return pred.groupBy("r1", "r2").agg(F.count_distinct("predictor").alias("c")).filter(F.col("c") == n).drop("c")
 
 
-def pivot_predictors(pred: DataFrame, n: int, sep: int = 6) -> DataFrame:
-    """(r1, r2, dst_k, prob_k …), null where predictor k lacks the pair; the number of predictors is known, so no extra pass."""
+def pivot_predictors(pred: DataFrame, n: int, sep: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(…, r1, r2, dst_k, prob_k …), null where predictor k lacks the pair; the number of predictors is known, so no extra pass."""
     pick = lambda k, c: F.max(F.when(F.col("predictor") == k, F.col(c))).alias(f"{c}_{k}")
-    return seq_sep(pred, sep).groupBy("r1", "r2").agg(*[pick(k, c) for k in range(n) for c in ("dst", "prob")])
+    return seq_sep(pred, sep).groupBy(*keys, "r1", "r2").agg(*[pick(k, c) for k in range(n) for c in ("dst", "prob")])
 
 
 def ensemble_quality(qa: DataFrame) -> DataFrame:

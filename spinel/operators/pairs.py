@@ -158,29 +158,41 @@ def drop_same_run(pred: DataFrame, runs: DataFrame) -> DataFrame:
     return joined.filter(~F.coalesce(same, F.lit(False))).select(*pred.columns)
 
 
-def chain_bounds(ends: DataFrame) -> DataFrame:
-    """(ord, chain, beg, end_pos); ends that don't increase are an error."""
-    w = Window.orderBy("ord")  # one row for each chain
+def chain_bounds(ends: DataFrame, key: str | None = None) -> DataFrame:
+    """(…, ord, chain, beg, end_pos), of each target with a ``key``; ends that don't increase are an error."""
+    keys = [key] if key else []
+    w = (Window.partitionBy(key) if key else Window).orderBy("ord")  # one row for each chain of a target
     before = F.coalesce(F.lag("end_pos").over(w), F.lit(0))
     checked = F.when(F.col("end_pos") > before, before + 1).otherwise(F.raise_error(F.concat(F.lit("chain ends must increase at "), F.col("chain"))).cast("int"))
-    return ends.select("ord", "chain", checked.alias("beg"), "end_pos")
+    return ends.select(*keys, "ord", "chain", checked.alias("beg"), "end_pos")
 
 
-def locate_chain(pred: DataFrame, ends: DataFrame) -> DataFrame:
-    """Chain and position in it for both residues; a residue behind the last end is an error.
+def locate_chain(pred: DataFrame, ends: DataFrame, key: str | None = None, stretch: int = 128) -> DataFrame:
+    """Chain and position in it for both residues, in each target with a ``key``; a residue behind the last end is an error.
 
-    The chain table has one row for each chain of a target, a few dozen at most.
+    An equi-join on the target and the stretch of ``stretch`` positions that a residue lies in; a chain stands in every stretch it reaches, and
+    its bounds decide. So all targets are one join, whose large ones are split as any skewed join is.
     """
-    bounds = chain_bounds(ends)
+    keys = [key] if key else []
+    held = F.explode(F.sequence(F.floor(F.col("beg") / stretch), F.floor(F.col("end_pos") / stretch)))
+    bounds = chain_bounds(ends, key).select(*keys, "chain", "beg", "end_pos", held.alias("at"))
     out = pred
     for k in (1, 2):
-        b = F.broadcast(bounds.select(F.col("chain").alias(f"chain{k}"), F.col("beg").alias(f"_b{k}"), F.col("end_pos").alias(f"_e{k}")))
-        out = out.join(b, F.col(f"r{k}").between(F.col(f"_b{k}"), F.col(f"_e{k}")), "left")
+        b = bounds.select(*[F.col(c).alias(f"_t{k}") for c in keys], F.col("chain").alias(f"chain{k}"), F.col("beg").alias(f"_b{k}"), F.col("end_pos").alias(f"_e{k}"), F.col("at").alias(f"_a{k}"))
+        same = (F.floor(F.col(f"r{k}") / stretch) == F.col(f"_a{k}")) & F.col(f"r{k}").between(F.col(f"_b{k}"), F.col(f"_e{k}"))
+        for c in keys:
+            same &= F.col(c) == F.col(f"_t{k}")
+        out = out.join(b, same, "left")
         located = F.when(F.col(f"chain{k}").isNotNull(), F.col(f"r{k}") - F.col(f"_b{k}") + 1).otherwise(F.raise_error(F.concat(F.lit("no chain holds residue "), F.col(f"r{k}").cast("string"))).cast("int"))
         out = out.withColumn(f"pos{k}", located)
     return out.select(*pred.columns, "chain1", "pos1", "chain2", "pos2")
 
 
+def chain_sep(located: DataFrame, sep: int = 6) -> DataFrame:
+    """F04 after J09: drops pairs of one chain that are closer than ``sep`` in it; pairs of two chains stay."""
+    return located.filter((F.col("chain1") != F.col("chain2")) | (F.abs(F.col("pos2") - F.col("pos1")) >= sep))
+
+
 def skip_intra_chain(located: DataFrame) -> DataFrame:
     """F20."""
     return located.filter("chain1 <> chain2")

@@ -209,10 +209,11 @@ def k03_distance_file(spark, sf):
 
 @query()
 def k03_distance_file_of_chains(spark, sf):
+    """Pairs are dropped by their separation within a chain, so they are located first."""
     from .operators import pairs
 
-    mean = ensemble.ensemble_mean(C.predictions(spark, sf), 3)
-    return sinks.distance_file(pairs.locate_chain(mean, C.chain_ends(spark, sf)), "T0001")
+    mean = ensemble.ensemble_mean(C.predictions(spark, sf), 3, 0)
+    return sinks.distance_file(pairs.chain_sep(pairs.locate_chain(mean, C.chain_ends(spark, sf))), "T0001")
 
 
 @query()
@@ -283,7 +284,7 @@ def _folder(spark, name):
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='spinel-text-')).rstrip('/')}/spinel-text/{name}-{uuid.uuid4().hex}"
 

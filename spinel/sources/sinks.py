@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import wrap
 from ..session import ship
+from .outfiles import framed
 
 
 def general(x: Column, digits: int = 6) -> Column:
@@ -35,35 +36,58 @@ def class_dictionary(spark: SparkSession, classes: int = 64) -> DataFrame:
     return spark.range(classes).select(F.col("id").cast("int").alias("cls"), name.alias("name"), gray.alias("r"), gray.alias("g"), gray.alias("b"))
 
 
-def prediction_lines(pred: DataFrame, every: bool = False) -> DataFrame:
-    """A line 'r1 r2  dst prob' and ten bins for each pair; with ``every`` p holds all classes, and background, the first, comes last."""
+def prediction_lines(pred: DataFrame, every: bool = False, beside: tuple[str, ...] = ()) -> DataFrame:
+    """A line 'r1 r2  dst prob' and ten bins for each pair, with the columns ``beside`` it; with ``every`` p holds all classes, and
+    background, the first, comes last."""
     three = lambda x: F.format_string(" %.3f", x)
     bins = F.concat(F.array_join(F.transform(F.slice("p", 2, F.size("p") - 1), three), ""), F.format_string("  %.3f", F.col("p")[0])) if every else F.array_join(F.transform("p", three), "")
-    return pred.select("r1", "r2", F.concat(F.format_string("%d %d  %.1f %.3f   ", "r1", "r2", "dst", "prob"), bins).alias("line"))
+    return pred.select(*beside, "r1", "r2", F.concat(F.format_string("%d %d  %.1f %.3f   ", "r1", "r2", "dst", "prob"), bins).alias("line"))
 
 
-def combined_lines(wide: DataFrame, n: int) -> DataFrame:
-    """(part, r1, r2, line): a header, and per pair n times distance and probability, dashes where a predictor has none."""
+def _combined(n: int) -> Column:
     cell = lambda k: F.when(F.col(f"dst_{k}").isNull() | (F.col(f"dst_{k}") < 0), "   ---- -----").otherwise(F.format_string("   %4.1f %5.3f", F.col(f"dst_{k}"), F.col(f"prob_{k}")))
-    head = wide.sparkSession.createDataFrame([(0, None, None, "#R1 R2   " + "    Dst  Prob" * n)], "part int, r1 int, r2 int, line string")
     name = F.rpad(F.format_string("%d %d", "r1", "r2"), 9, " ")
     long = F.format_string("%d %d", "r1", "r2")
-    return head.unionByName(wide.select(F.lit(1).alias("part"), "r1", "r2", F.concat(F.when(F.length(long) > 9, long).otherwise(name), *[cell(k) for k in range(n)]).alias("line")))
+    return F.concat(F.when(F.length(long) > 9, long).otherwise(name), *[cell(k) for k in range(n)]).alias("line")
 
 
-def distance_file(mean: DataFrame, target: str, author: str = "spinel") -> DataFrame:
-    """(part, ord, line) of a distance-format file: header, a line for each pair in order, END; to be sorted by part and ord.
+def combined_lines(wide: DataFrame, n: int) -> DataFrame:
+    """(part, r1, r2, line): a header, and per pair n times distance and probability, dashes where a predictor has none."""
+    head = wide.sparkSession.createDataFrame([(0, None, None, "#R1 R2   " + "    Dst  Prob" * n)], "part int, r1 int, r2 int, line string")
+    return head.unionByName(wide.select(F.lit(1).alias("part"), "r1", "r2", _combined(n)))
+
+
+def combined_files(wide: DataFrame, n: int) -> DataFrame:
+    """(target, part, ord, line) of the files of all targets."""
+    return framed(wide.select("target", (F.col("r1").cast("long") * 10**9 + F.col("r2")).alias("ord"), _combined(n)), ["#R1 R2   " + "    Dst  Prob" * n])
 
-    With the columns chain1, pos1, chain2 and pos2 (J09) a residue is written as its chain and its place there.
-    """
-    spark = mean.sparkSession
+
+def _distance_lines(mean: DataFrame) -> tuple[Column, Column]:
+    """(ord, line) of a pair; a residue is its chain and place there if the columns chain1, pos1, chain2 and pos2 (J09) are given."""
     bins = F.array_join(F.transform("p", lambda x: F.concat(F.lit(" "), general(x, 3))), "")
     located = {"chain1", "pos1", "chain2", "pos2"} <= set(mean.columns)
     names = [F.concat(F.col(f"chain{k}"), F.col(f"pos{k}").cast("string")) if located else F.col(f"r{k}").cast("string") for k in (1, 2)]
     order = (F.col("r1").cast("long") * 10**9 + F.col("r2")).alias("ord")  # a key, so that no task has to number the lines
-    body = mean.select(F.lit(1).alias("part"), order, F.concat(names[0], F.lit(" "), names[1], F.lit("  "), general(F.col("contact"), 3), F.lit(" "), bins).alias("line"))
-    head = _file(spark, 0, "PFRMAT RR", f"TARGET {target}", f"AUTHOR {author}", "RMODE 2", "MODEL 1")
-    return head.unionByName(body).unionByName(_file(spark, 2, "END"))
+    return order, F.concat(names[0], F.lit(" "), names[1], F.lit("  "), general(F.col("contact"), 3), F.lit(" "), bins).alias("line")
+
+
+def distance_file(mean: DataFrame, target: str, author: str = "spinel") -> DataFrame:
+    """(part, ord, line) of a distance-format file: header, a line for each pair in order, END; to be sorted by part and ord."""
+    body = mean.select(F.lit(target).alias("target"), *_distance_lines(mean))
+    head = _file(mean.sparkSession, 0, "PFRMAT RR", f"TARGET {target}", f"AUTHOR {author}", "RMODE  2", "MODEL  1")
+    return head.unionByName(body.select(F.lit(1).alias("part"), "ord", "line")).unionByName(_file(mean.sparkSession, 2, "END"))
+
+
+def distance_files(mean: DataFrame, author: str = "spinel", methods: tuple[str, ...] = ()) -> DataFrame:
+    """(target, part, ord, line) of the files of all targets, for ``outfiles.write_files``."""
+    heads = ["PFRMAT RR", F.concat(F.lit("TARGET "), F.col("target").cast("string")), f"AUTHOR {author}", *[f"METHOD {m}" for m in methods], "RMODE  2", "MODEL  1"]
+    return framed(mean.select("target", *_distance_lines(mean)), heads, ["END"])
+
+
+def quality_files(lines: DataFrame, model: int = 1) -> DataFrame:
+    """(target, part, ord, line) of the quality files of all targets from (target, ord, line)."""
+    heads = ["PFRMAT QA", F.concat(F.lit("TARGET "), F.col("target").cast("string")), "REMARK Error estimate is CB-CB distance in Angstroms", f"MODEL  {model}", "QMODE  2"]
+    return framed(lines, heads, ["END"])
 
 
 def constraint_function(kind: str, d: Column, prob: Column) -> Column:
@@ -105,14 +129,14 @@ def quality_file(lines: DataFrame, target: str, model: int = 1) -> DataFrame:
     return ends.unionByName(lines.select(F.lit(1).alias("part"), F.col("name").cast("string").alias("name"), "line"))
 
 
-def msa_lines(aln: DataFrame, dialect: str = "fasta", width: int = 60) -> DataFrame:
-    """(name, line), the rows of an alignment: 'fasta' wrapped, 'stockholm' and 'rosetta' one line a row."""
+def msa_lines(aln: DataFrame, dialect: str = "fasta", width: int = 60, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(…, name, line), the rows of an alignment, with the columns ``beside`` them: 'fasta' wrapped, 'stockholm' and 'rosetta' one line a row."""
     name = F.col("name").cast("string")
     if dialect == "fasta":
-        return aln.select("name", F.concat(F.lit(">"), name, F.lit("\n"), wrap(F.col("aln"), width)).alias("line"))
+        return aln.select(*beside, "name", F.concat(F.lit(">"), name, F.lit("\n"), wrap(F.col("aln"), width)).alias("line"))
     if dialect == "stockholm":
-        return aln.select("name", F.concat(F.when(F.length(name) > 34, name).otherwise(F.rpad(name, 34, " ")), F.lit(" "), F.col("aln")).alias("line"))
-    return aln.select("name", F.concat(F.lit("0 "), "aln").alias("line"))
+        return aln.select(*beside, "name", F.concat(F.when(F.length(name) > 34, name).otherwise(F.rpad(name, 34, " ")), F.lit(" "), F.col("aln")).alias("line"))
+    return aln.select(*beside, "name", F.concat(F.lit("0 "), "aln").alias("line"))
 
 
 def msa_file(aln: DataFrame, dialect: str = "stockholm") -> DataFrame:
@@ -143,12 +167,12 @@ def msa_file(aln: DataFrame, dialect: str = "stockholm") -> DataFrame:
     return out
 
 
-def pairwise_lines(hits: DataFrame, width: int = 60) -> DataFrame:
+def pairwise_lines(hits: DataFrame, width: int = 60, beside: tuple[str, ...] = ()) -> DataFrame:
     """Query and subject with their bounds, descriptions and E-value, ended by //; from (ord, query, qdescr, qstart, qend, qaln, sbjct,
     sdescr, sstart, send, saln, evalue), the E-value as the report had it."""
     head = lambda n, d, a, b: F.concat(F.lit(">"), F.col(n).cast("string"), F.lit(" (ALN: "), F.col(a), F.lit("-"), F.col(b), F.lit(") "), F.col(d), F.lit("  Expect="), F.col("evalue").cast("string"), F.lit("\n"))
     text = F.concat(head("query", "qdescr", "qstart", "qend"), wrap(F.col("qaln"), width), F.lit("\n"), head("sbjct", "sdescr", "sstart", "send"), wrap(F.col("saln"), width), F.lit("\n//"))
-    return hits.select("ord", text.alias("line"))
+    return hits.select(*beside, "ord", text.alias("line"))
 
 
 def checkpoint_bytes(profiles: DataFrame) -> DataFrame:

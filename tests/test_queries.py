@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 import duckdb
 import pytest
 from spinel import queries
-from spinel import queries_io  # noqa: F401  registers its queries
+from spinel import queries_files, queries_io  # noqa: F401  register their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
