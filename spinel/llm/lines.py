@@ -36,7 +36,8 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id") -> Dat
     first = windows.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = windows.join(first, ["h1", "h2"]).filter(place() > F.col("first"))
     own = private(docs.columns, "line_dedup_")
-    drop = again.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias(f"{own}drop"))
+    # a set, so that rows that repeat id and text gather each line once, before the shuffle too
+    drop = again.select("id", "th", F.explode("at").alias("at")).groupBy("id", "th").agg(F.collect_set("at").alias(f"{own}drop"))
     keyed = docs.withColumns({f"{own}id": F.col(id_col), f"{own}th": F.xxhash64("text")})
     drop = drop.select(F.col("id").alias(f"{own}i2"), F.col("th").alias(f"{own}t2"), f"{own}drop")
     joined = keyed.join(drop, keyed[f"{own}id"].eqNullSafe(drop[f"{own}i2"]) & (keyed[f"{own}th"] == drop[f"{own}t2"]), "left")
