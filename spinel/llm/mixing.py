@@ -8,8 +8,10 @@ of a hash, up to the one whose middle lies beyond the rest.
 The order is never sorted as a whole: the hash is refined digit by digit (a radix select on per-source sums), and only documents
 that share the last prefix with the boundary are ordered, so a source that holds a third of all rows costs no long task.
 
-Defined cases: null text has size 0; a null source is a source of its own, last in order; rows with equal id and text are taken
-together; a table without words has all targets 0; extra columns pass through.
+Defined cases: null text has size 0; a null source is a source of its own, last in order; rows with equal id and text share a hash, and of
+those at the boundary as many are taken as fit, whichever they are; a table without words has all targets 0; an empty table gives no rows; texts
+of any length count whole; columns named size, source_size, target or copies are replaced in ``mix`` and kept in ``mixed_rows``, other extra columns
+pass through.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged, word_count
+from .staging import private, staged, word_count
 
 #: Documents that may share the last hash prefix with a source's boundary before the prefix is made longer.
 BOUNDARY_ROWS = 100_000
-PRIVATE = "__mix_"
+#: Equal rows that one task writes again.
+REPEATED = 10_000
 
 
 def cycling_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -46,13 +49,15 @@ def water_fill(sources: DataFrame, max_epochs: int) -> DataFrame:
 
 
 def _boundary(units: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, cutoff): the last hash of each source whose document gets one repetition more."""
+    """(source, cutoff, part, taken): the last hash of each source whose documents all get one repetition more, and the next one if only ``taken`` of
+    the rows that share it do."""
     per_source = sources.select("source", "rest").filter("rest > 0").withColumns({"base": F.lit(0).cast("long"), "prefix": F.lit("")})
     digits = 0
     while True:
         digits += 2
         inside = units.join(per_source, units["source"].eqNullSafe(per_source["source"]) & F.col("h").startswith(F.col("prefix"))).select(units["source"], "h", "size", "rest", "base")
-        sums = inside.groupBy("source", "rest", "base", F.substring("h", 1, digits).alias("prefix")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+        one = F.min("h") == F.max("h")  # equal rows need no order
+        sums = inside.groupBy("source", "rest", "base", F.substring("h", 1, digits).alias("prefix")).agg(F.sum("size").alias("s"), F.when(one, 1).otherwise(F.count("*")).alias("n"))
         upto = F.sum("s").over(Window.partitionBy("source").orderBy("prefix"))
         sums = sums.withColumn("upto", F.col("base") + upto).filter((F.col("upto") - F.col("s") < F.col("rest")) & (F.col("rest") <= F.col("upto")))
         # a rest that rounding put above the whole size has no boundary: the missing row means that all documents are taken
@@ -61,11 +66,29 @@ def _boundary(units: DataFrame, sources: DataFrame) -> DataFrame:
         if not most or most <= BOUNDARY_ROWS or digits >= 32:
             break
     last = units.join(per_source, units["source"].eqNullSafe(per_source["source"]) & F.col("h").startswith(F.col("prefix"))).select(units["source"], "h", "size", "rest", "base")
-    last = last.groupBy("source", "h", "rest", "base").agg(F.sum("size").alias("size"))
-    middle = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("h")) - F.col("size") / 2
-    return last.withColumn("middle", middle).filter("middle < rest").groupBy("source").agg(F.max("h").alias("cutoff")).join(
-        per_source.select(F.col("source").alias("s2"), "prefix"), F.col("source").eqNullSafe(F.col("s2")), "right"
-    ).select(F.col("s2").alias("source"), F.coalesce("cutoff", "prefix").alias("cutoff"))
+    last = last.groupBy("source", "h", "rest", "base").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    before = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("h")) - F.col("size")
+    each = F.col("size") / F.col("n")
+    # of equal rows those are taken whose middle lies before the rest
+    fit = F.when(each == 0, F.when(before < F.col("rest"), F.col("n")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("n"), F.ceil((F.col("rest") - before) / F.when(each == 0, 1).otherwise(each) - 0.5))))
+    last = last.withColumn("k", fit.cast("long"))
+    some = F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), F.struct("h", "k"))
+    found = last.groupBy("source").agg(F.max(F.when(F.col("k") == F.col("n"), F.col("h"))).alias("cutoff"), F.max(some).alias("some"))
+    kept = per_source.select(F.col("source").alias("s2"), "prefix")
+    return kept.join(found, F.col("source").eqNullSafe(F.col("s2")), "left").select(F.col("s2").alias("source"), F.coalesce("cutoff", "prefix").alias("cutoff"), F.col("some.h").alias("part"), F.col("some.k").alias("taken"))
+
+
+def _some_of_equal(rows: DataFrame, own: str) -> DataFrame:
+    """``rows`` that share their source's ``part``, of which the first ``taken`` get a repetition: counted, numbered as counts, and written out again."""
+    cols = [c for c in rows.columns if c != f"{own}extra"]
+    counts = rows.groupBy(*cols).agg(F.count("*").alias(f"{own}n"))
+    w = Window.partitionBy(f"{own}source").orderBy(F.xxhash64(*cols), *[c for c in cols if c in ("doc_id", "text")])
+    counts = counts.withColumn(f"{own}at", F.sum(f"{own}n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(f"{own}n"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(f"{own}n") - 1) / REPEATED))).alias(f"{own}b")
+    rows = counts.select("*", blocks).repartition(f"{own}b")
+    first = F.col(f"{own}b") * REPEATED
+    rows = rows.select("*", F.explode(F.sequence(first, F.least(first + REPEATED, F.col(f"{own}n")) - 1)).alias(f"{own}i"))
+    return rows.withColumn(f"{own}extra", F.when(F.col(f"{own}at") + F.col(f"{own}i") < F.col(f"{own}taken"), 1).otherwise(0)).drop(f"{own}n", f"{own}at", f"{own}b", f"{own}i")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: str = "mix-0") -> DataFrame:
@@ -73,9 +96,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3,
 
     ``weights`` has (source, weight); without it, weights 1, 2, 3 repeat over the sources. Sources missing there get weight 0.
     """
-    own = {f"{PRIVATE}size": word_count(F.col("text")), f"{PRIVATE}h": F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("text")))}
-    keyed = docs.withColumns(own)
-    units = staged(keyed.select("source", F.col(f"{PRIVATE}size").alias("size"), F.col(f"{PRIVATE}h").alias("h")), "mix-units")
+    own = private(docs.columns, "mix_")
+    keyed = docs.withColumns({f"{own}size": word_count(F.col("text")), f"{own}h": F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("text")))})
+    units = staged(keyed.select("source", F.col(f"{own}size").alias("size"), F.col(f"{own}h").alias("h")), "mix-units")
     sources = units.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
         sources = cycling_weights(sources)
@@ -87,20 +110,24 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3,
     sources = sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     cut = _boundary(units, sources)
     plan = staged(
-        sources.join(cut.select(F.col("source").alias("cs"), "cutoff"), F.col("source").eqNullSafe(F.col("cs")), "left").select(
-            F.col("source").alias(f"{PRIVATE}source"), F.col("source_size").alias(f"{PRIVATE}all"), F.col("target").alias(f"{PRIVATE}target"), F.col("whole").alias(f"{PRIVATE}whole"), F.col("cutoff").alias(f"{PRIVATE}cut")
+        sources.join(cut.withColumnRenamed("source", "cs"), F.col("source").eqNullSafe(F.col("cs")), "left").select(
+            F.col("source").alias(f"{own}source"), F.col("source_size").alias(f"{own}all"), F.col("target").alias(f"{own}target"), F.col("whole").alias(f"{own}whole"), F.col("cutoff").alias(f"{own}cut"), F.col("part").alias(f"{own}part"), F.col("taken").alias(f"{own}taken")
         ),
         "mix-plan",
     )
-    joined = keyed.join(plan, keyed["source"].eqNullSafe(plan[f"{PRIVATE}source"]))
-    extra = F.when(F.col(f"{PRIVATE}h") <= F.col(f"{PRIVATE}cut"), 1).otherwise(0)
-    added = {"size": F.col(f"{PRIVATE}size"), "source_size": F.col(f"{PRIVATE}all"), "target": F.col(f"{PRIVATE}target"), "copies": (F.col(f"{PRIVATE}whole") + extra).cast("long")}
+    joined = keyed.join(plan, keyed["source"].eqNullSafe(plan[f"{own}source"])).withColumn(f"{own}extra", F.when(F.col(f"{own}h") <= F.col(f"{own}cut"), 1).otherwise(0))
+    if not plan.filter(F.col(f"{own}part").isNotNull()).isEmpty():
+        shared = F.coalesce(F.col(f"{own}h") == F.col(f"{own}part"), F.lit(False))
+        joined = joined.filter(~shared).unionByName(_some_of_equal(joined.filter(shared), own))
+    added = {"size": F.col(f"{own}size"), "source_size": F.col(f"{own}all"), "target": F.col(f"{own}target"), "copies": (F.col(f"{own}whole") + F.col(f"{own}extra")).cast("long")}
     kept = [F.col(c) for c in docs.columns if c not in added]
     return joined.select(*kept, *[c.alias(n) for n, c in added.items()])
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    spare = docs.select(*[F.col(c).alias(f"__own_{c}") if c in ("size", "source_size", "target", "copies") else F.col(c) for c in docs.columns])
-    taken = mix(spare, **options).filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(*[F.col(f"__own_{c}").alias(c) if f"__own_{c}" in spare.columns else F.col(c) for c in docs.columns])
+    own = private(docs.columns, "mixed_")
+    spare = {c: f"{own}{c}" for c in docs.columns if c in ("size", "source_size", "target", "copies")}
+    taken = mix(docs.withColumnsRenamed(spare), **options).filter("copies > 0")
+    again = taken.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return again.select(*[F.col(spare.get(c, c)).alias(c) for c in docs.columns])

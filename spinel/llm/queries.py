@@ -142,11 +142,9 @@ o AS (SELECT *, sum(3 * source_size) OVER w - 3 * source_size AS held, sum(weigh
 lv AS (SELECT arg_min((total - held) / free::DOUBLE, 3.0 * source_size / weight) FILTER (WHERE (total - held) / free::DOUBLE <= 3.0 * source_size / weight) AS level FROM o),
 t AS (SELECT source, source_size, round(least(3.0 * source_size, level * weight)::DOUBLE, 6) AS target FROM s, lv),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
-u AS (SELECT source, h, sum(size) AS size FROM d GROUP BY source, h),
-m AS (SELECT source, h, sum(size) OVER (PARTITION BY source ORDER BY h) - size / 2.0 AS middle FROM u),
-c AS (SELECT p.source, max(m.h) AS cutoff FROM p JOIN m ON m.source IS NOT DISTINCT FROM p.source AND m.middle < p.target - p.whole * p.source_size GROUP BY p.source)
-SELECT d.doc_id, d.size::BIGINT AS size, p.source_size, p.target, (d.size * (p.whole + CASE WHEN d.h <= c.cutoff THEN 1 ELSE 0 END))::BIGINT AS taken,
-  (p.whole + CASE WHEN d.h <= c.cutoff THEN 1 ELSE 0 END)::BIGINT AS copies
-FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source LEFT JOIN c ON c.source IS NOT DISTINCT FROM d.source
+r AS (SELECT *, row_number() OVER (ORDER BY h) AS rn FROM d),
+m AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, rn ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle FROM r),
+e AS (SELECT m.doc_id, m.size, p.*, p.whole + CASE WHEN p.target > p.whole * p.source_size AND m.middle < p.target - p.whole * p.source_size THEN 1 ELSE 0 END AS copies FROM m JOIN p ON p.source IS NOT DISTINCT FROM m.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM e
 """,
 }

@@ -129,3 +129,24 @@ def test_html_class_names_and_hidden_text():
     assert extract('<div class="share"><article>one</article></div><div class="site-footer">no</div><div id="cookie-banner">no</div>') == "one"
     assert extract('<article>one</article><div class="comments"><article class="comment">no</article></div>') == "one"
     assert extract('<p hidden>one<p style="display: none">two <math><mi>x</mi></math>') == "one two x"
+
+
+def test_mixing_of_rows_that_repeat(spark):
+    rows = [(1, "one two three four", "a", 0)] * 600 + [(k, "one two three", "a", 0) for k in range(2, 202)] + [(1000 + k, "five words are in it", "b", 0) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_h int").repartition(5)
+    got = mixing.mix(df, spark.createDataFrame([("a", 1.0), ("b", 2.0)], "source string, weight double")).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"doc_id", "text", "source", "mix_h", "size", "source_size", "target", "copies"}
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r["size"] * r.copies for r in own) - own[0].target) <= 5 and max(r.copies for r in own) <= 3
+    assert {len({r.copies for r in got if r.doc_id == 1}), 2} == {2}
+    mixed = mixing.mixed_rows(df.withColumnRenamed("mix_h", "size"))
+    assert mixed.columns == ["doc_id", "text", "source", "size"]
+
+
+def test_line_dedup_of_rows_that_repeat(spark):
+    text = "\n".join(f"line number {k % 40}" for k in range(60))
+    df = spark.createDataFrame([(5, text, 1)] * 3000 + [(1, "\n".join(f"line number {k}" for k in range(3, 9)), 2), (6, text + "\nend", 3)], "doc_id long, text string, n_lines int").repartition(4)
+    got = {(r.doc_id, r.n_lines, r.n_removed) for r in lines.dedup_lines(df).collect()}
+    # the first forty lines are new but for those of document 1; the last twenty repeat
+    assert got == {(5, 60, 26), (1, 6, 0), (6, 61, 60)}
