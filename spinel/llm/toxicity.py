@@ -3,7 +3,8 @@
 A document is a bag of sentences. Each sentence has a probability sigmoid(b + sum of its features' weights), where the features are
 its words and the beginnings of its longer words; the document's is their noisy-or, 1 - prod(1 - p). Only documents carry labels: the
 weights come from the likelihood of the document labels under the noisy-or, by proximal gradient steps with an L1 term and weights of
-0 or more, so most features end without weight. A sentence without any weighted one is a null instance with probability 0. The fitted
+0 or more, so most features end without weight. A sentence without any weighted one is a null instance with probability 0: the features are
+chosen by a first fit over all sentences, and then fitted again over the sentences that have one of them. The fitted
 model is the one that scores, and the same sentence probabilities locate the offending sentences.
 
 The fit uses a bounded sample (``PER_CLASS`` documents of each label, ``MAX_CHARS`` characters at most each); every whole text is
@@ -30,6 +31,8 @@ MAX_CHARS = 20_000
 #: Features kept for the fit, by how strongly their document counts differ between the labels.
 VOCABULARY = 4000
 L1 = 1e-3
+#: Least weight of a feature that the first part of the fit kept; the second part fits only these.
+LEAST = 1e-6
 THRESHOLD = 0.3
 SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"\w+")
@@ -68,19 +71,28 @@ def fit(texts: list[str], y: np.ndarray, vocabulary: int = VOCABULARY, steps: in
     words = _screen((features(t) for t in lower), y, vocabulary)
     index = {w: i for i, w in enumerate(words)}
     feat, sent_of, doc_of = [], [], []
-    n_sent = 0
     for d, t in enumerate(lower):
         for m in SENTENCE.finditer(t):
             own = {index[w] for w in features(m[0]) if w in index}
             if own:
                 feat.extend(sorted(own))
-                sent_of.extend([n_sent] * len(own))
+                sent_of.extend([len(doc_of)] * len(own))
                 doc_of.append(d)
-                n_sent += 1
     feat, sent_of, doc_of = np.array(feat, np.int64), np.array(sent_of, np.int64), np.array(doc_of, np.int64)
-    w, b, n = np.zeros(len(words)), -4.0, len(y)
+    w, b = _descend(np.zeros(len(words)), -4.0, feat, sent_of, doc_of, y, steps, l1, 0.0)
+    # from here on the words are fixed, and a sentence without any of them is clean for sure, as it is to the scorer
+    held = w[feat] > 0
+    own_sents, sent_of = np.unique(sent_of[held], return_inverse=True)
+    w, b = _descend(w, b, feat[held], sent_of, doc_of[own_sents], y, steps // 2, l1, LEAST)
+    return {"b": float(b), "w": {word: float(x) for word, x in zip(words, w, strict=True) if x > 0}}
+
+
+def _descend(w: np.ndarray, b: float, feat: np.ndarray, sent_of: np.ndarray, doc_of: np.ndarray, y: np.ndarray, steps: int, l1: float, least: float) -> tuple[np.ndarray, float]:
+    """Proximal steps on the noisy-or loss; a weight above 0 does not fall below ``least``."""
+    n, n_sent, floor = len(y), len(doc_of), np.where(w > 0, least, 0.0)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     scale = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
+    free = np.ones(len(w), dtype=bool) if not least else w > 0
     for k in range(1, steps + 1):
         z = b + np.bincount(sent_of, weights=w[feat], minlength=n_sent)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -91,9 +103,9 @@ def fit(texts: list[str], y: np.ndarray, vocabulary: int = VOCABULARY, steps: in
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate, c1, c2 = 0.1, 1 - 0.9**k, 1 - 0.999**k
         step = rate / (np.sqrt(v / c2) + 1e-6)
-        w = np.maximum(w - step * (m / c1 + l1), 0)
+        w = np.where(free, np.maximum(w - step * (m / c1 + l1), floor), 0.0)
         b = min(b - rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-6), -2.0)
-    return {"b": float(b), "w": {word: float(x) for word, x in zip(words, w, strict=True) if x > 0}}
+    return w, b
 
 
 def score_text(text: str | None, model: dict) -> tuple[float, list[tuple[int, int, float]]]:
