@@ -4,7 +4,7 @@ A document is a bag of sentences. Each sentence has a probability sigmoid(b + su
 its words and the beginnings of its longer words; the document's is their noisy-or, 1 - prod(1 - p). Only documents carry labels: the
 weights come from the likelihood of the document labels under the noisy-or, by proximal gradient steps with an L1 term and weights of
 0 or more, so most features end without weight. A sentence without any weighted one is a null instance with probability 0: the features are
-chosen by a first fit over all sentences, and then fitted again over the sentences that have one of them. The fitted
+chosen, and the bias fixed, by a first fit over all sentences, and then fitted again over the sentences that have one of them. The fitted
 model is the one that scores, and the same sentence probabilities locate the offending sentences.
 
 The fit uses a bounded sample (``PER_CLASS`` documents of each label, ``MAX_CHARS`` characters at most each); every whole text is
@@ -104,7 +104,8 @@ def _descend(w: np.ndarray, b: float, feat: np.ndarray, sent_of: np.ndarray, doc
         rate, c1, c2 = 0.1, 1 - 0.9**k, 1 - 0.999**k
         step = rate / (np.sqrt(v / c2) + 1e-6)
         w = np.where(free, np.maximum(w - step * (m / c1 + l1), floor), 0.0)
-        b = min(b - rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-6), -2.0)
+        if not least:
+            b = min(b - rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-6), -2.0)
     return w, b
 
 

@@ -489,3 +489,16 @@ def test_html_deep_elements(depth):
 def test_html_article_rules():
     text = "<body><header>Site</header><nav>menu</nav><article><header><h1>T</h1></header><p>One<script>x='</p>'</script> <b>two</b><p>three &eacute;<ul><li>a<li>b</ul><div class='comments'>no</div><form>no</form><!-- no --></article><aside>no</aside>"
     assert html.extract(text) == "T One two three é a b"
+
+
+def test_toxicity_scores_as_it_was_fitted(spark, small):
+    """The noisy-or that the second part of the fit minimises, written out over its own sentences."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = toxicity.fit(*toxicity.labelled_sample(docs, spark.read.parquet(f"{small}/labels.parquet"), "toxic", 4, 2, 600, 20_000))
+    assert model["w"] and min(model["w"].values()) >= toxicity.LEAST
+    for r in docs.select("text").collect():
+        clean = 1.0
+        for sentence in toxicity.SENTENCE.findall((r.text or "").lower()):
+            own = [model["w"][f] for f in toxicity.features(sentence) if f in model["w"]]
+            clean *= 1 - 1 / (1 + np.exp(-(model["b"] + sum(own)))) if own else 1.0
+        assert abs(toxicity.score_text(r.text, model)[0] - (1 - clean)) < 1e-9
