@@ -58,6 +58,15 @@ def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.array(*terms).alias("terms"))
 
 
+def energy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, k, terms): six energy terms of each residue, the last of which some lack."""
+    li = table(spark, sf_dir, "lineitem")
+    by = li.groupBy(F.concat(F.lit("m"), F.col("l_suppkey")).alias("name"), (F.col("l_partkey") % 50).cast("int").alias("k"))
+    q = F.col("l_quantity")
+    terms = [F.round(F.avg(q) * 1.5 / 25, 6), F.round(F.avg("l_discount") * -15, 6), F.round(F.avg("l_tax") * 15, 6), F.min(q) / 32, F.max(q) / -64, F.when(F.min(q) > 3, F.max(q) / 16)]
+    return by.agg(F.array(*terms).alias("terms"))
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target, name, gt_rank): the ground-truth ranking of models in each target."""
     s = table(spark, sf_dir, "supplier")
@@ -135,6 +144,7 @@ SQL = {
     "predictions": "predictions AS (SELECT predictor, r1, r2, dst, prob, list_transform(range(10), lambda k: CASE WHEN k = bin THEN prob WHEN k = 9 THEN 1 - prob ELSE 0.0::DOUBLE END) AS p FROM (SELECT l_linenumber % 3 AS predictor, (l_suppkey + 1)::INT AS r1, (l_suppkey + 2 + l_partkey % 40)::INT AS r2, round(avg(l_quantity), 6) AS dst, round(avg(l_discount * 10), 6) AS prob, trunc(min(l_quantity))::INT % 9 AS bin FROM lineitem GROUP BY ALL))",
     "quality": "quality AS (SELECT l_linenumber % 3 AS predictor, 'm' || l_suppkey AS name, (l_partkey % 50)::INT AS k, CASE WHEN bool_and(l_returnflag = 'N') THEN NULL ELSE avg(l_quantity) / 6 END AS local FROM lineitem GROUP BY ALL)",
     "energy": "energy AS (SELECT 'm' || l_suppkey AS name, (l_partkey % 50)::INT AS k, [round(avg(l_quantity) * 1.5 / 25, 6), round(avg(l_discount) * -15, 6), round(avg(l_tax) * 15, 6)] AS terms FROM lineitem GROUP BY l_suppkey, l_partkey % 50)",
+    "energy_terms": "energy_terms AS (SELECT 'm' || l_suppkey AS name, (l_partkey % 50)::INT AS k, [round(avg(l_quantity) * 1.5 / 25, 6), round(avg(l_discount) * -15, 6), round(avg(l_tax) * 15, 6), min(l_quantity) / 32.0::DOUBLE, max(l_quantity) / -64.0::DOUBLE, CASE WHEN min(l_quantity) > 3 THEN max(l_quantity) / 16.0::DOUBLE END] AS terms FROM lineitem GROUP BY l_suppkey, l_partkey % 50)",
     "truth": "truth AS (SELECT target, name, row_number() OVER (PARTITION BY target ORDER BY s_acctbal DESC, name) AS gt_rank FROM (SELECT 't' || (s_nationkey % 5) AS target, 'm' || s_suppkey AS name, s_acctbal FROM supplier))",
     "alignment": "alignment AS (SELECT lang || ':' || b AS grp, doc_id AS name, rpad(t[b * 60 + 1 : b * 60 + 60], 60, '-') AS aln FROM (SELECT lang, doc_id, t, unnest(range(0, (length(t) - 1) // 60 + 1)) AS b FROM (SELECT lang, doc_id, upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')) AS t FROM documents) WHERE length(t) > 0)), cols AS (SELECT grp, name, col::INT AS col, aln[col:col] AS res FROM alignment, range(1, 61) r(col))",
     "hits": "hits AS (SELECT event_id AS ord, user_id AS sbjct, day(ts) AS round, round(value * 1e-3, 9) AS evalue, (event_id % 50 + 1)::INT AS qstart, (event_id % 50 + 21 + user_id % 30)::INT AS qend FROM events)",

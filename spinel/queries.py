@@ -568,9 +568,18 @@ def j13_combos(spark, sf):
     return sweep.combos(conf, 3)
 
 
-@query("SELECT s::INT AS subset, list_filter(range(6), lambda b: (s >> b) & 1 = 1)::INT[] AS idx, w::INT AS w10, w / 10.0::DOUBLE AS w FROM range(1, 64) a(s), range(1, 10) b(w)")
+@query(
+    """, t AS (SELECT name, list_filter(range(6), lambda b: terms[b + 1] IS NOT NULL AND abs(terms[b + 1]) > 0.5) AS have FROM energy_terms WHERE k = (SELECT min(k) FROM energy_terms)),
+r AS (SELECT name, s, list_filter(range(6), lambda b: (s >> b) & 1 = 1)::INT[] AS idx FROM t, range(1, 64) a(s) WHERE len(list_filter(range(6), lambda b: (s >> b) & 1 = 1 AND NOT list_contains(have, b))) = 0)
+SELECT name, s::INT AS subset, idx, w::INT AS w10, w / 10.0::DOUBLE AS w FROM r, range(1, 10) b(w)""",
+    "energy_terms",
+)
 def u06_term_subsets(spark, sf):
-    return sweep.term_subsets(spark, 6).crossJoin(sweep.weights(spark))
+    """Every set of the terms that a model's first residue has."""
+    en = C.energy_terms(spark, sf)
+    first = en.join(F.broadcast(en.agg(F.min("k").alias("k"))), "k")
+    have = first.select("name", F.filter(F.sequence(F.lit(0), F.lit(5)), lambda b: F.coalesce(F.abs(F.element_at("terms", b + 1)) > 0.5, F.lit(False))).alias("have"))
+    return sweep.subsets_of(have, "have").crossJoin(sweep.weights(spark)).select("name", "subset", "idx", "w10", "w")
 
 
 @query("SELECT l_suppkey AS name, list_filter(list_sort(list(DISTINCT l_linenumber)), lambda x: x NOT IN (2, 3)) AS terms FROM lineitem GROUP BY l_suppkey")
@@ -611,15 +620,16 @@ def r12_sweep_wide_combos(spark, sf):
 
 
 @query(
-    f"""{ENSQ}, cfg AS (SELECT s, w, w / 10.0::DOUBLE AS wt FROM range(1, 8) a(s), range(1, 10) b(w)),
-x AS (SELECT s, w, wt, name, local, CASE WHEN terms IS NOT NULL THEN CASE WHEN s & 1 = 1 THEN terms[1] ELSE 0 END + CASE WHEN s & 2 = 2 THEN terms[2] ELSE 0 END + CASE WHEN s & 4 = 4 THEN terms[3] ELSE 0 END END AS e FROM ens LEFT JOIN energy USING (name, k), cfg),
-y AS (SELECT s, w, name, CASE WHEN local IS NOT NULL AND e IS NOT NULL THEN local * (1 - wt) + wt * CASE WHEN e < ln(greatest(8, local)) THEN exp(e) ELSE greatest(8, local) END ELSE local END AS local FROM x)
+    f"""{ENSQ}, cfg AS (SELECT s, w, w / 10.0::DOUBLE AS wt FROM range(1, 64) a(s), range(1, 10) b(w)),
+x AS (SELECT s, name, local, list_sum(list_transform(list_filter(range(6), lambda t: (s >> t) & 1 = 1), lambda t: terms[t + 1])) AS e, len(list_filter(range(6), lambda t: (s >> t) & 1 = 1 AND terms[t + 1] IS NULL)) AS lacks FROM ens LEFT JOIN energy_terms USING (name, k), range(1, 64) a(s)),
+y AS (SELECT x.s, w, name, CASE WHEN local IS NOT NULL AND e IS NOT NULL AND lacks = 0 THEN local * (1 - wt) + wt * CASE WHEN e < ln(greatest(8, local)) THEN exp(e) ELSE greatest(8, local) END ELSE local END AS local FROM x JOIN cfg USING (s))
 SELECT s::INT AS subset, w::INT AS w10, name, round({GLOB}, 6) AS global FROM y GROUP BY s, w, name""",
-    "quality energy",
+    "quality energy_terms",
 )
 def r13_sweep_energy(spark, sf):
+    """All 63 sets of six terms with nine weights."""
     qa = ensemble.ensemble_quality(C.quality(spark, sf))
-    return sweep.sweep_energy(qa, C.energy(spark, sf), sweep.term_subsets(spark, 3), sweep.weights(spark)).withColumn("global", r6("global"))
+    return sweep.sweep_energy(qa, C.energy_terms(spark, sf), 6).withColumn("global", r6("global"))
 
 
 # --- alignments --------------------------------------------------------------------------------------------------------------------
