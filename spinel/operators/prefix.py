@@ -104,9 +104,8 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[Column], sums: di
     return summed(parted(rows, keys, order, parts), sums)
 
 
-def ranks(rows: DataFrame, keys: list[str], order: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
-    """``rows`` with their place in ``order``, from 1, within ``keys``; ties take places in any order, one each."""
-    p = parted(rows, keys, order, parts)
+def numbered(p: Parts, name: str) -> DataFrame:
+    """The rows of parts with their place, from 1, within the keys."""
     out = p.rows.withColumn(name, F.row_number().over(p.window).cast("long"))
     if p.few is None:
         return out.drop("_part")
@@ -114,6 +113,21 @@ def ranks(rows: DataFrame, keys: list[str], order: list[Column], name: str = "ra
     return out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_part", "_before")
 
 
+def ranks(rows: DataFrame, keys: list[str], order: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
+    """``rows`` with their place in ``order``, from 1, within ``keys``; ties take places in any order, one each."""
+    return numbered(parted(rows, keys, order, parts), name)
+
+
+def carried(p: Parts, value: str) -> Parts:
+    """The parts with ``value`` replaced by its last non-null one up to each row; the order has to be total."""
+    out = p.rows.withColumn(value, F.last(value, ignorenulls=True).over(p.window.rowsBetween(Window.unboundedPreceding, 0)))
+    if p.few is not None:
+        last = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(p.order)])))
+        out = p.joined(out, p.before({"_carried": last}, lambda n: F.last(n, ignorenulls=True)))
+        out = out.withColumn(value, F.coalesce(value, "_carried")).drop("_carried")
+    return Parts(out, p.keys, p.order, p.few)
+
+
 def previous(p: Parts, value: str, name: str) -> Parts:
     """The parts with the ``value`` of the row before, null for a group's first; the order has to be total."""
     mine = p.rows.withColumn(name, F.lag(F.struct(F.col(value).alias("v"))).over(p.window))

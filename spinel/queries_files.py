@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from . import carriers as C
 from .operators import ensemble, pairs, quality
 from .queries import query
-from .queries_io import _folder
+from .session import scratch_folder as _folder
 from .session import table
-from .sources import outfiles, sinks
+from .sources import outfiles, sinks, split_files
 
 
 def _cut(x, places: int):
@@ -157,3 +157,50 @@ def k07_split_files(spark, sf):
     w = Window.partitionBy("file").orderBy("f", "at")  # a handful of rows a file
     steps = lines.withColumn("ok", F.coalesce(F.lag(F.col("line").cast("long")).over(w) < F.col("line").cast("long"), F.lit(True)))
     return steps.groupBy("file").agg(F.count(F.when(F.col("ok"), 1)).alias("n"), F.min(F.col("line").cast("long")).alias("first_key"))
+
+
+# --- large files, read in ranges -------------------------------------------------------------------------------------------------------
+
+
+def _lines(spark, lines, name, **given):
+    out = f"{_folder(spark, name)}/files"
+    outfiles.write_files(lines, out, **given)
+    return split_files.line_table(spark, out)
+
+
+@query(
+    """SELECT o_orderpriority[1:1] || '.hhr' AS file, (row_number() OVER w - 1)::INT AS ord, coalesce(max(CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey // 1000 + 2 END) OVER (PARTITION BY o_orderpriority[1:1] ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 1)::INT AS round,
+'d' || o_custkey || ' first' AS descr, ('1e-' || (o_orderkey % 9 + 1))::DOUBLE AS evalue, 'AC-DEFG' AS qaln, 'ACGDE-G' AS saln, (o_orderkey % 50 + 1)::INT AS qstart, (o_orderkey % 50 + 6)::INT AS qend, (o_custkey % 40 + 1)::INT AS sstart, (o_custkey % 40 + 6)::INT AS send FROM orders WINDOW w AS (PARTITION BY o_orderpriority[1:1] ORDER BY o_orderkey)"""
+)
+def s13_large_reports(spark, sf):
+    """One report for each priority: rounds are named before some hits and hold until the next, each hit is two rows of alignment."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    at, b = (k % 50 + 1).cast("int"), (c % 40 + 1).cast("int")
+    named = F.when(k % 11 == 0, F.format_string("Results from round %d\n", F.floor(k / 1000) + 2)).otherwise("")
+    hit = F.format_string(">d%d first\nProbab=99.0  E-value=1e-%d  Score=50.1\n\nQ q  %d AC-D %d (90)\nT d  %d ACGD %d (50)\n\nQ q  %d EFG %d (90)\nT d  %d E-G %d (50)", c, k % 9 + 1, at, at + 2, b, b + 3, at + 4, at + 5, b + 4, b + 5)
+    lines = table(spark, sf, "orders").select(F.substring("o_orderpriority", 1, 1).alias("target"), k.alias("ord"), F.concat(named, hit).alias("line"))
+    hits = split_files.report_hits(_lines(spark, lines, "reports", order=("ord",), suffix=".hhr"), "profile")
+    return hits.select("file", "ord", "round", "descr", "evalue", "qaln", "saln", "qstart", "qend", "sstart", "send")
+
+
+@query("SELECT lang || '.fa' AS file, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::INT AS ord, 'd' || doc_id AS name, 'd' || doc_id || ' text' AS descr, upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')) AS aln FROM documents WHERE text IS NOT NULL")
+def s17_large_fasta(spark, sf):
+    """One file for each language, of whole texts in lines of 60 letters."""
+    from .functions.text import wrap
+
+    d = table(spark, sf, "documents").filter("text IS NOT NULL")
+    seq = wrap(F.regexp_replace("text", "[^A-Za-z]", "."), 60)
+    lines = d.select(F.col("lang").alias("target"), F.col("doc_id").alias("ord"), F.concat(F.lit(">d"), "doc_id", F.lit(" text\n"), seq).alias("line"))
+    return split_files.fasta(_lines(spark, lines, "fasta", order=("ord",), suffix=".fa"))
+
+
+@query("SELECT 'h' || (o_custkey % 3) || '.txt' AS file, (row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) - 1)::INT AS ord, 'q' || o_custkey AS query, 's' || o_orderkey AS sbjct, (o_orderkey % 5)::DOUBLE AS evalue, s AS qaln, s AS saln, (o_orderkey % 9 + 1)::INT AS qstart, (o_orderkey % 9 + 4)::INT AS qend, 3 AS sstart, 9 AS send FROM (SELECT *, upper(regexp_replace(o_orderpriority || o_orderstatus, '[^A-Za-z]', '-', 'g')) AS s FROM orders)")
+def s16_large_pairwise(spark, sf):
+    k = F.col("o_orderkey")
+    aln = F.upper(F.regexp_replace(F.concat("o_orderpriority", "o_orderstatus"), "[^A-Za-z]", "-"))
+    hits = table(spark, sf, "orders").select(
+        k.alias("ord"), F.concat(F.lit("q"), "o_custkey").alias("query"), F.concat(F.lit("s"), "o_orderkey").alias("sbjct"), (k % 9 + 1).alias("qstart"), (k % 9 + 4).alias("qend"), F.lit(3).alias("sstart"), F.lit(9).alias("send"),
+        aln.alias("qaln"), aln.alias("saln"), F.lit("of it").alias("qdescr"), F.col("o_orderpriority").alias("sdescr"), (k % 5).alias("evalue"), F.concat(F.lit("h"), F.col("o_custkey") % 3).alias("target"),
+    )
+    lines = sinks.pairwise_lines(hits, beside=("target",))
+    return split_files.pairwise(_lines(spark, lines, "pairwise", order=("ord",))).drop("slen")

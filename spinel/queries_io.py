@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import carriers as C
 from .operators import align, cluster, ensemble, msa, quality
 from .queries import query
+from .session import scratch_folder as _folder
 from .session import table
 from .sources import sinks, tables
 
@@ -278,17 +279,6 @@ def r08_transitive_align(spark, sf):
 # --- sources: texts in the formats that they read, made from the tables; file sources read what was written to the shared folder ----------
 
 
-def _folder(spark, name):
-    """A new folder for text files, in the cluster's shared folder, or a temporary one where the session is local and has none."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='spinel-text-')).rstrip('/')}/spinel-text/{name}-{uuid.uuid4().hex}"
-
-
 def _written(spark, sf, name="nation"):
     """One text file for each region, named by its key, in a folder part=key."""
     out = _folder(spark, name)

@@ -50,7 +50,11 @@ def pairwise(spark: SparkSession, path: str) -> DataFrame:
 
 def pairwise_blocks(texts: DataFrame) -> DataFrame:
     """S16 from (file, value), whole files."""
-    rows = texts.select("file", F.posexplode(F.split("value", r"(?m)^//\s*$")).alias("ord", "b")).filter(F.trim("b") != "")
+    return pairwise_records(texts.select("file", F.posexplode(F.split("value", r"(?m)^//\s*$")).alias("ord", "b")).filter(F.trim("b") != ""))
+
+
+def pairwise_records(rows: DataFrame) -> DataFrame:
+    """S16 from (file, ord, b), one block each."""
     g = lambda k: F.regexp_extract("b", r"(?s)>([^\n]*)\n([^>]*)>([^\n]*)\n(.*)", k)
     both = rows.select("file", "ord", parse_header(g(1)).alias("q"), parse_header(g(3)).alias("s"), clean_seq(g(2)).alias("qaln"), clean_seq(g(4)).alias("saln"))
     return both.select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import prefix
+
 
 def fields(line: Column | str = "line") -> Column:
     return F.split(F.trim(F.col(line) if isinstance(line, str) else line), r"\s+")
@@ -94,7 +96,7 @@ def scaled_values(line: Column, scale: float, skip: tuple[int, ...] = ()) -> Col
 PROFILE_RESIDUES = "ARNDCQEGHILKMFPSTWYVBZJX"
 
 
-def profile(rows: DataFrame) -> DataFrame:
+def profile(rows: DataFrame, stretch: int = prefix.STRETCH) -> DataFrame:
     """(file, pos, res, attrs): profiles with eight records for each position; 59 values each.
 
     'LEN: n' and 'SCALE: n' come first. A position begins with 'pos res' and 20 target probabilities; lines that begin with white space
@@ -105,9 +107,8 @@ def profile(rows: DataFrame) -> DataFrame:
     """
     f = F.split(F.rtrim("line"), r"\s+")
     start = F.col("line").rlike(r"^\d+\s+[A-Za-z]\s")
-    w = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scale = F.max(F.when(f[0] == "SCALE:", f[1].try_cast("double"))).over(Window.partitionBy("file"))
-    marked = rows.withColumns({"f": f, "s": start.cast("int"), "scale": scale}).withColumn("g", F.sum("s").over(w))
+    scales = rows.filter(f[0] == "SCALE:").groupBy("file").agg(F.max(f[1].try_cast("double")).alias("scale"))
+    marked = prefix.summed(prefix.stretches(rows.withColumns({"f": f, "s": start.cast("int")}), ["file"], "ord", stretch), {"g": F.col("s")}).join(scales, "file", "left")
     marked = marked.filter((F.col("g") > 0) & ((F.col("s") == 1) | (F.col("line").rlike(r"^\s+\S"))))
     k = F.row_number().over(Window.partitionBy("file", "g").orderBy("ord"))
     marked = marked.withColumn("k", k).withColumn("v", F.when(F.col("k").isin(1, 7, 8), F.slice("f", 3, F.greatest(F.size("f") - 2, F.lit(0)))).otherwise(F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0)))))
@@ -152,9 +153,8 @@ def profile_to_seq(profile_rows: DataFrame) -> DataFrame:
 
 def atoms(rows: DataFrame, chain: str | None = None, hetatm: bool = True) -> DataFrame:
     """(file, serial, atom, resname, chain, resnum, icode, x, y, z, het) of the first model; the first chain unless one is named."""
-    w = Window.partitionBy("file")
-    end = F.min(F.when(F.col("line").startswith("ENDMDL"), F.col("ord"))).over(w)
-    kept = rows.withColumn("e", end).filter((F.col("e").isNull() | (F.col("ord") < F.col("e"))) & (F.col("line").startswith("ATOM") | (F.lit(hetatm) & F.col("line").startswith("HETATM"))))
+    ends = rows.filter(F.col("line").startswith("ENDMDL")).groupBy("file").agg(F.min("ord").alias("e"))
+    kept = rows.join(ends, "file", "left").filter((F.col("e").isNull() | (F.col("ord") < F.col("e"))) & (F.col("line").startswith("ATOM") | (F.lit(hetatm) & F.col("line").startswith("HETATM"))))
     at = lambda a, n: F.trim(F.substring("line", a, n))
     cols = kept.select(
         "file", "ord", at(7, 5).try_cast("int").alias("serial"), at(13, 4).alias("atom"), at(18, 3).alias("resname"), F.substring("line", 22, 1).alias("chain"), at(23, 4).try_cast("int").alias("resnum"), at(27, 1).alias("icode"),
@@ -162,8 +162,8 @@ def atoms(rows: DataFrame, chain: str | None = None, hetatm: bool = True) -> Dat
     )
     if chain is not None:
         return cols.filter(F.col("chain") == chain).drop("ord")
-    first = F.min_by("chain", "ord").over(w)
-    return cols.withColumn("fc", first).filter("chain = fc").drop("fc", "ord")
+    first = cols.groupBy("file").agg(F.min_by("chain", "ord").alias("chain"))
+    return cols.join(first, ["file", "chain"], "left_semi").select(*[c for c in cols.columns if c != "ord"])
 
 
 def atoms_mmcif(rows: DataFrame, chain: str | None = None) -> DataFrame:
@@ -179,4 +179,5 @@ def atoms_mmcif(rows: DataFrame, chain: str | None = None) -> DataFrame:
     ).filter("model = '1'").drop("model")
     if chain is not None:
         return cols.filter(F.col("chain") == chain).drop("ord")
-    return cols.withColumn("fc", F.min_by("chain", "ord").over(Window.partitionBy("file"))).filter("chain = fc").drop("fc", "ord")
+    first = cols.groupBy("file").agg(F.min_by("chain", "ord").alias("chain"))
+    return cols.join(first, ["file", "chain"], "left_semi").select(*[c for c in cols.columns if c != "ord"])
