@@ -149,11 +149,12 @@ def window(pred: DataFrame, beg: int, end: int) -> DataFrame:
     return pred.filter((F.col("r1") >= beg) & (F.col("r2") <= end))
 
 
-def drop_same_run(pred: DataFrame, runs: DataFrame) -> DataFrame:
-    """without pairs of one secondary-structure element; (pos, run) with run -1 for coil."""
-    a = runs.select(F.col("pos").alias("r1"), F.col("run").alias("run1"))
-    b = runs.select(F.col("pos").alias("r2"), F.col("run").alias("run2"))
-    joined = pred.join(a, "r1", "left").join(b, "r2", "left")
+def drop_same_run(pred: DataFrame, runs: DataFrame, key: str | None = None) -> DataFrame:
+    """without pairs of one secondary-structure element; (…, pos, run) with run -1 for coil, of each sequence with a ``key``."""
+    keys = [key] if key else []
+    a = runs.select(*keys, F.col("pos").alias("r1"), F.col("run").alias("run1"))
+    b = runs.select(*keys, F.col("pos").alias("r2"), F.col("run").alias("run2"))
+    joined = pred.join(a, [*keys, "r1"], "left").join(b, [*keys, "r2"], "left")
     same = (F.col("run1") == F.col("run2")) & (F.col("run1") >= 0)
     return joined.filter(~F.coalesce(same, F.lit(False))).select(*pred.columns)
 

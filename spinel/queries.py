@@ -161,14 +161,14 @@ def w02_run_ids(spark, sf):
 
 
 @query(
-    f"{RUNS}, one AS (SELECT pos, run FROM runs WHERE seq = (SELECT min(seq) FROM runs)) SELECT predictor, r1, r2 FROM predictions p LEFT JOIN one a ON a.pos = p.r1 LEFT JOIN one b ON b.pos = p.r2 WHERE NOT coalesce(a.run = b.run AND a.run >= 0, false)",
+    f"{RUNS}, prs AS (SELECT predictor, r1 AS seq, r1 % 50 + 1 AS a, r1 % 50 + 1 + (r2 - r1) % 20 AS b FROM predictions) SELECT predictor, p.seq, p.a AS r1, p.b AS r2 FROM prs p LEFT JOIN runs a ON a.seq = p.seq AND a.pos = p.a LEFT JOIN runs b ON b.seq = p.seq AND b.pos = p.b WHERE NOT coalesce(a.run = b.run AND a.run >= 0, false)",
     "predictions states",
 )
 def f19_drop_same_run(spark, sf):
-    st = C.states(spark, sf)
-    first = st.agg(F.min("seq").alias("seq"))
-    one = runs.run_ids(st.join(F.broadcast(first), "seq")).select("pos", "run")
-    return pairs.drop_same_run(C.predictions(spark, sf).select("predictor", "r1", "r2"), one)
+    """Pairs of every sequence, its number being their first residue's."""
+    at = F.col("r1") % 50 + 1
+    pred = C.predictions(spark, sf).select("predictor", F.col("r1").alias("seq"), at.alias("r1"), (at + (F.col("r2") - F.col("r1")) % 20).alias("r2"))
+    return pairs.drop_same_run(pred, runs.run_ids(C.states(spark, sf)), "seq")
 
 
 BOUNDS = ", bounds AS (SELECT ord, chain, coalesce(lag(end_pos) OVER (ORDER BY ord), 0) + 1 AS beg, end_pos FROM chain_ends)"

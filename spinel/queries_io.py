@@ -117,9 +117,11 @@ def k19_superposition_blocks(spark, sf):
     return sinks.superposition_blocks(e)
 
 
-@query("SELECT id::INT AS cls, CASE WHEN id = 0 THEN 'Background' ELSE (id + 1)::VARCHAR END AS name, c AS r, c AS g, c AS b FROM (SELECT id, CASE WHEN id = 0 THEN 255 ELSE (id - 1) * 3 % 255 END::INT AS c FROM range(64) t(id))")
+@query("SELECT cls, CASE WHEN cls = 0 THEN 'Background' ELSE (cls + 1)::VARCHAR END AS name, c AS r, c AS g, c AS b, n FROM (SELECT label::INT AS cls, CASE WHEN label = 0 THEN 255 ELSE (label - 1) * 3 % 255 END::INT AS c, count(*) AS n FROM embeddings GROUP BY label)")
 def k13_class_dictionary(spark, sf):
-    return sinks.class_dictionary(spark)
+    """The classes that masks have, with their colours and cells."""
+    cells = table(spark, sf, "embeddings").groupBy(F.col("label").cast("int").alias("cls")).agg(F.count("*").alias("n"))
+    return sinks.class_dictionary(spark).join(cells, "cls")
 
 
 HITS = """WITH h AS (SELECT l_orderkey AS query, l_linenumber AS ord, 'AC-DE' AS qaln, CASE l_linenumber % 3 WHEN 0 THEN 'ACXDE' WHEN 1 THEN 'A-XDE' ELSE 'GCYD-' END AS saln FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))"""
@@ -269,11 +271,11 @@ def k17_atom_lines(spark, sf):
 
 @query()
 def r08_transitive_align(spark, sf):
-    s = table(spark, sf, "supplier")
-    rows = s.select("s_suppkey", F.lit("MACDEFG").alias("qseq"), F.lit("ACDE-FG").alias("qstr"), F.lit("AC-EQFG").alias("sstr"), F.lit("ACEQFGK").alias("sseq"))
-    return align.transitive_align(rows)
-
-
+    """Two parts' names as sequences, carried along their structures: the same letters without some, gapped to one length."""
+    p = table(spark, sf, "part").select("p_partkey", F.upper(F.regexp_replace("p_type", "[^A-Za-z]", "")).alias("qseq"), F.upper(F.regexp_replace(F.concat("p_type", "p_brand"), "[^A-Za-z]", "")).alias("sseq"))
+    n = F.greatest(F.length("qseq"), F.length("sseq"))
+    lacks = lambda seq, every: F.array_join(F.transform(F.split(F.rpad(seq, n, "-"), ""), lambda x, i: F.when((i + F.col("p_partkey")) % every == 2, "-").otherwise(x)), "")
+    return align.transitive_align(p.select("*", lacks(F.col("qseq"), 6).alias("qstr"), lacks(F.col("sseq"), 7).alias("sstr")))
 
 
 # --- sources: texts in the formats that they read, made from the tables; file sources read what was written to the shared folder ----------
@@ -447,12 +449,14 @@ def s21_k15_tensors(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("SELECT CASE WHEN id = 0 THEN 'Background' ELSE (id + 1)::VARCHAR END AS name, c AS r, c AS g, c AS b FROM (SELECT id, CASE WHEN id = 0 THEN 255 ELSE (id - 1) * 3 % 255 END::INT AS c FROM range(64) t(id))")
+@query("SELECT CASE WHEN cls = 0 THEN 'Background' ELSE (cls + 1)::VARCHAR END AS name, c AS r, c AS g, c AS b FROM (SELECT DISTINCT label AS cls, CASE WHEN label = 0 THEN 255 ELSE (label - 1) * 3 % 255 END::INT AS c FROM embeddings)")
 def s22_class_dictionary(spark, sf):
+    """Written with the classes that masks have, and read back."""
     from .sources import files
 
-    out = _folder(spark, "classes")
-    sinks.class_dictionary(spark).select("name", "r", "g", "b").coalesce(1).write.csv(out, header=True)
+    out = f"{_folder(spark, 'classes')}/table"
+    found = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("cls")).distinct()
+    sinks.class_dictionary(spark).join(found, "cls", "left_semi").orderBy("cls").select("name", "r", "g", "b").coalesce(1).write.csv(out, header=True)
     return files.class_dictionary(spark, out)
 
 
