@@ -16,7 +16,8 @@ then give their smallest ids, so a vector that a third of all rows share needs n
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than most take no part; a
 query whose id several rows share uses the smallest of their vectors, and a candidate's id counts once, by its best row; with fewer than
-k candidates all are returned; an empty table gives no rows.
+k candidates all are returned; ties go to the smaller id; rows equal in id and vector are one; an empty table gives no rows; extra columns are
+left out.
 """
 
 from __future__ import annotations
@@ -177,7 +178,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
         empty = rows.sparkSession.createDataFrame([], schema)
         return empty.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     d, n = most["d"], most["count"]
-    rows = rows.filter(F.size("v") == d)
+    # equal rows count once; one with another vector goes to another block
+    rows = rows.filter(F.size("v") == d).dropDuplicates(["vec_id", "v"])
     # a top-k sends SAMPLE rows of every partition to the driver; this bound on the hash leaves about twice SAMPLE in all
     below = int(2**64 * min(1.0, 2 * SAMPLE / n)) - 2**63
     hashed = rows.withColumn("o", F.xxhash64("vec_id", "v"))
@@ -196,7 +198,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     queries = staged(rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-queries")
     r_blocks, q_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
     left = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))).alias("rb"), "vec_id", "v")
-    right = coded.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("vec_id"), F.lit(r_blocks)).alias("rb"), "vec_id", "v", "code")
+    right = coded.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(r_blocks)).alias("rb"), "vec_id", "v", "code")
 
     def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, float]] = []
