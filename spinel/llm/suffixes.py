@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .staging import staged
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM  # offsets at which a string may hold a chosen gram
@@ -51,6 +52,8 @@ BEFORE, AFTER, REACH = LENGTH + SPAN, LENGTH + SPAN + 1, LENGTH + SPAN + 2
 WIDTH = 8 * -(-(REACH + 1) // 8)
 #: Chosen grams and suffixes a task combines, and bytes of text in a chunk, on average; occurrences beyond which a gram is hot.
 GRAMS_EACH, SUFFIXES_EACH, CHUNK, HOT = 400_000, 150_000, 4 << 20, 20_000
+#: Equal rows that a chunk may hold, and that one task writes out again.
+REPEATED = 1000
 NO_ID = np.iinfo(np.int64).max
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -238,7 +241,7 @@ class Chunk:
 
     def __init__(self, pdf: pd.DataFrame):
         pdf = pdf.sort_values(["id", "raw"], kind="stable")
-        self.raws, self.ids = list(pdf["raw"]), pdf["id"].to_numpy(dtype=np.int64)
+        self.raws, self.ids, self.times = list(pdf["raw"]), pdf["id"].to_numpy(dtype=np.int64), pdf.get("times", pd.Series(1, pdf.index)).to_numpy()
         self.chunk = int(pdf["chunk"].iat[0])
 
     def choose(self) -> Chunk:
@@ -322,6 +325,20 @@ class Chunk:
         self.rows, self.part, self.start = rows[fresh], part[fresh], np.append(fresh, len(rows))
 
 
+def _without_repeats(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with ``times`` (1), and whether there are rows that repeat id and text more than ``REPEATED`` times: these are one row with their
+    number, counted before anything is shuffled, as all of them would be in one chunk."""
+    rows = docs.select("doc_id", "text")
+    th = F.xxhash64("text", F.lit(7))
+    many = rows.groupBy("doc_id", th.alias("th")).agg(F.count("*").alias("n")).filter(F.col("n") > REPEATED).select(F.col("doc_id").alias("i"), "th")
+    many = staged(many, "suffix-repeats")
+    if many.isEmpty():
+        return rows.withColumn("times", F.lit(1).cast("long")), False
+    keyed = rows.withColumn("th", th).join(many.withColumnRenamed("th", "t2").withColumn("m", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t2")), "left")
+    some = keyed.filter("m").groupBy("doc_id", "text").agg(F.count("*").alias("times"))
+    return keyed.filter("m IS NULL").select("doc_id", "text", F.lit(1).cast("long").alias("times")).unionByName(some), True
+
+
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, kept (the bytes left), n_bytes, n_removed, n_spans, kept_sha256."""
     ship(docs.sparkSession)
@@ -330,7 +347,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     ranges, parts, chunks = (max(1, -(-size // each)) for each in (18 * GRAMS_EACH, 18 * SUFFIXES_EACH, CHUNK))
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
-    keyed = docs.select(own_id.alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), chunk.alias("chunk"))
+    rows, repeated = _without_repeats(docs)
+    keyed = rows.select(own_id.alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), chunk.alias("chunk"), "times")
 
     def grams(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(Chunk(pdf).choose().runs(ranges), columns=["range", "chunk", "run"])
@@ -411,7 +429,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     answers = sorted_runs.groupBy("part").applyInPandas(combine, "chunk int, part int, found binary, members binary")
 
     def cut(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        columns = ["id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "times"]
         if not len(pdf):
             return pd.DataFrame([], columns=columns)
         c = Chunk(pdf)
@@ -447,10 +465,13 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 n = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
             out.append((kept, len(raw), removed, n, hashlib.sha256(kept).hexdigest()))
-        done = pd.DataFrame(out, columns=columns[1:])
+        done = pd.DataFrame(out, columns=columns[1:-1]).assign(times=c.times)
         done.insert(0, "id", c.ids)
         return done
 
-    done = keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = keyed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, times long")
+    if repeated:
+        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATED))).alias("b")
+        done = done.select("*", blocks).repartition("id", "b").select("*", F.explode(F.sequence(F.col("b") * REPEATED + 1, F.least((F.col("b") + 1) * REPEATED, F.col("times")))).alias("copy"))
     doc_id = F.when(F.col("id") != NO_ID, F.col("id")).cast(id_type).alias("doc_id")
     return done.select(doc_id, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")

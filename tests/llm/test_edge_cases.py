@@ -150,3 +150,21 @@ def test_line_dedup_of_rows_that_repeat(spark):
     got = {(r.doc_id, r.n_lines, r.n_removed) for r in lines.dedup_lines(df).collect()}
     # the first forty lines are new but for those of document 1; the last twenty repeat
     assert got == {(5, 60, 26), (1, 6, 0), (6, 61, 60)}
+
+
+def test_suffixes_of_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "REPEATED", 20)
+    a, b = "the first passage of more than fifty bytes, which others hold too. ", "another passage that is also longer than fifty bytes, by a little. "
+    rows = [(5, a + b, "x")] * 50 + [(None, a, "y")] * 30 + [(5, a, "z")] * 3 + [(1, b, "w"), (7, a + "end", "v")]
+    got = sorted(((r.doc_id or 99, r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, times string").repartition(4)).collect()))
+    want = [(1, len(b), 0)] + [(5, len(a), 0)] * 3 + [(5, len(a + b), len(b))] * 50 + [(7, len(a) + 3, len(a))] + [(99, len(a), len(a))] * 30
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    monkeypatch.setattr(suffixes, "REPEATED", 1000)
+    plain = sorted(((r.doc_id or 99, r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, times string")).collect()))
+    assert got == plain
+
+
+def test_nearest_of_rows_that_repeat(spark):
+    rows = [(50, [1.0, 0.0], 0)] * 40 + [(1, [1.0, 0.1], 0)] * 40 + [(1, [0.0, 1.0], 0), (2, [1.0, 0.2], 0), (100, [0.0, 1.0], 0)]
+    got = anisotropic.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int"), k=3).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [(50, 1, 1), (50, 2, 2), (50, 3, 100), (100, 1, 1), (100, 2, 2), (100, 3, 50)]
