@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+from . import prefix
+
 
 def column_counts(cols: DataFrame) -> DataFrame:
     """(grp, col, res, n)."""
@@ -25,8 +28,12 @@ def consensus(cols: DataFrame) -> DataFrame:
 def consensus_matches(cols: DataFrame, cons: DataFrame) -> DataFrame:
     """(grp, name, matches, rank): rows by how often they have the consensus residue, with its case; gap columns don't count."""
     joined = cols.join(cons.filter("cons <> '-'"), ["grp", "col"])
-    rows = joined.groupBy("grp", "name").agg(F.sum((F.col("res") == F.col("cons")).cast("int")).alias("matches"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("matches"), "name")))
+    return _ranked(joined.groupBy("grp", "name").agg(F.sum((F.col("res") == F.col("cons")).cast("int")).alias("matches")))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """(grp, name, matches, rank), most matches first; a group may be several tasks. The counts are written once, as ranking reads them more than once."""
+    return prefix.ranks(staged(rows, "matches"), ["grp"], [-F.col("matches"), F.col("name")]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def row_matches(aln: DataFrame, cons: DataFrame) -> DataFrame:
@@ -35,8 +42,7 @@ def row_matches(aln: DataFrame, cons: DataFrame) -> DataFrame:
     per_group = per_group.select("grp", F.transform(F.sequence(F.lit(1), "_n"), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit("-"))).alias("_c"))
     per_group = per_group.filter(F.exists("_c", lambda c: c != "-"))
     same = F.zip_with(F.split("aln", ""), "_c", lambda a, c: (a == c) & (c != "-"))
-    rows = aln.join(per_group, "grp").select("grp", "name", F.size(F.filter(same, lambda x: x)).cast("long").alias("matches"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("matches"), "name")))
+    return _ranked(aln.join(per_group, "grp").select("grp", "name", F.size(F.filter(same, lambda x: x)).cast("long").alias("matches")))
 
 
 def prune_rows(aln: DataFrame, kept: DataFrame) -> DataFrame:

@@ -8,22 +8,44 @@ from pyspark.sql import functions as F
 from ..functions.probs import BACKGROUND, distance_class
 
 
-SALTS = 8
+#: Residues of one side that meet in a cell of space, on average, before the cell is several tasks.
+CELL_ROWS = 2048
+
+
+def near_candidates(points: DataFrame, reach: float | None) -> DataFrame:
+    """(chain, i, j, x1 … z2) of residues i < j of a chain whose cells of ``reach`` Å touch, each pair once; all pairs without a reach.
+
+    One side stands in its own cell, the other in the cells around it as far as its chain extends, so a chain of even density gives pairs in
+    proportion to its length. Cells of a long chain within a small box are dealt to as many salts as their residues need.
+    """
+    size = F.lit(float(reach) if reach and reach > 0 else 1.0)
+    cell = {f"c{k}": (F.floor(F.col(k) / size) if reach is not None else F.lit(0).cast("long")) for k in "xyz"}
+    placed = points.select("chain", "resnum", "x", "y", "z", *[c.alias(n) for n, c in cell.items()])
+    ends = [f(c).alias(f"{n}{c}") for c in cell for n, f in (("lo_", F.min), ("hi_", F.max))]
+    box = placed.groupBy("chain").agg(F.count("*").alias("n"), *ends)  # one row a chain
+    cells = F.lit(1.0)
+    for c in cell:
+        cells = cells * (F.col(f"hi_{c}") - F.col(f"lo_{c}") + 1)
+    box = box.withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("n") / (cells * CELL_ROWS))).cast("int"))
+    known = placed.join(box, "chain")
+    around = {c: F.explode(F.sequence(F.greatest(F.col(c) - 1, F.col(f"lo_{c}")), F.least(F.col(c) + 1, F.col(f"hi_{c}")))) for c in cell}
+    salt = F.pmod(F.hash("resnum"), F.col("salts"))
+    a = known.select("chain", *cell, salt.alias("s"), F.col("resnum").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("z1"))
+    b = known.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    for c, places in around.items():
+        b = b.withColumn(c, places)
+    b = b.select("chain", *cell, "s", F.col("resnum").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
+    both = a.alias("a").join(b.alias("b"), [*[F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("chain", *cell, "s")], F.col("i") < F.col("j")])
+    return both.select("a.chain", "i", "j", "x1", "y1", "z1", "x2", "y2", "z2")
 
 
 def pair_distances(points: DataFrame, lo: float = 0.0, hi: float = 64.0, infinite: bool = False) -> DataFrame:
     """(chain, i, j, d) for residues i < j of a chain with lo <= d <= hi; ``infinite`` gives lo for every d >= lo.
 
-    An equi-join on the chain with the order as residual condition; no cartesian product. A chain's residues are dealt to ``SALTS`` keys on
-    one side and stand at all of them on the other, so a long chain is several tasks. A structure's extent is a few times the limit of
-    64 Å, so cells of space would hold most pairs anyway.
+    An equi-join on the chain and cells of the limit's size, so for a small limit only neighbours meet; no cartesian product.
     """
-    salt = F.pmod(F.hash("resnum"), F.lit(SALTS)).alias("_s")
-    a = points.select("chain", salt, F.col("resnum").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("z1"))
-    b = points.select("chain", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"), F.col("resnum").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
     dx, dy, dz = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"), F.col("z1") - F.col("z2")
-    d = F.sqrt(dx * dx + dy * dy + dz * dz)
-    rows = a.join(b, (a["chain"] == b["chain"]) & (a["_s"] == b["_s"]) & (F.col("i") < F.col("j"))).select(a["chain"], "i", "j", d.alias("d"))
+    rows = near_candidates(points, None if infinite else hi).select("chain", "i", "j", F.sqrt(dx * dx + dy * dy + dz * dz).alias("d"))
     if infinite:
         return rows.filter(F.col("d") >= lo).withColumn("d", F.lit(float(lo)))
     return rows.filter(F.col("d").between(lo, hi))

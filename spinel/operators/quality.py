@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.probs import blend, capped_exp, subset_sum
+from ..session import staged
 from . import prefix
 
 
@@ -58,8 +59,10 @@ def model_energy(sums: DataFrame) -> DataFrame:
 def rank_models(scores: DataFrame, keys: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Rank by score, largest first, null last, names decide ties; within ``keys``.
 
-    No task orders all models, whatever their scores: parts of the order are ranked apart, and names split equal scores.
+    No task orders all models, whatever their scores: parts of the order are ranked apart, and names split equal scores. The scores, a row for
+    each model, are written once, as ranking reads them more than once.
     """
+    scores = staged(scores, "scores")
     worst = F.when(F.col("global").isNull(), 1).otherwise(0)
     ranked = prefix.ranks(scores, keys or [], [worst, -F.col("global"), F.col("name")], parts=parts)
     return ranked.withColumn("rank", F.col("rank").cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import carriers as C
-from .operators import align, cluster, ensemble, msa, quality
+from .operators import align, cluster, ensemble, msa, prefix, quality
 from .queries import query
 from .session import scratch_folder as _folder
 from .session import table
@@ -221,8 +221,8 @@ def k03_distance_file_of_chains(spark, sf):
 
 @query()
 def k07_msa_files(spark, sf):
-    aln = C.alignment(spark, sf).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("name", "aln"))).alias("rows")).select("grp", F.posexplode("rows").alias("ord", "r"))
-    rows = aln.select("grp", "ord", F.concat(F.lit("d"), F.col("r.name")).alias("name"), F.lit("text").alias("descr"), F.lit(1).alias("start"), F.lit(60).alias("end"), (F.col("r.name") / 1e6).alias("evalue"), F.col("r.aln").alias("aln"))
+    aln = prefix.ranks(C.alignment(spark, sf), ["grp"], [F.col("name")], "ord").withColumn("ord", F.col("ord") - 1)
+    rows = aln.select("grp", "ord", F.concat(F.lit("d"), F.col("name")).alias("name"), F.lit("text").alias("descr"), F.lit(1).alias("start"), F.lit(60).alias("end"), (F.col("name") / 1e6).alias("evalue"), "aln")
     return sinks.msa_file(rows, "stockholm").withColumn("dialect", F.lit("stockholm")).unionByName(sinks.msa_file(rows, "rosetta").withColumn("dialect", F.lit("rosetta")))
 
 
@@ -409,11 +409,12 @@ FASTA_SQL = "SELECT grp AS file, row_number() OVER (PARTITION BY grp ORDER BY na
 
 
 def _fasta(spark, sf):
-    from .sources import reports
+    """Records of three lines, numbered by the name that they are sorted by."""
+    from .sources import split_files
 
-    record = F.concat(F.lit(">d"), F.col("name"), F.lit(" text\n"), F.lower(F.substring("aln", 1, 30)), F.lit("\n"), F.translate(F.substring("aln", 31, 30), "-", "."), F.lit("\n"))
-    rows = C.alignment(spark, sf).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("name", record.alias("r")))).alias("all"))
-    return reports.fasta_records(_texts(rows, F.col("grp"), F.array_join(F.transform("all", lambda x: x["r"]), "")))
+    lines = F.array(F.concat(F.lit(">d"), F.col("name"), F.lit(" text")), F.lower(F.substring("aln", 1, 30)), F.translate(F.substring("aln", 31, 30), "-", "."))
+    rows = C.alignment(spark, sf).select(F.col("grp").alias("file"), "name", F.posexplode(lines).alias("k", "line"))
+    return split_files.fasta(rows.select("file", (F.col("name") * 3 + F.col("k")).alias("ord"), "line"))
 
 
 @query(FASTA_SQL, "alignment")

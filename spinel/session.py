@@ -39,6 +39,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='spinel-text-')).rstrip('/')}/spinel-text/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Written once as Parquet in a scratch folder and read back, for what several passes read."""
+    out = f"{scratch_folder(df.sparkSession, name)}/table"
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python, once for each application."""
     context = spark.sparkContext
