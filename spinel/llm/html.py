@@ -2,7 +2,8 @@
 
 The pages of one host and layout are aligned, each with the group's reference page (the one whose id has the smallest hash), by simple
 tree matching: equal root labels match, and the children are aligned in order so that the number of matched nodes is largest. The
-layout of a page is the set of its block elements with their classes, so an error page or another kind of page has a wrapper of its own.
+layout of a page is the set of its block elements with their classes, so an error page or another kind of page has a wrapper of its own; names
+with a digit in them, as of a page's own number, count neither there nor as labels.
 Siblings are aligned one by one; equal subtrees at both ends and those that stand once on each side are paired first, so a notice among
 paragraphs meets its like. Matched nodes depend on the labels below two nodes alone, so a long list costs one comparison.
 
@@ -69,6 +70,8 @@ BESIDE_WORDS = frozenset("site top bottom left right box bar list area wrapper c
 ARTICLE = frozenset(("article", "main"))
 #: Java regex of the elements that make a page's layout.
 LAYOUT = r"(?i)<(?:body|div|section|nav|header|footer|aside|main|article|form|table)\b(?:[^>]*?\s(?:class|id)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?"
+#: A name of class or id with a digit, such as a page's own number, which says nothing of its layout; in Java's and Python's form.
+NUMBERED, DIGIT = r"[^\s\"'=<>]*[0-9][^\s\"'=<>]*|\s+", re.compile("[0-9]")
 #: Bits in which different texts of a node are counted.
 BITS = 256
 #: Cells of a matching table kept at once.
@@ -103,7 +106,7 @@ def _node(tag: str, attrs: str, parent: Node) -> Node:
         for name, a, b, c in ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
             if name in ("class", "id"):
-                css = value if name == "class" else css
+                css = " ".join(k for k in value.split() if not DIGIT.search(k)) if name == "class" else css
                 if not bad and tag not in ("html", "body"):
                     for k in value.split():
                         if k not in _MARKS:
@@ -501,7 +504,8 @@ def host_of(url: Column) -> Column:
 
 def grouped(pages: DataFrame) -> DataFrame:
     """``pages`` with host and layout."""
-    blocks = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(LAYOUT), 0)))
+    named = F.transform(F.regexp_extract_all("html", F.lit(LAYOUT), 0), lambda x: F.regexp_replace(x, NUMBERED, ""))
+    blocks = F.array_sort(F.array_distinct(named))
     return pages.withColumns({"host": host_of(F.col("url")), "layout": F.xxhash64(blocks)})
 
 

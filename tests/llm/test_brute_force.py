@@ -502,3 +502,11 @@ def test_toxicity_scores_as_it_was_fitted(spark, small):
             own = [model["w"][f] for f in toxicity.features(sentence) if f in model["w"]]
             clean *= 1 - 1 / (1 + np.exp(-(model["b"] + sum(own)))) if own else 1.0
         assert abs(toxicity.score_text(r.text, model)[0] - (1 - clean)) < 1e-9
+
+
+@pytest.mark.parametrize("own", ['<div id="post-{k}">', '<div class="post post-{k}">', '<div id=post{k} class="entry p{k}x big">', '<div id="content">'])
+def test_html_pages_with_numbers_of_their_own(spark, own):
+    """Ids and classes that carry a page's number don't part the pages of a host."""
+    rows = [(k, f"http://blog.example/{k}", f"<body><div>Home About Contact</div>{own.format(k=k)}<p>Unique story {k} of the fox {k * 7919} that ran</p></div><div>All rights reserved by the firm</div></body>") for k in range(60)]
+    got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert {r.text for r in got} == {f"Unique story {k} of the fox {k * 7919} that ran" for k in range(60)} and all(r.by_wrapper for r in got)
