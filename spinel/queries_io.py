@@ -226,10 +226,19 @@ def k07_msa_files(spark, sf):
     return sinks.msa_file(rows, "stockholm").withColumn("dialect", F.lit("stockholm")).unionByName(sinks.msa_file(rows, "rosetta").withColumn("dialect", F.lit("rosetta")))
 
 
-@query()
+CONSTRAINTS = """, w AS (SELECT r1, r2, sum(dst * prob) / sum(prob) AS d, sum(prob) / 3 AS q FROM predictions GROUP BY r1, r2 HAVING count(*) = 3 AND sum(prob) <> 0),
+v AS (SELECT r1, r2, floor(d * 100 + 0.5 + 1e-6) / 100 + 0.003 AS d, floor(q * 1000 + 0.5 + 1e-6) / 1000 + 0.00007 AS q FROM w),
+a AS (SELECT *, 'AtomPair ' || CASE WHEN r1 % 5 = 0 THEN 'CA' ELSE 'CB' END || ' ' || r1 || ' ' || CASE WHEN r2 % 5 = 0 THEN 'CA' ELSE 'CB' END || ' ' || r2 || ' ' AS head, printf('SCALARWEIGHTEDFUNC %.3f SUMFUNC 2 ', q * 5) AS weight FROM v)
+SELECT r1, r2, head || f.line AS line, f.kind AS kind FROM a, LATERAL (SELECT unnest(['HARMONIC', 'FLAT_HARMONIC', 'BOUNDED', 'SIGMOID', 'SIGMOID2']) AS kind, unnest([printf('HARMONIC %.1f 0.5', d), printf('FLAT_HARMONIC %.1f 1 4', d), printf('BOUNDED 0 %.1f %g %.1f TAG', d, 1.001 - q, 100 / (q + 0.001)),
+  weight || printf('SIGMOID %.1f 2.0 CONSTANTFUNC -0.5', d + 2), weight || printf('SIGMOID %.1f 2.0 SCALARWEIGHTEDFUNC -1.0 SIGMOID %.1f 2.0', d + 2, d - 2)]) AS line) f"""
+
+
+@query(CONSTRAINTS, "predictions")
 def k04_r09_constraint_lines(spark, sf):
+    """Distances and probabilities that lie off the ties of what is printed, so that SQL rounds them alike."""
     letter = lambda r: F.when(F.col(r) % 5 == 0, "G").otherwise("A")
-    pred = ensemble.weighted_distance(C.predictions(spark, sf), 3).withColumns({"res1": letter("r1"), "res2": letter("r2")})
+    off = lambda c, by, more: F.floor(F.col(c) * by + 0.5 + 1e-6) / by + more
+    pred = ensemble.weighted_distance(C.predictions(spark, sf), 3).withColumns({"res1": letter("r1"), "res2": letter("r2"), "dst": off("dst", 100, 0.003), "prob": off("prob", 1000, 0.00007)})
     kinds = ("HARMONIC", "FLAT_HARMONIC", "BOUNDED", "SIGMOID", "SIGMOID2")
     out = None
     for kind in kinds:
@@ -250,20 +259,26 @@ def k10_checkpoint_bytes(spark, sf):
     return sinks.checkpoint_bytes(rows)
 
 
-@query()
+@query(
+    """SELECT label AS name, 1 AS part, vec_id::INT AS pos, CASE WHEN length(vec_id::VARCHAR) > 5 THEN vec_id::VARCHAR ELSE lpad(vec_id::VARCHAR, 5, ' ') END || ' A  ' || array_to_string(list_transform(v, lambda x: ' ' || lpad(x::VARCHAR, 3, ' ')), '') || ' ' || array_to_string(list_transform(v, lambda x: ' ' || lpad(abs(x)::VARCHAR, 3, ' ')), '') || '  0.00     0.00' AS line
+FROM (SELECT label, vec_id, list_transform(embedding[1:20], lambda x: trunc(x::DOUBLE * 10)::INT) AS v FROM embeddings)
+UNION ALL SELECT name, unnest([0, 2]), 0, unnest(['Position-specific scoring matrix computed, weighted observed percentages rounded down, information per position, and relative weight of gapless real matches to pseudocounts' || chr(10) || repeat(' ', 12) || l || '   ' || l, chr(10) || repeat(' ', 22) || 'K         Lambda'])
+FROM (SELECT DISTINCT label AS name, 'A   R   N   D   C   Q   E   G   H   I   L   K   M   F   P   S   T   W   Y   V' AS l FROM embeddings)"""
+)
 def k11_pssm_lines(spark, sf):
     e = table(spark, sf, "embeddings")
-    ints = F.transform(F.slice("embedding", 1, 20), lambda x: (x * 10).cast("int"))
+    ints = F.transform(F.slice("embedding", 1, 20), lambda x: (x.cast("double") * 10).cast("int"))
     return sinks.pssm_lines(e.select(F.col("label").alias("name"), F.col("vec_id").cast("int").alias("pos"), F.lit("A").alias("res"), ints.alias("scores"), F.transform(ints, lambda x: F.abs(x)).alias("percents")))
 
 
-@query()
+@query("SELECT seq AS name, pos::INT AS pos, CASE WHEN length(pos::VARCHAR) > 4 THEN pos::VARCHAR ELSE lpad(pos::VARCHAR, 4, ' ') END || ' A ' || state || '  ' || printf('%6.3f %6.3f %6.3f', pos % 100 / 1000.0::DOUBLE, seq % 100 / 1000.0::DOUBLE, 0.5::DOUBLE) AS line FROM states UNION ALL SELECT DISTINCT seq, 0, '# PSIPRED VFORMAT (PSIPRED V2.6)' FROM states", "states")
 def k12_ss_lines(spark, sf):
-    st = C.states(spark, sf).select(F.col("seq").alias("name"), F.col("pos").cast("int").alias("pos"), F.lit("A").alias("res"), "state", F.array(F.lit(2500), F.lit(2500), F.lit(5000)).alias("p"))
+    p = F.array((F.col("pos") % 100 * 10).cast("int"), (F.col("seq") % 100 * 10).cast("int"), F.lit(5000))
+    st = C.states(spark, sf).select(F.col("seq").alias("name"), F.col("pos").cast("int").alias("pos"), F.lit("A").alias("res"), "state", p.alias("p"))
     return sinks.ss_lines(st)
 
 
-@query()
+@query("SELECT chain::VARCHAR AS chain, idx AS serial, 'ATOM  ' || lpad(idx::VARCHAR, 5, ' ') || '  CA  GLY ' || chain || lpad(resnum::VARCHAR, 4, ' ') || '    ' || printf('%8.3f%8.3f%8.3f%6.2f%6.2f', x, y, z, 1.0::DOUBLE, resnum % 7 / 2.0::DOUBLE) AS line FROM points", "points")
 def k17_atom_lines(spark, sf):
     p = C.points(spark, sf).select(F.col("chain").cast("string").alias("chain"), "resnum", F.col("idx").alias("serial"), F.lit("CA").alias("atom"), F.lit("GLY").alias("resname"), "x", "y", "z")
     return sinks.atom_lines(p, p.select("chain", "resnum", (F.col("resnum") % 7 / 2).alias("error")))
