@@ -90,3 +90,10 @@ def pairwise(lines: DataFrame, stretch: int = prefix.STRETCH) -> DataFrame:
     """S16 from (file, ord, line): hits of blocks that end in '//'."""
     rows = records(lines, F.col("line").rlike(r"^//\s*$"), ends=True, stretch=stretch).filter(F.trim("text") != "")
     return pairwise_records(rows.select("file", F.col("block").cast("int").alias("ord"), F.col("text").alias("b")))
+
+
+def profile_database(lines: DataFrame, stretch: int = prefix.STRETCH) -> DataFrame:
+    """S20 from (file, ord, line): (file, ord, line) with a record of a profile database, which ends in a line '*', in each row, for
+    ``tables.profile_record``."""
+    rows = records(lines, F.rtrim("line") == "*", ends=True, stretch=stretch).filter(F.trim("text") != "")
+    return rows.select("file", F.col("block").alias("ord"), F.col("text").alias("line"))

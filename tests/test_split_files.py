@@ -106,3 +106,11 @@ def test_empty_files(spark, tmp_path):
     (tmp_path / "f.txt").write_text("")
     lines = split_files.line_table(spark, str(tmp_path))
     assert lines.count() == 0 and split_files.fasta(lines).count() == 0 and split_files.report_hits(lines, "pair").count() == 0
+
+
+def test_profile_database(spark, tmp_path, ranges):
+    (tmp_path / "db").write_text("".join(f"profile\nDESC: d{k}\nFILE: f{k}.pro\n{'x ' * (k % 30)}\n*\n" for k in range(60)))
+    ranges(100)
+    rows = split_files.profile_database(split_files.line_table(spark, str(tmp_path)), 50)
+    assert rows.count() == 60
+    assert tables.profile_record(rows, "f17.p").first().line == "profile\nDESC: d17\nFILE: f17.pro\n" + "x " * 17
