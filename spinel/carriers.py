@@ -6,7 +6,7 @@ ground truth, alignments, hits, states, labels, similarities, chain ends.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import table
@@ -50,11 +50,17 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.when(F.bool_and(F.col("l_returnflag") == "N"), F.lit(None)).otherwise(F.avg("l_quantity") / 6).alias("local"))
 
 
+def _round6(x: Column) -> Column:
+    """Rounded to six places; a zero keeps its sign, as in SQL's."""
+    r = F.round(x, 6)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, k, terms): three energy terms of each residue."""
     li = table(spark, sf_dir, "lineitem")
     by = li.groupBy(F.concat(F.lit("m"), F.col("l_suppkey")).alias("name"), (F.col("l_partkey") % 50).cast("int").alias("k"))
-    terms = [F.round(F.avg("l_quantity") * 1.5 / 25, 6), F.round(F.avg("l_discount") * -15, 6), F.round(F.avg("l_tax") * 15, 6)]
+    terms = [_round6(F.avg("l_quantity") * 1.5 / 25), _round6(F.avg("l_discount") * -15), _round6(F.avg("l_tax") * 15)]
     return by.agg(F.array(*terms).alias("terms"))
 
 
@@ -63,7 +69,7 @@ def energy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     by = li.groupBy(F.concat(F.lit("m"), F.col("l_suppkey")).alias("name"), (F.col("l_partkey") % 50).cast("int").alias("k"))
     q = F.col("l_quantity")
-    terms = [F.round(F.avg(q) * 1.5 / 25, 6), F.round(F.avg("l_discount") * -15, 6), F.round(F.avg("l_tax") * 15, 6), F.min(q) / 32, F.max(q) / -64, F.when(F.min(q) > 3, F.max(q) / 16)]
+    terms = [_round6(F.avg(q) * 1.5 / 25), _round6(F.avg("l_discount") * -15), _round6(F.avg("l_tax") * 15), F.min(q) / 32, F.max(q) / -64, F.when(F.min(q) > 3, F.max(q) / 16)]
     return by.agg(F.array(*terms).alias("terms"))
 
 
