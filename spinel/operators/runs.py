@@ -30,6 +30,18 @@ def aln_coord(cols: DataFrame, stretch: int = prefix.STRETCH) -> DataFrame:
     return prefix.summed(prefix.stretches(cols, ["grp", "name"], "col", stretch), {"coord": (F.col("res") != "-").cast("int")})
 
 
+def row_coord(aln: DataFrame, piece: int = 64) -> DataFrame:
+    """W06 from whole rows (grp, name, aln): (grp, name, col, res, coord). A row's residues are counted where it stands, in pieces, so neither rows
+    nor columns are shuffled."""
+    count = lambda s: F.length(F.translate(s, "-", ""))
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("aln") - 1) / piece).cast("int")))
+    pieces = aln.filter(F.length("aln") > 0).select("*", at.alias("_b"))
+    pieces = pieces.select("grp", "name", "_b", F.substr("aln", F.col("_b") * piece + 1, F.lit(piece)).alias("_s"), count(F.substr("aln", F.lit(1), F.col("_b") * piece)).alias("_n"))
+    cells = pieces.select("*", F.explode(F.sequence(F.lit(1), F.length("_s"))).alias("_c"))
+    coord = (F.col("_n") + count(F.substr("_s", F.lit(1), F.col("_c")))).cast("long")
+    return cells.select("grp", "name", (F.col("_b") * piece + F.col("_c")).alias("col"), F.substr("_s", F.col("_c"), F.lit(1)).alias("res"), coord.alias("coord"))
+
+
 def evalue_filter(hits: DataFrame, most: float = 1e-4, reject_negative: bool = True) -> DataFrame:
     """F01."""
     rows = hits.filter(F.col("evalue") <= most)

@@ -3,7 +3,7 @@
 import math
 
 from spinel import carriers
-from spinel.operators import evaluate
+from spinel.operators import evaluate, pairs, runs
 from spinel.sources import sinks
 from pyspark.sql import functions as F
 
@@ -33,3 +33,27 @@ def test_distinct_classes_gather_classes_only(spark):
     df = evaluate.distinct_classes(spark.range(1000).select((F.col("id") % 3).alias("chain"), (F.col("id") % 5).cast("int").alias("cls")), F.col("cls"))
     assert {r.chain: r.classes for r in df.collect()} == {k: [0, 1, 2, 3, 4] for k in range(3)}
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("Exchange hashpartitioning")
+
+
+def test_coordinates_without_a_shuffle(spark):
+    """Whole rows are counted where they stand, whatever their length."""
+    rows = [("g", 1, "A-C"), ("g", 2, "--"), ("h", 1, "AB-" * 50), ("h", 3, "")]
+    df = runs.row_coord(spark.createDataFrame(rows, "grp string, name int, aln string"))
+    want = sorted((g, n, k + 1, a[k], len(a[: k + 1].replace("-", ""))) for g, n, a in rows for k in range(len(a)))
+    assert sorted((r.grp, r.name, r.col, r.res, r.coord) for r in df.collect()) == want
+    assert exchanges(df) == 0
+
+
+def test_pair_features_shuffle_residues_only(spark):
+    """Nothing is shuffled behind the join that forms pairs."""
+    rows = [("a", k, 0.5 * k, 2.0) for k in range(1, 6)] + [("b", 1, 7.0, 1.0)]
+    df = pairs.pair_features_of_residues(spark.createDataFrame(rows, "name string, pos int, u double, h double"), ["u"], lambda a, b: [a["h"] * b["h"]], ["h"])
+    want = sorted((n, i, j, [h * g, u, v]) for n, i, u, h in rows for m, j, v, g in rows if n == m and i <= j)
+    assert sorted((r.name, r.i, r.j, list(r.feat)) for r in df.collect()) == want
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].splitlines()
+    formed = next(k for k, x in enumerate(lines) if "Join" in x and "<" in x.split("Join", 1)[1])
+    assert "Exchange" not in "".join(lines[:formed])
