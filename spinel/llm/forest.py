@@ -4,11 +4,9 @@ A document is its set of five-word shingles. Documents with one set form a class
 the forest labels a class with ``DEEPEST`` bytes, one for each MinHash value; in byte order the labels of a tree are a sorted prefix trie,
 whose nodes of depth ``d`` hold the classes that agree in the first ``d`` bytes.
 
-Prefixes start at ``DEEPEST`` and are shortened until the target recall. Links are measured on a bounded sample of the tries' nodes: for
-each pair of similarity s found there, a forest at depth d would hold it in some node with probability 1 - (1 - s^d)^trees, and d is
-shortened until the mean of that, weighted for how likely the sample was to hold the pair, reaches ``RECALL``. It never gets shorter than
-the depth at which a pair at exactly the threshold reaches ``RECALL`` by itself. So a corpus of close copies is matched by long
-prefixes, and one with links near the threshold by short ones.
+Prefixes start at ``DEEPEST`` and are shortened until the target recall. A forest at depth d holds a pair of similarity s in some node with
+probability 1 - (1 - s^d)^trees, and d is shortened until a pair at exactly the threshold, the least likely of all links, reaches
+``RECALL`` by itself. So every link of any corpus does, and nothing is estimated from a sample of it.
 
 At that depth each class is tied to the least class of its nodes, and the connected components of these ties are the candidate groups.
 Within one, all pairs are verified exactly, whether they shared a node or not, by products of incidence matrices: small groups many at
@@ -31,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -40,8 +38,6 @@ from .staging import private, staged
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 40, 10, 0.9999
-#: The sample on which the depth is measured: labels, nodes, and classes of a node.
-SAMPLE_LABELS, SAMPLE_NODES, SAMPLE_CLASSES = 200_000, 3000, 8
 #: Shingles and classes in a block; blocks meet two by two in a task.
 BLOCK_SHINGLES, BLOCK_CLASSES = 120_000, 800
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -186,7 +182,7 @@ def expected_recall(similarity: np.ndarray, weight: np.ndarray, depth: int, tree
 
 
 def adapted_depth(similarity: np.ndarray, shortest: int, trees: int, recall: float) -> int:
-    """The prefix length, shortened from ``DEEPEST`` until the links of a sample of nodes at ``shortest`` reach the recall."""
+    """The prefix length for links of known similarities, taken from nodes at ``shortest``; the join itself takes the one that any link reaches."""
     if not len(similarity):
         return shortest
     weight = 1 / similarity**shortest  # a pair stands in a number of nodes in proportion to this power
@@ -196,31 +192,6 @@ def adapted_depth(similarity: np.ndarray, shortest: int, trees: int, recall: flo
     return depth
 
 
-def sampled_links(docs: DataFrame, classes: DataFrame, count: int, words: int, threshold: float, trees: int, shortest: int) -> np.ndarray:
-    """Similarities of the linked pairs in a sample of nodes at the shortest depth."""
-    every = max(1, count * trees // SAMPLE_LABELS)
-    some = nodes_at(classes, shortest, trees).filter(F.pmod(F.col("key"), F.lit(every)) == 0)
-    picked = some.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_NODES)
-    w = Window.partitionBy("key").orderBy(F.xxhash64("cid"), "cid")
-    members = some.join(F.broadcast(picked.select("key")), "key").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE_CLASSES)
-    rows = staged(members.join(classes.select("cid", "row_key"), "cid").select("key", "cid", "row_key"), "forest-sample")
-    text = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
-    # the sample's bounds bound the broadcast side
-    text = text.join(F.broadcast(rows.select("row_key").distinct()), "row_key").dropDuplicates(["row_key"])
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = list(shingle_sets(pdf["text"].tolist(), words))
-        out = []
-        for i, a in enumerate(sets):
-            for b in sets[i + 1 :]:
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(both / (len(a) + len(b) - both))
-        return pd.DataFrame({"s": [x for x in out if x >= threshold - 1e-9]}, dtype="float64")
-
-    found = rows.join(text, "row_key").groupBy("key").applyInPandas(pairs, "s double").toPandas()
-    return np.sort(found["s"].to_numpy(dtype=np.float64))
-
-
 def _cross(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
     """Which of ``a`` link to which of ``b`` (of ``a`` itself without it), exactly."""
     own = a if b is None else a + b
@@ -307,9 +278,7 @@ def join_documents(docs: DataFrame, words: int = WORDS, threshold: float = THRES
     sig = staged(signatures(docs, words, trees), "forest-signatures")
     classes = sig.filter("class_key IS NOT NULL").groupBy("class_key").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("label").alias("label"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "forest-classes")
-    shortest = prefix_depth(threshold, trees, recall)
-    depth = adapted_depth(sampled_links(docs, classes, classes.count(), words, threshold, trees, shortest), shortest, trees, recall)
-    nodes = nodes_at(classes, depth, trees)
+    nodes = nodes_at(classes, prefix_depth(threshold, trees, recall), trees)
     least = nodes.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a < z").drop("z")
     ties = nodes.join(least, "key").filter("cid <> a").select("a", F.col("cid").alias("b"))
     groups = staged(components(ties), "forest-groups")
