@@ -100,8 +100,9 @@ def tensor_stats(tensors: DataFrame) -> DataFrame:
 
 
 def distinct_classes(pairs: DataFrame, cls: Column) -> DataFrame:
-    """The sorted distinct classes of each chain."""
-    return pairs.groupBy("chain").agg(F.array_sort(F.collect_set(cls)).alias("classes"))
+    """The sorted distinct classes of each chain; a task keeps a row for each class it saw, and only those are gathered."""
+    seen = pairs.select("chain", cls.alias("cls")).distinct()
+    return seen.groupBy("chain").agg(F.array_sort(F.collect_list("cls")).alias("classes"))  # a set would let the optimizer drop distinct
 
 
 def mean_metrics(df: DataFrame, columns: list[str]) -> DataFrame:
