@@ -142,7 +142,7 @@ def r03_master_slave(spark, sf):
 def r04_check_query(spark, sf):
     """The fourth hit of a query has another second residue."""
     hits = _hits(spark, sf).withColumn("qaln", F.when(F.col("ord") == 4, "AW-DE").otherwise(F.col("qaln")))
-    return msa.check_query(msa.hit_cells(hits))
+    return msa.check_query_of_hits(hits)
 
 
 @query(f"{HITS}, q AS (SELECT DISTINCT query, query % 2 = 0 AS whole FROM h) SELECT h.query, h.ord::BIGINT AS ord, saln || CASE WHEN whole THEN '-' ELSE '' END AS aln, whole FROM h JOIN q USING (query) UNION ALL SELECT query, 0, CASE WHEN whole THEN 'AC-DEF' ELSE 'AC-DE' END, whole FROM q")
