@@ -164,8 +164,8 @@ def k07_split_files(spark, sf):
 
 def _lines(spark, lines, name, **given):
     out = f"{_folder(spark, name)}/files"
-    outfiles.write_files(lines, out, **given)
-    return split_files.line_table(spark, out)
+    outfiles.write_files(lines, out, split=True, numbered=True, **given)  # a target is as many tasks as its size asks for
+    return split_files.line_table(spark, out, parts=True)
 
 
 @query(

@@ -28,11 +28,11 @@ def _files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_files(lines: DataFrame, path: str, target: str = "target", order: tuple[str, ...] = ("part", "ord"), suffix: str = ".txt", split: bool = False, overwrite: bool = False) -> int:
+def write_files(lines: DataFrame, path: str, target: str = "target", order: tuple[str, ...] = ("part", "ord"), suffix: str = ".txt", split: bool = False, overwrite: bool = False, numbered: bool = False) -> int:
     """Writes ``<path>/<target><suffix>`` with the target's lines in the order of ``order``, and says how many files there are.
 
     Characters that paths can't hold are escaped as Spark escapes them in partition folders. With ``split`` a target may be several files,
-    ``<target>-00000<suffix>`` and so on, which put together are its file. A null target or line is an error. The folder must not be there,
+    ``<target>-00000<suffix>`` and so on, which put together are its file; with ``numbered`` one of a single file is named so too. A null target or line is an error. The folder must not be there,
     or is replaced at the end with ``overwrite``. The driver renames files, one call each, and never reads them.
     """
     spark = lines.sparkSession
@@ -45,7 +45,7 @@ def write_files(lines: DataFrame, path: str, target: str = "target", order: tupl
     dealt = rows.repartitionByRange(target, *order) if split else rows.repartition(target)
     try:
         dealt.sortWithinPartitions(target, *order).select(target, "line").write.partitionBy(target).text(f"{work}/parts")
-        made = _named(spark, work, target, suffix)
+        made = _named(spark, work, target, suffix, numbered)
         if overwrite:
             fs.delete(final, True)
         if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{work}/files"), final):
@@ -55,7 +55,7 @@ def write_files(lines: DataFrame, path: str, target: str = "target", order: tupl
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(work), True)
 
 
-def _named(spark: SparkSession, work: str, target: str, suffix: str) -> int:
+def _named(spark: SparkSession, work: str, target: str, suffix: str, numbered: bool = False) -> int:
     """Moves the writer's parts, whose names sort as their tasks do, to files named by target."""
     new = spark._jvm.org.apache.hadoop.fs.Path
     parts, fs = _files(spark, f"{work}/parts")
@@ -67,7 +67,7 @@ def _named(spark: SparkSession, work: str, target: str, suffix: str) -> int:
             continue
         own = sorted(str(f.getPath()) for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
         for k, one in enumerate(own):
-            stem = name[len(target) + 1 :] + (f"-{k:05d}" if len(own) > 1 else "")
+            stem = name[len(target) + 1 :] + (f"-{k:05d}" if numbered or len(own) > 1 else "")
             if not fs.rename(new(one), new(f"{work}/files/{stem}{suffix}")):
                 raise OSError(f"{one} can't be named {stem}{suffix}")
             made += 1

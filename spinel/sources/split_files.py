@@ -21,14 +21,25 @@ from ..session import scratch_folder, ship
 from .reports import HIT, PARSERS, pairwise_records
 
 
-def line_table(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, line) of all text files under a path; ``ord`` grows with the place in the file, with gaps."""
+#: Numbers that the lines of one part have to themselves.
+PART = 1 << 44
+
+
+def line_table(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """(file, ord, line) of all text files under a path; ``ord`` grows with the place in the file, with gaps. With ``parts`` the files are numbered
+    parts, ``<target>-00000<suffix>`` and so on, and those of a target are one file."""
     at = F.col("_metadata.file_block_start")
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("p"), at.alias("b"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
     # the k-th line of a range starts k bytes behind the range's start at least, so numbers don't run into the next range
     place = F.col("b") + F.row_number().over(Window.partitionBy("p", "b").orderBy("i")) - 1
     out = f"{scratch_folder(spark, 'lines')}/table"
-    raw.select(F.element_at(F.split("p", "/"), -1).alias("file"), place.alias("ord"), "line").write.parquet(out)
+    name = F.element_at(F.split("p", "/"), -1)
+    if parts:
+        mark = r"-(\d{5,})(\.[^./-]*)?$"
+        # a part is shorter than PART bytes
+        place = F.regexp_extract(name, mark, 1).cast("long") * PART + place
+        name = F.regexp_replace(name, mark, "$2")
+    raw.select(name.alias("file"), place.alias("ord"), "line").write.parquet(out)
     return spark.read.schema("file string, ord long, line string").parquet(out)
 
 
