@@ -45,7 +45,11 @@ def rank_error_summary(errors: DataFrame, config: list[str]) -> DataFrame:
 
 def class_histogram(mask: DataFrame) -> DataFrame:
     """(cls, n, fraction)."""
-    counts = mask.groupBy("cls").agg(F.count("*").alias("n"))
+    return class_fractions(mask.groupBy("cls").agg(F.count("*").alias("n")))
+
+
+def class_fractions(counts: DataFrame) -> DataFrame:
+    """A13, W09 from (cls, n)."""
     return counts.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row for each class
 
 
