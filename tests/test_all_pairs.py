@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from spinel.functions import probs as pr
 from spinel.operators import pairs
 
 
@@ -27,3 +28,20 @@ def test_mask_has_both_halves_and_the_diagonal(spark):
     got = sorted(map(tuple, pairs.mask_from_points(spark.createDataFrame(rows, "chain string, resnum int, x double, y double, z double")).collect()))
     off = [(c, r, q, max(2, round(math.dist(v, w))) - 1) for c, r, *v in rows for d, q, *w in rows if c == d and r != q and None not in v + w and math.dist(v, w) <= 64]
     assert got == sorted(off + [(c, r, r, 1) for c, r, *_ in rows])
+
+
+def test_rounded_is_round(spark):
+    """The same doubles as round's, at ties and beside them, signed, large, null or not a number; few take round's way."""
+    rng = random.Random(3)
+    ties = [s * (k + 0.5) / 1e6 for k in (0, 1, 2, 7, 12345, 63999999) for s in (1, -1)]
+    values = [*ties, *[math.nextafter(t, s) for t in ties for s in (-99.0, 99.0)], *[rng.uniform(-64, 64) for _ in range(20000)], *[k / 64 for k in range(4096)], 0.0, -0.0, -1e-9, 1e12, -1e300, math.inf, math.nan, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", F.round("v", 6).alias("a"), pr.rounded(F.col("v"), 6).alias("b"))
+    assert [(r.v, r.a, r.b) for r in df.collect() if repr(r.a) != repr(r.b)] == []
+
+
+def test_pair_distances_query_rounds_without_digits(spark, sf):
+    """round is only what remains for values near a tie."""
+    from spinel.queries import QUERIES
+
+    plan = QUERIES["j01_pair_distances"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ELSE round(" in plan
