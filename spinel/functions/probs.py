@@ -13,7 +13,8 @@ BACKGROUND = 65.0
 
 def distance_class(d: Column) -> Column:
     """Half-even rounding; under 2 counts as 2, over 64 is background (null)."""
-    return F.when(d <= 64, F.bround(F.greatest(d, F.lit(2.0)), 0).cast("int") - 1)
+    # to whole numbers, rint is what bround is, without the digits of every value
+    return F.when(d <= 64, F.rint(F.greatest(d, F.lit(2.0))).cast("int") - 1)
 
 
 def rounded(x: Column, places: int) -> Column:

@@ -45,3 +45,11 @@ def test_pair_distances_query_rounds_without_digits(spark, sf):
 
     plan = QUERIES["j01_pair_distances"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "ELSE round(" in plan
+
+
+def test_class_is_half_even_without_digits(spark):
+    values = [0.0, 1.2, 2.5, 3.5, 4.5, 62.5, 63.5, math.nextafter(2.5, 9), math.nextafter(3.5, 0), 64.0, 64.1, math.inf, math.nan, None, *[random.Random(1).uniform(0, 66) for _ in range(5000)]]
+    df = spark.createDataFrame([(v,) for v in values], "d double").select("d", pr.distance_class(F.col("d")).alias("c"))
+    want = [int(round(max(d, 2.0))) - 1 if d is not None and d <= 64 else None for d in values]
+    assert [r.c for r in df.collect()] == want
+    assert "bround" not in df._jdf.queryExecution().optimizedPlan().toString()
