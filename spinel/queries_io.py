@@ -221,9 +221,9 @@ def k03_distance_file_of_chains(spark, sf):
 
 @query()
 def k07_msa_files(spark, sf):
-    aln = prefix.ranks(C.alignment(spark, sf), ["grp"], [F.col("name")], "ord").withColumn("ord", F.col("ord") - 1)
+    aln = prefix.numbered(prefix.stretches(C.alignment(spark, sf), ["grp"], "name"), "ord").withColumn("ord", F.col("ord") - 1)
     rows = aln.select("grp", "ord", F.concat(F.lit("d"), F.col("name")).alias("name"), F.lit("text").alias("descr"), F.lit(1).alias("start"), F.lit(60).alias("end"), (F.col("name") / 1e6).alias("evalue"), "aln")
-    return sinks.msa_file(rows, "stockholm").withColumn("dialect", F.lit("stockholm")).unionByName(sinks.msa_file(rows, "rosetta").withColumn("dialect", F.lit("rosetta")))
+    return sinks.msa_files(rows)
 
 
 CONSTRAINTS = """, w AS (SELECT r1, r2, sum(dst * prob) / sum(prob) AS d, sum(prob) / 3 AS q FROM predictions GROUP BY r1, r2 HAVING count(*) = 3 AND sum(prob) <> 0),
