@@ -3,8 +3,8 @@
 Rows are cut into parts of the order, each a window of its own, and what a group's earlier parts add up to is joined back. There are two ways to cut:
 by splitters of the sort key, which come from a bounded sample, for any order over groups of any size, or by stretches of an integer position. Where the
 parts lie decides how even they are, never the result: a row's part is a function of its own key, so a repeated task finds the same rows in it. A part
-between splitters can begin inside one group at most, so there is at most one row a part to join back, by broadcast; stretches are joined
-by the keys that their windows are dealt by already. Keys have to tell rows apart for parts to be even and the order to be total; equal keys share a part.
+between splitters can begin inside one group at most, so there is at most one row a part to join back, by broadcast; to stretches it goes
+as a first row of each, into the same window, so that rows are dealt once and sorted once. Keys have to tell rows apart for parts to be even and the order to be total; equal keys share a part.
 """
 
 from __future__ import annotations
@@ -42,6 +42,15 @@ class Parts:
         earlier = each.select(*self.keys, "_part", F.count(F.lit(1)).over(w).alias("_earlier"), *[combine(n).over(w).alias(n) for n in totals])
         return earlier.filter("_earlier > 0").drop("_earlier")
 
+    def led(self, rows: DataFrame, totals: dict[str, Column], combine=F.sum) -> DataFrame:
+        """``rows`` and, marked by ``_led``, what came before each part as a row ahead of its others: its order is null, and nulls come first."""
+        before = self.before(totals, combine).withColumn("_led", F.lit(True))
+        return rows.unionByName(before, allowMissingColumns=True)
+
+    def last_known(self, value: str) -> Column:
+        """The last non-null value of a part."""
+        return F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)])))
+
     def joined(self, rows: DataFrame, before: DataFrame) -> DataFrame:
         """``rows`` with what came before their part; null where a group begins in it."""
         own = {k: f"_before_key_{i}" for i, k in enumerate([*self.keys, "_part"])}
@@ -90,8 +99,17 @@ def stretches(rows: DataFrame, keys: list[str], position: str, size: int = STRET
     return Parts(rows.withColumn("_part", F.floor(F.col(position) / size)), keys, [F.col(position)], False)
 
 
-def summed(p: Parts, sums: dict[str, Column]) -> DataFrame:
-    """Inclusive running sums over rows that are cut into parts."""
+def summed(p: Parts, sums: dict[str, Column], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Inclusive running sums over rows that are cut into parts, with the values ``carry`` as ``carried`` leaves them."""
+    if p.few is False:
+        rows = p.rows.withColumns({f"_own_{n}": c for n, c in sums.items()})
+        totals = {f"_own_{n}": F.sum(c) for n, c in sums.items()} | {v: p.last_known(v) for v in carry}
+        rows = p.led(rows, totals, lambda n: F.last(n, ignorenulls=True) if n in carry else F.sum(n))
+        w = p.window.rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({n: F.sum(f"_own_{n}").over(w) for n in sums} | {v: F.last(v, ignorenulls=True).over(w) for v in carry})
+        return rows.filter("_led IS NULL").drop("_part", "_led", *[f"_own_{n}" for n in sums])
+    for v in carry:
+        p = carried(p, v)
     inside = p.rows.withColumns({n: F.sum(c).over(p.window.rowsBetween(Window.unboundedPreceding, 0)) for n, c in sums.items()})
     if p.few is None:
         return inside.drop("_part")
@@ -106,6 +124,8 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[Column], sums: di
 
 def numbered(p: Parts, name: str) -> DataFrame:
     """The rows of parts with their place, from 1, within the keys."""
+    if p.few is False:
+        return summed(p, {name: F.lit(1).cast("long")})
     out = p.rows.withColumn(name, F.row_number().over(p.window).cast("long"))
     if p.few is None:
         return out.drop("_part")
@@ -120,19 +140,25 @@ def ranks(rows: DataFrame, keys: list[str], order: list[Column], name: str = "ra
 
 def carried(p: Parts, value: str) -> Parts:
     """The parts with ``value`` replaced by its last non-null one up to each row; the order has to be total."""
-    out = p.rows.withColumn(value, F.last(value, ignorenulls=True).over(p.window.rowsBetween(Window.unboundedPreceding, 0)))
-    if p.few is not None:
-        last = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(p.order)])))
-        out = p.joined(out, p.before({"_carried": last}, lambda n: F.last(n, ignorenulls=True)))
+    rows = p.led(p.rows, {value: p.last_known(value)}, lambda n: F.last(n, ignorenulls=True)) if p.few is False else p.rows
+    out = rows.withColumn(value, F.last(value, ignorenulls=True).over(p.window.rowsBetween(Window.unboundedPreceding, 0)))
+    if p.few is False:
+        out = out.filter("_led IS NULL").drop("_led")
+    elif p.few:
+        out = p.joined(out, p.before({"_carried": p.last_known(value)}, lambda n: F.last(n, ignorenulls=True)))
         out = out.withColumn(value, F.coalesce(value, "_carried")).drop("_carried")
     return Parts(out, p.keys, p.order, p.few)
 
 
 def previous(p: Parts, value: str, name: str) -> Parts:
     """The parts with the ``value`` of the row before, null for a group's first; the order has to be total."""
-    mine = p.rows.withColumn(name, F.lag(F.struct(F.col(value).alias("v"))).over(p.window))
-    if p.few is not None:
-        last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(p.order)]))
+    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(p.order)]))
+    rows = p.rows.withColumn("_last", F.struct(F.col(value).alias("v")))
+    rows = p.led(rows, {"_last": last}, lambda n: F.last(n, ignorenulls=True)) if p.few is False else rows
+    mine = rows.withColumn(name, F.lag("_last").over(p.window)).drop("_last")
+    if p.few is False:
+        mine = mine.filter("_led IS NULL").drop("_led")
+    elif p.few:
         mine = p.joined(mine, p.before({"_last": last}, lambda n: F.last(n, ignorenulls=True)))
         mine = mine.withColumn(name, F.coalesce(name, "_last")).drop("_last")
     return Parts(mine.withColumn(name, F.col(name)["v"]), p.keys, p.order, p.few)

@@ -423,13 +423,13 @@ def s16_pairwise(spark, sf):
 FASTA_SQL = "SELECT grp AS file, row_number() OVER (PARTITION BY grp ORDER BY name)::INT AS ord, 'd' || name AS name, 'd' || name || ' text' AS descr, aln FROM alignment"
 
 
-def _fasta(spark, sf):
-    """Records of three lines, numbered by the name that they are sorted by."""
+def _fasta(spark, sf, only=None):
+    """Records of three lines, numbered by the name that they are sorted by; those named ``only``, if given."""
     from .sources import split_files
 
     lines = F.array(F.concat(F.lit(">d"), F.col("name"), F.lit(" text")), F.lower(F.substring("aln", 1, 30)), F.translate(F.substring("aln", 31, 30), "-", "."))
     rows = C.alignment(spark, sf).select(F.col("grp").alias("file"), "name", F.posexplode(lines).alias("k", "line"))
-    return split_files.fasta(rows.select("file", (F.col("name") * 3 + F.col("k")).alias("ord"), "line"))
+    return split_files.fasta(rows.select("file", (F.col("name") * 3 + F.col("k")).alias("ord"), "line"), name=only)
 
 
 @query(FASTA_SQL, "alignment")
@@ -441,7 +441,7 @@ def s17_s19_fasta(spark, sf):
 def s18_reference_row(spark, sf):
     from .sources import reports
 
-    return reports.reference_row(_fasta(spark, sf), "d0").select("file", "name", "aln")
+    return reports.reference_row(_fasta(spark, sf, "d0"), "d0").select("file", "name", "aln")
 
 
 @query(f", f AS ({FASTA_SQL}) SELECT f.file, f.ord, f.name AS sbjct, r.aln AS qaln, f.aln AS saln, length(replace(r.aln, '-', '')) AS qend, length(replace(f.aln, '-', '')) AS send FROM f JOIN f r ON r.file = f.file AND r.name = 'd0' WHERE NOT starts_with(f.name, 'd0')", "alignment")

@@ -43,15 +43,15 @@ def line_table(spark: SparkSession, path: str, parts: bool = False) -> DataFrame
     return spark.read.schema("file string, ord long, line string").parquet(out)
 
 
-def records(lines: DataFrame, start: Column, states: dict[str, Column] | None = None, ends: bool = False, stretch: int = prefix.STRETCH) -> DataFrame:
+def records(lines: DataFrame, start: Column, states: dict[str, Column] | None = None, ends: bool = False, stretch: int = prefix.STRETCH, only: Column | None = None) -> DataFrame:
     """(file, block, states …, text): the lines from one mark to the next, numbered from 1 in each file, with the last non-null value of each state up to
-    the mark; with ``ends`` the mark closes a record and belongs to none, and numbers begin with 0."""
+    the mark; with ``ends`` the mark closes a record and belongs to none, and numbers begin with 0. ``only`` says by the states which lines are put
+    together; all are counted."""
     states = states or {}
     p = prefix.stretches(lines.withColumns({"_mark": start.cast("int"), **states}), ["file"], "ord", stretch)
-    for name in states:
-        p = prefix.carried(p, name)
-    rows = prefix.summed(p, {"block": F.col("_mark")})
+    rows = prefix.summed(p, {"block": F.col("_mark")}, carry=tuple(states))
     rows = rows.filter("_mark = 0") if ends else rows.filter("block > 0")
+    rows = rows if only is None else rows.filter(only)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
     return rows.groupBy("file", "block").agg(*[F.min_by(n, "ord").alias(n) for n in states], text.alias("text"))
 
@@ -90,11 +90,13 @@ def report_hits(lines: DataFrame, kind: str, alternatives: bool = False, stretch
     return prefix.numbered(p, "ord").withColumn("ord", (F.col("ord") - 1).cast("int")).select(*columns)
 
 
-def fasta(lines: DataFrame, stretch: int = prefix.STRETCH) -> DataFrame:
-    """S17, S19 from (file, ord, line): (file, ord, name, descr, aln)."""
-    rows = records(lines, F.col("line").startswith(">"), stretch=stretch)
-    descr = F.regexp_extract("text", r"^>([^\n]*)", 1)
-    return rows.select("file", F.col("block").cast("int").alias("ord"), F.regexp_extract(descr, r"^\s*(\S+)", 1).alias("name"), F.trim(descr).alias("descr"), clean_seq(F.regexp_replace("text", r"^[^\n]*", "")).alias("aln"))
+def fasta(lines: DataFrame, stretch: int = prefix.STRETCH, name: str | None = None) -> DataFrame:
+    """S17, S19 from (file, ord, line): (file, ord, name, descr, aln). With ``name`` the records of that name, of which alone the lines are grouped."""
+    mark, head, first = F.col("line").startswith(">"), r"^>([^\n]*)", lambda c: F.regexp_extract(c, r"^\s*(\S+)", 1)
+    states = {} if name is None else {"_name": F.when(mark, first(F.regexp_extract("line", head, 1)))}
+    rows = records(lines, mark, states, stretch=stretch, only=None if name is None else F.col("_name") == name)
+    descr = F.regexp_extract("text", head, 1)
+    return rows.select("file", F.col("block").cast("int").alias("ord"), first(descr).alias("name"), F.trim(descr).alias("descr"), clean_seq(F.regexp_replace("text", r"^[^\n]*", "")).alias("aln"))
 
 
 def pairwise(lines: DataFrame, stretch: int = prefix.STRETCH) -> DataFrame:
